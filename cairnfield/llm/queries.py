@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import hash_tree
+from . import hash_tree, warc
 
 QUERIES = {
+    "op1_warc_salvage": warc.query,
     "op8_hash_tree_sharding": hash_tree.query,
 }
 
