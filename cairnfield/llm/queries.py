@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import hash_tree, language_id, url_rules, warc
+from . import hash_tree, language_id, licenses, packing, url_rules, warc
 
 QUERIES = {
     "op1_warc_salvage": warc.query,
     "op2_url_association_rules": url_rules.query,
+    "op4_dp_packing": packing.query,
     "op8_hash_tree_sharding": hash_tree.query,
     "op9_language_codes": language_id.query,
+    "op10_license_dice": licenses.query,
 }
 
 ORACLES: dict[str, str] = {}
