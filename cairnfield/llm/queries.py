@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, hash_tree, language_id, licenses, packing, url_rules, warc
+from . import decontaminate, hash_tree, language_id, licenses, packing, url_rules, warc, weighted_sampling
 
 QUERIES = {
     "op1_warc_salvage": warc.query,
     "op2_url_association_rules": url_rules.query,
     "op4_dp_packing": packing.query,
+    "op5_weighted_sampling": weighted_sampling.query,
     "op6_positional_index": decontaminate.query,
     "op8_hash_tree_sharding": hash_tree.query,
     "op9_language_codes": language_id.query,
