@@ -76,7 +76,7 @@ def proximity(docs: DataFrame, items: DataFrame, slop: int = 5, key: str = "doc_
 
 
 def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", n: int = N) -> DataFrame:
-    """Every row of docs (key, text) with n_words, n_hit, items (sorted ids whose windows occur) and spans."""
+    """Every row of docs (key, text) with k (hash of both), n_words, n_hit, items (sorted ids whose windows occur) and spans."""
     wins = materialize(windows(items, text=text, n=n), "windows")
     index = postings(docs, wins, key, text)
     found = candidates(index, anchors(wins, index))
@@ -97,7 +97,14 @@ def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
     )
     held = rows.where(F.size("spans") > 0).select("k", F.explode(F.array_distinct(F.transform("spans", lambda s: s["win"]))).alias("win")).distinct()
     held = held.join(wins.select("win", F.explode("items").alias("item")), "win").groupBy("k").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    return rows.join(held, "k", "left").select(key, "n_words", step.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), "spans")
+    return rows.join(held, "k", "left").select(key, "k", "n_words", step.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), "spans")
+
+
+def keep_clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", n: int = N) -> DataFrame:
+    """The rows of docs in which no window of an item occurs."""
+    found = matches(docs, items, key, text, n)
+    dirty = materialize(found.where("n_hit > 0").select(F.col("k").alias("_k")).distinct(), "contaminated")
+    return docs.withColumn("_k", _key(key, text)).join(dirty, "_k", "left_anti").drop("_k")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -179,6 +179,12 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", ambiguous_
     return docs.select(*names).mapInArrow(classify, schema)
 
 
+def keep_identified(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> DataFrame:
+    """The rows of docs whose text has a language; learns from their own language column."""
+    found = predict(docs, train(docs, text=text, lang=lang, key=key), text)
+    return found.where("lang_pred <> 'und'").select(*docs.columns)
+
+
 def held_out(key: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.encode(F.coalesce(F.col(key).cast("string"), F.lit("")), "UTF-8")), F.lit(4)) == 2
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, hash_tree, language_id, licenses, packing, url_rules, warc, weighted_sampling
+from . import decontaminate, hash_tree, language_id, licenses, near_dups, packing, url_rules, warc, weighted_sampling
 
 QUERIES = {
     "op1_warc_salvage": warc.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_dp_packing": packing.query,
     "op5_weighted_sampling": weighted_sampling.query,
     "op6_positional_index": decontaminate.query,
+    "op7_order_minhash": near_dups.query,
     "op8_hash_tree_sharding": hash_tree.query,
     "op9_language_codes": language_id.query,
     "op10_license_dice": licenses.query,
