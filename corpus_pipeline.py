@@ -1,13 +1,40 @@
-"""The corpus pipeline: each stage works on all that its predecessor kept."""
+"""The corpus pipeline: language, near-duplicates, benchmark passages, packing.
+
+Each stage takes all rows that its predecessor kept and returns the columns of documents; the last one
+returns the packed pieces. Language ID drops texts that are null or without a letter; it keeps
+ambiguous ones. Near-dedup keeps the document of the least id of each class.
+Decontamination drops documents in which a window of ten benchmark words occurs.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cairnfield.llm import decontaminate, language_id, near_dups, packing
 from cairnfield.llm.common import materialize, table
 
-STAGES: list = []
 
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return language_id.keep_identified(docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dups.keep_one(docs)
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [("language", identify_language), ("near_dedup", drop_near_duplicates), ("decontaminate", drop_benchmark), ("packing", pack_sequences)]
+
+#: Classifier, sketches and tokenizer are not SQL; tests compare with a brute-force version.
 ORACLE_SQL = None
 
 
