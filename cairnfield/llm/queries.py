@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, hash_tree, language_id, licenses, near_dups, packing, url_rules, warc, weighted_sampling
+from . import decontaminate, hash_tree, language_id, licenses, near_dups, packing, suffix_tree, url_rules, warc, weighted_sampling
 
 QUERIES = {
     "op1_warc_salvage": warc.query,
     "op2_url_association_rules": url_rules.query,
+    "op3_suffix_tree_scores": suffix_tree.query,
     "op4_dp_packing": packing.query,
     "op5_weighted_sampling": weighted_sampling.query,
     "op6_positional_index": decontaminate.query,
