@@ -1,0 +1,47 @@
+"""Streams: monthly means with a watermark, dry runs carried over batches, and a ledger of files."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+
+def window_means(stream: DataFrame, time: str, keys: list[str], value: str, width: str = "1 day", lateness: str = "1 day") -> DataFrame:
+    """(start, keys, mean, n, var): mergeable statistics per window; rows later than ``lateness`` are left out."""
+    rows = stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, lateness)
+    return rows.groupBy(F.window(time, width), *keys).agg(F.avg(value).alias("mean"), F.count(value).alias("n"), F.var_pop(value).alias("var")).select(F.col("window.start").alias("start"), *keys, "mean", "n", "var")
+
+
+def dry_runs(stream: DataFrame, key: str, day: str, dry: str) -> DataFrame:
+    """(key, day, run): the number of dry days up to each row's day, carried over batches.
+
+    State per key: the last day (days since 1970) and its run. Days of a key must come in order over batches; a
+    day that is absent breaks the run, an earlier day than the last is left out.
+    """
+    rows = stream.select(F.col(key).cast("string").alias("key"), F.unix_date(F.col(day).cast("date")).cast("int").alias("day"), F.col(dry).cast("boolean").alias("dry"))
+
+    def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, run = state.get if state.exists else (None, 0)
+        batch = pd.concat(list(parts)).sort_values("day")
+        out = []
+        for d, is_dry in zip(batch["day"], batch["dry"], strict=True):
+            if last is not None and d <= last:
+                continue
+            run = (run if last is not None and d == last + 1 else 0) + 1 if is_dry else 0
+            last = int(d)
+            out.append((k[0], last, run))
+        if last is not None:
+            state.update((last, run))
+        yield pd.DataFrame(out, columns=["key", "day", "run"])
+
+    return rows.groupBy("key").applyInPandasWithState(step, "key string, day int, run int", "last int, run int", "append", GroupStateTimeout.NoTimeout)
+
+
+def ledger(spark: SparkSession, source: str, schema, store: str, checkpoint: str, transform=lambda df: df):
+    """Process each new file of a folder once; a restart goes on where the checkpoint stands."""
+    stream = spark.readStream.schema(schema).parquet(source)
+    return transform(stream).writeStream.format("parquet").option("path", store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
