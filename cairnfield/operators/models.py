@@ -19,7 +19,8 @@ def folds(rows: DataFrame, order: str, k: int) -> DataFrame:
     Row numbers come from sorted partitions and their sizes (one row a partition on the driver), not
     from one ordered task.
     """
-    sorted_ = rows.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumns({"_part": F.spark_partition_id(), "_id": F.monotonically_increasing_id()})
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a given number is not coalesced, so both passes see the same partitions
+    sorted_ = rows.repartitionByRange(parts, F.col(order)).sortWithinPartitions(order).withColumns({"_part": F.spark_partition_id(), "_id": F.monotonically_increasing_id()})
     sizes = sorted(sorted_.groupBy("_part").count().collect())
     n, before = sum(c for _, c in sizes), {}
     total = 0
