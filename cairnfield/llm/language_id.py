@@ -110,7 +110,7 @@ def train(docs: DataFrame, train_docs: int = 3000, text: str = "text", lang: str
                     at += 1
         for name, own in totals.items():
             used = np.flatnonzero(own)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(used)), pa.array(used.astype(np.int32)), pa.array(own[used])], ["lang", "slot", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(used), pa.string()), pa.array(used.astype(np.int32)), pa.array(own[used])], ["lang", "slot", "n"])
 
     counted = chosen.mapInArrow(count, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
     counts = np.zeros((len(languages), SLOTS))
