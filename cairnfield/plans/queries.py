@@ -534,3 +534,99 @@ def synthetic_grid(spark, d):
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber > 3)")
 def outstanding_work(spark, d):
     return read(spark, d, "orders").select("o_orderkey").join(read(spark, d, "lineitem").where("l_linenumber > 3"), F.col("o_orderkey") == F.col("l_orderkey"), "left_anti")
+
+
+# ---------------------------------------------------------------- scans and scalar functions
+@query(f"WITH {DAILY} SELECT cell, m, CAST(sum(CASE WHEN dry THEN 1 ELSE 0 END) AS BIGINT) AS dry_days, count(*) AS days FROM daily GROUP BY 1, 2")
+def dry_day_counts(spark, d):
+    return daily(spark, d).groupBy("cell", "m").agg(F.sum((F.col("v") < 300000).cast("long")).alias("dry_days"), F.count(F.lit(1)).alias("days"))
+
+
+@query(
+    """WITH mo AS (SELECT CAST(o_custkey % 5 AS INTEGER) AS cell, date_trunc('month', o_orderdate) AS a, round(avg(o_totalprice), 4) AS v FROM orders WHERE year(o_orderdate) = 1996 AND month(o_orderdate) % 2 = 0 GROUP BY 1, 2),
+    da AS (SELECT CAST(o_custkey % 5 AS INTEGER) AS cell, o_orderdate AS t, o_totalprice AS v FROM orders WHERE year(o_orderdate) = 1996),
+    rest AS (SELECT * FROM da WHERE NOT EXISTS (SELECT 1 FROM mo WHERE mo.cell = da.cell AND da.t >= mo.a AND da.t < mo.a + INTERVAL 1 MONTH))
+    SELECT cell, CAST(month(a) AS INTEGER) AS month, v AS value FROM mo UNION ALL SELECT cell, CAST(month(t) AS INTEGER), round(avg(v), 4) FROM rest GROUP BY 1, 2"""
+)
+def monthly_daily_hybrid(spark, d):
+    from ..sources import monthly_and_daily
+
+    rows = read(spark, d, "orders").where("year(o_orderdate) = 1996").select((F.col("o_custkey") % 5).cast("int").alias("cell"), F.col("o_orderdate").alias("time"), F.col("o_totalprice").alias("value"))
+    months = temporal.monthly_mean(rows.where("month(time) % 2 = 0"), ["cell"]).select("cell", F.col("time").alias("start"), (F.col("time") + F.expr("INTERVAL 1 MONTH")).alias("end"), "value")
+    return monthly_and_daily(months, rows, ["cell"]).select("cell", F.month("time").alias("month"), F.round("value", 4).alias("value"))
+
+
+@query("SELECT CAST(x.h AS INTEGER) AS h, CAST(x.v AS INTEGER) AS v, count(*) AS n FROM (SELECT l_orderkey % 36 AS h, l_partkey % 18 AS v FROM lineitem) x GROUP BY 1, 2")
+def tile_positions(spark, d):
+    from ..sources import tile_position
+
+    name = F.format_string("MOD.A2000001.h%02dv%02d.hdf", F.col("l_orderkey") % 36, F.col("l_partkey") % 18)
+    h, v = tile_position(F.col("name"))
+    return read(spark, d, "lineitem").select(name.alias("name")).groupBy(h.alias("h"), v.alias("v")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT n_nationkey, n_name AS label FROM nation")
+def char_decode(spark, d):
+    codes = F.transform(F.split(F.concat(F.col("n_name"), F.lit("   ")), ""), lambda c: F.ascii(c))
+    return read(spark, d, "nation").select("n_nationkey", fn.decode_chars(F.filter(codes, lambda c: c > 0)).alias("label"))
+
+
+@query(f"WITH {POINTS} SELECT id, round(2 * 6371.0 * asin(sqrt(least(1.0, pow(sin((radians(10.0) - radians(lat)) / 2), 2) + cos(radians(lat)) * cos(radians(10.0)) * pow(sin((radians(20.0) - radians(lon)) / 2), 2)))), 6) AS km FROM points")
+def distances(spark, d):
+    return points(spark, d).select("id", F.round(fn.haversine_km(F.col("lat"), F.col("lon"), F.lit(10.0), F.lit(20.0)), 6).alias("km"))
+
+
+@query("SELECT n_nationkey, round(1.5 + 0.25 * n_nationkey + 2 * sin(2 * pi() * n_nationkey / 12 + 0.3) + 0.5 * sin(4 * pi() * n_nationkey / 12 - 1), 9) AS value FROM nation")
+def harmonics(spark, d):
+    return read(spark, d, "nation").select("n_nationkey", F.round(fn.harmonic(F.col("n_nationkey"), 1.5, 0.25, [(2.0, 0.3), (0.5, -1.0)]), 9).alias("value"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_tax <> 0 THEN round((l_tax - l_discount) / l_tax, 9) END AS difference, abs(l_tax - l_discount) <= 1e-8 + 1e-5 * abs(l_discount) AS close FROM lineitem")
+def relative_differences(spark, d):
+    return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(fn.relative_difference(F.col("l_tax"), F.col("l_discount")), 9).alias("difference"), fn.is_close(F.col("l_tax"), F.col("l_discount")).alias("close"))
+
+
+@query("WITH x AS (SELECT o_orderkey, (o_orderkey % 1000 - 500) * 10000.0 AS x, (o_custkey % 1000 - 500) * 10000.0 AS y FROM orders) SELECT o_orderkey, round(degrees(y / 6371007.181), 9) AS lat, round(degrees(x / (6371007.181 * cos(y / 6371007.181))), 9) AS lon FROM x")
+def sinusoidal_inverse(spark, d):
+    lat, lon = fn.sinusoidal_to_lat_lon((F.col("o_orderkey") % 1000 - 500) * 10000.0, (F.col("o_custkey") % 1000 - 500) * 10000.0)
+    return read(spark, d, "orders").select("o_orderkey", F.round(lat, 9).alias("lat"), F.round(lon, 9).alias("lon"))
+
+
+@query("WITH x AS (SELECT p_partkey, p_size % 30 / 3.0 * 5 - 70 AS lat, p_partkey % 100 - 50 AS lon, p_retailprice AS v FROM part) SELECT CAST(floor((lat + 90) / 10) AS BIGINT) AS lat_idx, CAST(floor((lon + 180) / 10) AS BIGINT) AS lon_idx, round(avg(v) * 0.01, 6) AS value FROM x GROUP BY 1, 2")
+def coarsened_pixels(spark, d):
+    lat, lon = F.col("p_size") % 30 / 3.0 * 5 - 70, (F.col("p_partkey") % 100 - 50).cast("double")
+    out = spatial.coarsen(read(spark, d, "part").withColumn("value", F.col("p_retailprice")), [], lat, lon, 10.0, 0.01)
+    return out.select("lat_idx", "lon_idx", F.round("value", 6).alias("value"))
+
+
+@query("SELECT 'F' AS dataset, array_to_string(list_sort(list(DISTINCT o_orderpriority)), ',') AS variables FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT 'O', array_to_string(list_sort(list(DISTINCT o_orderpriority)), ',') FROM orders WHERE o_orderstatus = 'O'")
+def collection_state(spark, d):
+    from ..operators.algebra import Dataset, Datasets
+
+    def part(status):
+        cube = read(spark, d, "orders").where(F.col("o_orderstatus") == status).select(F.col("o_orderpriority").alias("variable"), F.col("o_totalprice").alias("value"))
+        return Dataset(status, cube, tuple(sorted(r[0] for r in cube.select("variable").distinct().collect())))
+
+    both = Datasets([part("O"), part("F"), part("P")]).remove_datasets(["P"])
+    return both.cube().groupBy("dataset").agg(F.array_join(F.array_sort(F.collect_set("variable")), ",").alias("variables"))
+
+
+@query("SELECT p_type AS value FROM part GROUP BY p_type HAVING count(DISTINCT p_brand) = (SELECT count(DISTINCT p_brand) FROM part)")
+def shared_attributes(spark, d):
+    from ..operators.algebra import shared_attributes as shared
+
+    return shared(read(spark, d, "part").select(F.col("p_brand").alias("cube"), F.lit("type").alias("key"), F.col("p_type").alias("value"))).select("value")
+
+
+@query(f"WITH {GRID}, x AS (SELECT lat_idx, m, value FROM frame) SELECT count(*) AS n FROM x")
+def scattered_predictions(spark, d):
+    whole = frame(spark, d).select("lat_idx", "m", "value")
+    values = masks.unmasked(whole).select("lat_idx", "m", (F.col("value") * 2).alias("predicted"))
+    return masks.scatter(values, whole, ["lat_idx", "m"]).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def forest_partial_dependence(spark, d):
+    rows = read(spark, d, "lineitem").select("l_quantity", "l_discount", "l_extendedprice")
+    model = models.forest(["l_quantity", "l_discount"], "l_extendedprice", numTrees=5, maxDepth=5).fit(rows)
+    return models.partial_dependence(rows, model, "l_quantity", models.pdp_grid(rows, "l_quantity", 5))
