@@ -14,25 +14,26 @@ from pyspark.sql import functions as F
 
 
 def folds(rows: DataFrame, order: str, k: int) -> DataFrame:
-    """Add fold 0..k-1: contiguous and unshuffled, the first n % k folds one row longer.
+    """Add fold 0..k-1: contiguous and unshuffled, the first n % k folds one row longer. ``order`` is numeric.
 
-    Row numbers come from sorted partitions and their sizes (one row a partition on the driver), not
-    from one ordered task.
+    Rows are numbered within ranges cut at approximate quantiles, and the ranges' sizes (one row a range on the
+    driver) give each range's first number, so no task orders more than a range.
     """
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a given number is not coalesced, so both passes see the same partitions
-    sorted_ = rows.repartitionByRange(parts, F.col(order)).sortWithinPartitions(order).withColumns({"_part": F.spark_partition_id(), "_id": F.monotonically_increasing_id()})
-    sizes = sorted(sorted_.groupBy("_part").count().collect())
-    n, before = sum(c for _, c in sizes), {}
-    total = 0
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = sorted(set(rows.approxQuantile(order, [i / parts for i in range(1, parts)], 1 / (4 * parts)))) if parts > 1 else []
+    part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<double>"), lambda c: c <= F.col(order)))
+    cut_rows = rows.withColumn("_part", part)
+    sizes = sorted(cut_rows.groupBy("_part").count().collect())
+    n, before, total = sum(c for _, c in sizes), [], 0
     for p, c in sizes:
-        before[p] = total
+        before.append((p, total))
         total += c
-    table = rows.sparkSession.createDataFrame(list(before.items()) or [(0, 0)], "_part int, _before long")
-    at = F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    starts = rows.sparkSession.createDataFrame(before or [(0, 0)], "_part int, _before long")
+    at = F.col("_before") + F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1
     size, extra = divmod(n, k)
-    cut = extra * (size + 1)
-    fold = F.when(at < cut, F.floor(at / (size + 1))).otherwise(extra + F.floor((at - cut) / max(1, size)))
-    return sorted_.join(F.broadcast(table), "_part").withColumn("fold", fold.cast("int")).drop("_part", "_id", "_before")
+    edge = extra * (size + 1)
+    fold = F.when(F.col("_at") < edge, F.floor(F.col("_at") / (size + 1))).otherwise(extra + F.floor((F.col("_at") - edge) / max(1, size)))
+    return cut_rows.join(F.broadcast(starts), "_part").withColumn("_at", at).withColumn("fold", fold.cast("int")).drop("_part", "_before", "_at")
 
 
 def forest(features: list[str], label: str, **params) -> Pipeline:
