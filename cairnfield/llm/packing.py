@@ -41,7 +41,7 @@ class Encoder:
 
     LATIN = 0x250
 
-    def __init__(self, path: str, memory: int = 1_000_000):
+    def __init__(self, path: str, memory: int = 250_000):
         import os
         import unicodedata
 
