@@ -18,9 +18,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, alnum_words, materialize, table
+from .common import LOWER, UPPER, alnum_words, broadcast_up_to, materialize, table
 
 N = 10
+#: Rows of a benchmark table (terms, or two for each window) up to which it is broadcast; at most about 50 bytes each.
+SMALL = 500_000
 
 
 def _key(key: str, text: str) -> Column:
@@ -39,7 +41,7 @@ def postings(docs: DataFrame, wins: DataFrame, key: str = "doc_id", text: str =
     """Store the index: one row (term, k, pos) for each place of a window's term in the corpus."""
     terms = materialize(wins.select(F.explode("words").alias("word")).distinct().select("word", F.xxhash64("word").alias("term")), "terms")
     words = docs.select(_key(key, text).alias("k"), F.posexplode(alnum_words(F.col(text))).alias("pos", "word"))
-    return materialize(words.join(terms, "word").select("term", "k", "pos"), "postings")
+    return materialize(words.join(broadcast_up_to(terms, SMALL), "word").select("term", "k", "pos"), "postings")
 
 
 def anchors(wins: DataFrame, index: DataFrame, count: int = 2) -> DataFrame:
@@ -55,7 +57,7 @@ def anchors(wins: DataFrame, index: DataFrame, count: int = 2) -> DataFrame:
 def candidates(index: DataFrame, chosen: DataFrame) -> DataFrame:
     """(k, win, n, start) where the offset-adjusted lists of all chosen terms agree."""
     need = chosen.groupBy("win").agg(F.count(F.lit(1)).cast("int").alias("need"))
-    starts = index.join(chosen.join(need, "win"), "term").select("k", "win", "n", "need", (F.col("pos") - F.col("shift")).alias("start"), F.expr("shiftleft(1, rank - 1)").alias("bit")).where("start >= 0")
+    starts = index.join(broadcast_up_to(materialize(chosen.join(need, "win"), "chosen"), SMALL), "term").select("k", "win", "n", "need", (F.col("pos") - F.col("shift")).alias("start"), F.expr("shiftleft(1, rank - 1)").alias("bit")).where("start >= 0")
     return starts.groupBy("k", "win", "start").agg(F.bit_or("bit").alias("bits"), F.first("need").alias("need"), F.first("n").alias("n")).where(F.bit_count("bits") == F.col("need")).select("k", "win", "n", "start")
 
 
