@@ -16,7 +16,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, lower_az, materialize, table
+from .common import LOWER, UPPER, broadcast_up_to, lower_az, materialize, table
 
 #: (verdict, host, path): the longest that fits wins.
 FIXED_RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
@@ -57,7 +57,7 @@ def url_tokens(url: Column) -> Column:
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_distinct(all_))
 
 
-def mine_rules(labelled: DataFrame, min_count: int = 8, min_support: float = 0.0005, min_confidence: float = 0.5, min_lift: float = 2.0) -> DataFrame:
+def mine_rules(labelled: DataFrame, min_count: int = 10, min_support: float = 0.002, min_confidence: float = 0.5, min_lift: float = 2.0) -> DataFrame:
     """Rules (tokens, confidence, support) from (tokens, blocked) rows.
 
     A token set counts if it occurs min_count times and in min_support of the rows. FP-growth
@@ -84,20 +84,20 @@ def mine_rules(labelled: DataFrame, min_count: int = 8, min_support: float = 0.0
     return rules.join(covered, "id", "left_anti").select("tokens", "confidence", "support")
 
 
-def match(rows: DataFrame, rules: DataFrame, key: str) -> DataFrame:
+def match(rows: DataFrame, rules: DataFrame, key: str, small: int = 50_000) -> DataFrame:
     """(key, id) for every rule whose tokens a row all has.
 
     rows: (key, tokens); rules: (id, tokens). The inverted index lists a rule under its rarest
-    token; Spark broadcasts the index if its measured size allows that.
+    token. It is broadcast up to ``small`` rules, and joined by a shuffle beyond that.
     """
     rules = rules.withColumn("_need", F.col("tokens")).drop("tokens")
     each = rows.select(key, F.col("tokens").alias("_have"), F.explode("tokens").alias("_token"))
     needed = rules.select(F.explode("_need").alias("_token")).distinct()
-    frequency = each.join(needed, "_token", "left_semi").groupBy("_token").agg(F.count(F.lit(1)).alias("_n"))
+    frequency = each.join(broadcast_up_to(needed, small), "_token", "left_semi").groupBy("_token").agg(F.count(F.lit(1)).alias("_n"))
     index = rules.select("id", "_need", F.explode("_need").alias("_token")).join(frequency, "_token", "left")
     index = index.groupBy("id").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_token"))).alias("_rarest"), F.first("_need").alias("_need"))
     index = materialize(index.select("id", "_need", F.col("_rarest._token").alias("_token")), "index")
-    return each.join(index, "_token").where(F.size(F.array_except("_need", "_have")) == 0).select(key, "id")
+    return each.join(broadcast_up_to(index, small), "_token").where(F.size(F.array_except("_need", "_have")) == 0).select(key, "id")
 
 
 def judge(pages: DataFrame, rules: DataFrame, url: str = "url", key: str = "page_id", fixed=FIXED_RULES) -> DataFrame:
