@@ -1,7 +1,7 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
-States are contexts of up to ``depth`` words. A context that holds at least the share ``min_share``
-of the training places (and at least ``min_count`` of them) is retained if its next-word distribution diverges from that of its suffix: the
+States are contexts of up to ``depth`` words. A context of at least ``min_count`` training
+places, whatever the size of the corpus, is retained if its next-word distribution diverges from that of its suffix: the
 Kullback-Leibler divergence, less its small-sample bias (T - 1) / 2c for T different next
 words in c places, is at least ``min_divergence`` nats. A state's distribution is smoothed
 with its longest retained suffix's, ``(c(s, w) + T(s) p(w | suffix)) / (c(s) + T(s))``; the root is
@@ -20,7 +20,6 @@ rows; very long texts are whole. Words are held as 64-bit hashes.
 
 from __future__ import annotations
 
-import math
 import uuid
 from collections.abc import Iterator
 
@@ -240,13 +239,12 @@ def _rows(batches) -> Iterator[tuple[dict, list]]:
             yield row, [row[n].as_py() or [] for n in names if n.startswith("level")]
 
 
-def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text", depth: int = 2, min_count: int = 16, min_share: float = 2.5e-6, min_divergence: float = 0.05) -> DataFrame:
+def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text", depth: int = 2, min_count: int = 16, min_divergence: float = 0.05) -> DataFrame:
     """(key, trained, n_tokens, n_known, train_tokens, base_score, score) of every row."""
     spark = docs.sparkSession
     parts = shuffle_parts(spark)
     blocks = _bucketed(tokenise(docs, key, text, train), parts)
     n, n_tokens = blocks.agg(F.coalesce(F.sum("n_train"), F.lit(0)), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
-    min_count = max(min_count, math.ceil(min_share * n))
     ranges = 1 << (max(parts, n_tokens // 2_000_000) - 1).bit_length()
     returned = [_request(blocks, [], ranges, (depth, min_count, min_divergence, (n, 0)), parts)]
     distinct = returned[0].agg(F.coalesce(F.sum("positive"), F.lit(0))).first()[0]

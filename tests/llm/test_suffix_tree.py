@@ -77,3 +77,13 @@ def test_query_odd_rows(spark, docs, odd_rows, no_rows, folder):
 def test_beats_unigrams_on_held_out(spark, sf):
     r = suffix_tree.query(spark, sf).where("held_out").agg(F.sum("base_score"), F.sum("score")).first()
     assert r[1] > r[0]
+
+
+def test_least_count_does_not_grow_with_the_corpus(spark):
+    filler = spark.range(800).select("id", F.expr("repeat('filler ', 10000)").alias("text"))
+    rare = spark.range(1000, 1017).select("id", F.lit("alpha beta").alias("text"))
+    r = suffix_tree.score(filler.unionByName(rare), F.lit(True), key="id").where("id = 1000").first()
+    n = 800 * 10_001 + 17 * 3
+    assert r["train_tokens"] == n
+    p = [18 / (n + 5), (17 + 18 / (n + 5)) / 18, (17 + 818 / (n + 5)) / 18]
+    assert math.isclose(r["score"], sum(map(math.log10, p)), rel_tol=1e-9)
