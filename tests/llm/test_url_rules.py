@@ -66,3 +66,17 @@ def test_mined_verdicts(spark, folder):
     labels = [(i, 0 if i % 4 == 0 else 1, 0) for i in range(100)]
     got = url_rules.query(spark, folder(pages=spark.createDataFrame(pages, "page_id long, url string"), labels=spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))).collect()
     assert {r["page_id"]: r["verdict"] for r in got} == {i: "block" if i % 4 == 0 else "allow" for i in range(200)}
+
+
+def test_rules_of_a_thousandth_of_the_labels(spark, folder):
+    rare = lambda i: i % 1000 == 7
+    pages = [(i, f"http://{'rare' if rare(i) else f'h{i % 7}'}.org/x/{i}") for i in range(10_001)] + [(20_000, "http://rare.org/y")]
+    labels = [(i, 0 if rare(i) else 1, 0) for i in range(10_000)]
+    got = url_rules.query(spark, folder(pages=spark.createDataFrame(pages, "page_id long, url string"), labels=spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))).collect()
+    assert {r["page_id"] for r in got if r["verdict"] == "block"} == {i for i in range(10_000) if rare(i)} | {20_000}
+
+
+def test_rules_of_eight_pages(spark):
+    rows = [(["h:rare" if i < 8 else f"h:{i % 7}"], i < 8) for i in range(1000)]
+    rules = url_rules.mine_rules(spark.createDataFrame(rows, "tokens array<string>, blocked boolean")).collect()
+    assert [(r["tokens"], r["confidence"]) for r in rules] == [(["h:rare"], 1.0)]
