@@ -44,3 +44,43 @@ def test_query(spark, sf, docs, no_rows, folder):
             if t in r["text"].split("\n"):
                 assert name in got[r["doc_id"]].split(",")
     assert licenses.query(spark, folder(documents=no_rows)).count() == 0
+
+
+def test_words_against_brute_force(spark):
+    rng, texts = random.Random(5), []
+    templates = {k: t for k, t in licenses.TEMPLATES.items() if len(t) < 100} | {"twice": "a b a b c a b", "text": "the terms of the use of the work and of the terms"}
+    grams = {k: licenses._bigrams(alnum_words_py(t)) for k, t in templates.items()}
+    for _ in range(60):
+        words = []
+        for _ in range(rng.randrange(1, 4)):
+            t = rng.choice(list(templates.values())).split()
+            for _ in range(rng.randrange(3)):
+                t[rng.randrange(len(t))] = rng.choice(["other", "the", "a"])
+            words += ["a", "b", "of", "the"][: rng.randrange(5)] + t
+        texts.append("".join(w + rng.choice([" ", " ", "\n"]) for w in words))
+    docs = spark.createDataFrame(list(enumerate([*texts, None, "", "MIT", "a\n\nb"])), "doc_id long, text string")
+    for threshold in (0.7, 0.9):
+        got = {r["doc_id"]: r["licenses"] for r in licenses.scan(docs, templates=templates, threshold=threshold, windows="words").collect()}
+        assert sum(map(len, got.values())) > 40
+        for i, text in enumerate(texts):
+            words = [(w, n) for n, line in enumerate(text.split("\n")) for w in alnum_words_py(line)]
+            want = {}
+            for a in range(len(words)):
+                for b in range(a + 1, min(len(words), a + 30)):
+                    window = licenses._bigrams([w for w, _ in words[a : b + 1]])
+                    for k, g in grams.items():
+                        d = licenses.dice(window, g)
+                        if d >= threshold and d > want.get(k, (0,))[0]:
+                            want[k] = (d, words[a][1], words[b][1])
+            assert {x["license"]: (x["dice"], x["first_line"], x["last_line"]) for x in got[i]} == want
+
+
+def test_query_notices_inside_lines_and_full_texts(spark, folder):
+    full = licenses.full_texts()
+    texts = ["Copyright 2020 Jane Doe. Licensed under the Apache License, Version 2.0.", "some words before\nand on this line Released under\nthe MIT License. and more after it", "nothing of that kind"]
+    texts += ["words before " + " ".join(t.split()) + " words after" for t in full.values()]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["licenses"].split(",") for r in licenses.query(spark, folder(documents=docs)).collect()}
+    assert got[0] == ["Apache-2.0"] and got[1] == ["MIT"] and got[2] == [""]
+    for i, name in enumerate(full, 3):
+        assert name in got[i]
