@@ -225,10 +225,21 @@ lens AS (SELECT cell, m, max(t) AS hi FROM daily GROUP BY 1, 2),
 longest AS (SELECT lens.cell, lens.m, coalesce(n, 0) AS length, coalesce(a = 0, FALSE) AS at_start, coalesce(b = hi, FALSE) AS at_end FROM lens LEFT JOIN best USING (cell, m))"""
 
 
-def daily(spark, d):
+#: The same from the least to the greatest order date.
+DAILY_WHOLE = (
+    DAILY.replace("SELECT unnest(generate_series(DATE '1996-01-01', DATE '1997-12-31', INTERVAL 1 DAY))::DATE AS d", "SELECT unnest(generate_series(a, b, INTERVAL 1 DAY))::DATE AS d FROM (SELECT min(d) AS a, max(d) AS b FROM day)")
+    .replace("max(t) AS hi", "min(t) AS lo, max(t) AS hi")
+    .replace("coalesce(a = 0, FALSE)", "coalesce(a = lo, FALSE)")
+)
+
+
+def daily(spark, d, whole=False):
+    """Days of 1996 and 1997, or (whole) from the least to the greatest order date."""
     cell = (F.col("o_custkey") % 20).cast("int")
     day = read(spark, d, "orders").groupBy(cell.alias("cell"), F.to_date("o_orderdate").alias("d")).agg(F.max("o_totalprice").alias("v"))
     span = spark.sql("SELECT explode(sequence(DATE '1996-01-01', DATE '1997-12-31')) AS d")
+    if whole:
+        span = read(spark, d, "orders").agg(F.min(F.to_date("o_orderdate")).alias("a"), F.max(F.to_date("o_orderdate")).alias("b")).select(F.explode(F.sequence("a", "b")).alias("d"))
     every = read(spark, d, "orders").select(cell.alias("cell")).distinct().crossJoin(F.broadcast(span))
     return every.join(day, ["cell", "d"], "left").select("cell", month_key(F.col("d")).alias("m"), (F.dayofmonth("d") - 1).alias("t"), F.coalesce("v", F.lit(0.0)).alias("v"))
 
@@ -244,6 +255,17 @@ def longest_run_chained(spark, d):
     return ordered.chained_run(longest, ["cell"], "m").select("cell", "m", "length", "chained")
 
 
+@query(f"WITH {DAILY_WHOLE} SELECT cell, m, length, at_start, at_end FROM longest")
+def longest_run_whole(spark, d):
+    return ordered.longest_run(daily(spark, d, whole=True), ["cell", "m"], "t", F.col("v") < 300000)
+
+
+@query(f"WITH {DAILY_WHOLE}, c AS (SELECT *, sum(CASE WHEN at_start AND coalesce(prev, FALSE) THEN 0 ELSE 1 END) OVER (PARTITION BY cell ORDER BY m) AS chain FROM (SELECT *, lag(at_end) OVER (PARTITION BY cell ORDER BY m) AS prev FROM longest)) SELECT cell, m, length, CAST(sum(length) OVER (PARTITION BY cell, chain ORDER BY m) AS BIGINT) AS chained FROM c")
+def longest_run_chained_whole(spark, d):
+    longest = ordered.longest_run(daily(spark, d, whole=True), ["cell", "m"], "t", F.col("v") < 300000)
+    return ordered.chained_run(longest, ["cell"], "m").select("cell", "m", "length", "chained")
+
+
 @query(
     f"""WITH {GRID}, clim AS (SELECT lat_idx, CAST(m % 12 AS INTEGER) AS t, count(value) AS v FROM frame GROUP BY 1, 2),
     sig AS (SELECT *, t - row_number() OVER (PARTITION BY lat_idx ORDER BY t) AS island FROM (SELECT *, v / max(v) OVER (PARTITION BY lat_idx) AS r FROM clim) WHERE r > 0.7),
@@ -350,6 +372,12 @@ def spatial_nn_fill(spark, d):
     return gapfill.nearest_cell(rows, ["lat_idx", "t"]).select("lat_idx", "t", "filled")
 
 
+@query()
+def spatial_nn_fill_whole(spark, d):
+    """All months; the SQL's join of all pairs would be too slow, so tests compare with brute force."""
+    return gapfill.nearest_cell(frame(spark, d).select("lat_idx", "m", "value"), ["lat_idx", "m"]).select("lat_idx", "m", "filled")
+
+
 # ---------------------------------------------------------------- spatial
 WORLD = "world AS (SELECT CAST(l_suppkey % 12 AS INTEGER) AS lat_idx, CAST(l_partkey % 24 AS INTEGER) AS lon_idx, CASE WHEN count(*) % 5 = 0 THEN NULL ELSE round(avg(l_quantity), 4) END AS value FROM lineitem GROUP BY 1, 2)"
 SOURCE_LAT, SOURCE_LON = [-82.5 + 15 * i for i in range(12)], [-172.5 + 15 * i for i in range(24)]
@@ -542,6 +570,11 @@ def dry_day_counts(spark, d):
     return daily(spark, d).groupBy("cell", "m").agg(F.sum((F.col("v") < 300000).cast("long")).alias("dry_days"), F.count(F.lit(1)).alias("days"))
 
 
+@query(f"WITH {DAILY_WHOLE} SELECT cell, m, CAST(sum(CASE WHEN dry THEN 1 ELSE 0 END) AS BIGINT) AS dry_days, count(*) AS days FROM daily GROUP BY 1, 2")
+def dry_day_counts_whole(spark, d):
+    return daily(spark, d, whole=True).groupBy("cell", "m").agg(F.sum((F.col("v") < 300000).cast("long")).alias("dry_days"), F.count(F.lit(1)).alias("days"))
+
+
 @query(
     """WITH mo AS (SELECT CAST(o_custkey % 5 AS INTEGER) AS cell, date_trunc('month', o_orderdate) AS a, round(avg(o_totalprice), 4) AS v FROM orders WHERE year(o_orderdate) = 1996 AND month(o_orderdate) % 2 = 0 GROUP BY 1, 2),
     da AS (SELECT CAST(o_custkey % 5 AS INTEGER) AS cell, o_orderdate AS t, o_totalprice AS v FROM orders WHERE year(o_orderdate) = 1996),
@@ -556,6 +589,20 @@ def monthly_daily_hybrid(spark, d):
     return monthly_and_daily(months, rows, ["cell"]).select("cell", F.month("time").alias("month"), F.round("value", 4).alias("value"))
 
 
+@query(
+    """WITH mo AS (SELECT CAST(o_custkey % 5 AS INTEGER) AS cell, date_trunc('month', o_orderdate) AS a, avg(o_totalprice) AS v FROM orders WHERE month(o_orderdate) % 2 = 0 GROUP BY 1, 2),
+    da AS (SELECT CAST(o_custkey % 5 AS INTEGER) AS cell, date_trunc('month', o_orderdate) AS a, o_totalprice AS v FROM orders WHERE month(o_orderdate) % 2 = 1),
+    al AS (SELECT * FROM mo UNION ALL SELECT cell, a, avg(v) FROM da WHERE NOT EXISTS (SELECT 1 FROM mo WHERE mo.cell = da.cell AND mo.a = da.a) GROUP BY 1, 2)
+    SELECT cell, CAST(year(a) * 12 + month(a) - 1 AS INTEGER) AS m, round(v, 4) AS value FROM al"""
+)
+def monthly_daily_hybrid_whole(spark, d):
+    from ..sources import monthly_and_daily
+
+    rows = read(spark, d, "orders").select((F.col("o_custkey") % 5).cast("int").alias("cell"), F.col("o_orderdate").alias("time"), F.col("o_totalprice").alias("value"))
+    months = temporal.monthly_mean(rows.where("month(time) % 2 = 0"), ["cell"]).select("cell", F.col("time").alias("start"), (F.col("time") + F.expr("INTERVAL 1 MONTH")).alias("end"), "value")
+    return monthly_and_daily(months, rows, ["cell"]).select("cell", month_key(F.col("time")).alias("m"), F.round("value", 4).alias("value"))
+
+
 @query("SELECT CAST(x.h AS INTEGER) AS h, CAST(x.v AS INTEGER) AS v, count(*) AS n FROM (SELECT l_orderkey % 36 AS h, l_partkey % 18 AS v FROM lineitem) x GROUP BY 1, 2")
 def tile_positions(spark, d):
     from ..sources import tile_position
@@ -625,6 +672,13 @@ def scattered_predictions(spark, d):
     return masks.scatter(values, whole, ["lat_idx", "m"]).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"WITH {GRID} SELECT lat_idx, m, value * 2 AS predicted FROM frame")
+def scattered_prediction_values(spark, d):
+    whole = frame(spark, d).select("lat_idx", "m", "value")
+    values = masks.unmasked(whole).select("lat_idx", "m", (F.col("value") * 2).alias("predicted"))
+    return masks.scatter(values, whole, ["lat_idx", "m"]).select("lat_idx", "m", "predicted")
+
+
 @query()
 def forest_partial_dependence(spark, d):
     rows = read(spark, d, "lineitem").select("l_quantity", "l_discount", "l_extendedprice")
