@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shared_dir, shuffle_parts, table
+from .common import shared_dir, shuffle_parts, shuffles_dropped, table
 from .vectext import NOT_SPACE, chunks, mix, strings, word_hashes
 
 END = np.uint64(0x5AFE0E2D0FDA7A11)
@@ -58,7 +58,8 @@ def _bucketed(df: DataFrame, parts: int) -> DataFrame:
     """Write a table bucketed by block in the shared folder: later joins on block need no shuffle."""
     spark = df.sparkSession
     name = f"cairnfield_{uuid.uuid4().hex}"
-    df.write.format("parquet").option("compression", "none").option("path", f"{shared_dir(spark)}/{name}").bucketBy(parts, "block").saveAsTable(name)
+    with shuffles_dropped(spark):
+        df.write.format("parquet").option("compression", "none").option("path", f"{shared_dir(spark)}/{name}").bucketBy(parts, "block").saveAsTable(name)
     return spark.table(name)
 
 

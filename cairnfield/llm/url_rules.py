@@ -16,7 +16,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, broadcast_up_to, lower_az, materialize, table
+from .common import LOWER, UPPER, broadcast_up_to, lower_az, materialize, shuffle_parts, table
 
 #: (verdict, host, path): the longest that fits wins.
 FIXED_RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
@@ -72,7 +72,9 @@ def mine_rules(labelled: DataFrame, min_count: int = 8, min_support: float = 0.0
     least = max(min_count * min_confidence, min_support * total * min_confidence)
     if not bad or bad < least:
         return empty
-    model = FPGrowth(itemsCol="tokens", minSupport=min(1.0, least / bad), minConfidence=1.0).fit(labelled.where("blocked"))
+    parts = shuffle_parts(spark)
+    blocked = labelled.where("blocked").select("tokens").repartition(parts)
+    model = FPGrowth(itemsCol="tokens", minSupport=min(1.0, least / bad), minConfidence=1.0, numPartitions=parts).fit(blocked)
     sets = materialize(model.freqItemsets.select(F.array_sort("items").alias("tokens"), F.col("freq").alias("bad")), "itemsets").withColumn("id", F.xxhash64("tokens"))
     seen = match(labelled.withColumn("row", F.monotonically_increasing_id()).drop("blocked"), sets.select("id", "tokens"), "row").groupBy("id").agg(F.count(F.lit(1)).alias("seen"))
     rules = sets.join(seen, "id").select("id", "tokens", (F.col("bad") / F.col("seen")).alias("confidence"), (F.col("seen") / total).alias("support"), "seen")
