@@ -64,6 +64,19 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def row_keys(*columns: Column) -> list[Column]:
+    """Two 64-bit hashes, ka and kb, that tell rows apart by these columns: 10^10 rows hold an equal pair with odds of 1e-19."""
+    return [F.xxhash64(*columns).alias("ka"), F.xxhash64(F.lit(0x9E3779B97F4A7C15 - (1 << 64)), *columns).alias("kb")]
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with underscores added until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def lower_az(text: Column) -> Column:
     """Lower-case A-Z only; pure ASCII takes the JVM's fast path."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
