@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+_folders: list[str] = []
+_tables: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
 
@@ -26,7 +30,22 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/cairnfield/{uuid.uuid4().hex}"
+    _folders.append(f"{base.rstrip('/')}/cairnfield/{uuid.uuid4().hex}")
+    return _folders[-1]
+
+
+def note_table(name: str) -> None:
+    """clear() drops this table."""
+    _tables.append(name)
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove the folders and tables that this process made; call it when the results have been read."""
+    while _tables:
+        spark.sql(f"DROP TABLE IF EXISTS {_tables.pop()}")
+    while _folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_folders.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 @contextlib.contextmanager

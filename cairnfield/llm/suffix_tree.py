@@ -10,7 +10,9 @@ add-one over words. A word is scored by the longest retained suffix of the words
 Texts are tokenised once into blocks (a table bucketed by block). Every count or statistic is a
 sum by key over all blocks: blocks send their different keys with their own sums, dealt by key
 range; each range is summed and returned to the blocks that asked. So frequent keys are one
-entry for each block, nothing passes the driver but two totals, and no task holds more than a key range or a block.
+entry for each block, nothing passes the driver but two totals, and no task holds more than a key range or a block. A block
+sends a row for each range that it has keys of, so rows never outnumber keys and grow with the corpus; the ranges' number follows
+the tokens.
 
 Tokens: words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, then one end for each text. Defined
 cases: null and empty texts are an end alone; repeated rows are scored and learned from as
@@ -24,12 +26,13 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shared_dir, shuffle_parts, shuffles_dropped, table
+from .common import note_table, shared_dir, shuffle_parts, shuffles_dropped, table
 from .vectext import NOT_SPACE, chunks, mix, strings, word_hashes
 
 END = np.uint64(0x5AFE0E2D0FDA7A11)
@@ -58,8 +61,11 @@ def _bucketed(df: DataFrame, parts: int) -> DataFrame:
     """Write a table bucketed by block in the shared folder: later joins on block need no shuffle."""
     spark = df.sparkSession
     name = f"cairnfield_{uuid.uuid4().hex}"
+    note_table(name)
+    empty = spark.createDataFrame([], df.schema)
+    empty.write.format("parquet").option("compression", "none").option("path", f"{shared_dir(spark)}/{name}").bucketBy(parts, "block").saveAsTable(name)
     with shuffles_dropped(spark):
-        df.write.format("parquet").option("compression", "none").option("path", f"{shared_dir(spark)}/{name}").bucketBy(parts, "block").saveAsTable(name)
+        df.write.insertInto(name)
     return spark.table(name)
 
 
@@ -109,20 +115,31 @@ def tokenise(docs: DataFrame, key: str, text: str, train: Column, block_bytes: i
     return rows.mapInArrow(run, schema)
 
 
+def _different(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different values, sorted, and the place of each value among them."""
+    codes, values = pd.factorize(hashes, sort=True)
+    return values, codes
+
+
 class Block:
     """A block's arrays: index and lengths, place by place, and what the levels have returned so far."""
 
     def __init__(self, row: dict, levels: list[list], ranges: int):
-        self.words = _unpack(row["words"], np.uint64)
-        self.index = _unpack(row["index"], np.int32)
+        words = _unpack(row["words"], np.uint64)
+        index = _unpack(row["index"], np.int32)
+        order = np.argsort(words)
+        rank = np.empty(len(words), np.int32)
+        rank[order] = np.arange(len(words), dtype=np.int32)
+        #: the different tokens' hashes, sorted, and which of them stands at each place
+        self.words, self.codes = words[order], rank[index]
         self.lengths = _unpack(row["lengths"], np.int64)
         train = np.frombuffer(row["train"], np.uint8).astype(bool)
         self.learn = np.repeat(train, self.lengths)
         ends = np.cumsum(self.lengths)
         #: how many tokens of its text stand before each place
-        self.depth = np.arange(len(self.index)) - np.repeat(ends - self.lengths, self.lengths)
+        self.depth = np.arange(len(index)) - np.repeat(ends - self.lengths, self.lengths)
         self.starts = ends - self.lengths
-        self.gram = self.words[self.index]  # hash of the n-gram that ends here
+        self.token = self.words[self.codes]
         self.ranges, self.levels = ranges, levels
 
     def _returned(self, level: int, keys: np.ndarray, columns: int, dtype) -> np.ndarray:
@@ -138,39 +155,40 @@ class Block:
 
         Levels alternate: counts of n-grams of 1, 2, .. words, and after each from 2 words on the statistics of its contexts.
         """
-        keys, back = np.unique(self.gram, return_inverse=True)
-        own = np.bincount(back, self.learn, len(keys)).astype(np.int64)
+        keys, codes = self.words, self.codes  # of the n-grams that end at each place
         if not self.levels:
-            yield keys, own
+            yield keys, np.bincount(codes, self.learn, len(keys)).astype(np.int64)
             return
-        count = self._returned(0, keys, 1, np.int64)[back]  # of the n-gram that ends here, its last n words
+        count = self._returned(0, keys, 1, np.int64)[codes]  # of the n-gram that ends here, its last n words
         one = count
         known = count > 0
         base = (one + 1.0) / (total[0] + total[1] + 1.0)
         prob, level = base.copy(), 1
         shorter = one / max(1, total[0])  # share of this word after the context without its first word
-        gram, alive = self.gram, np.ones(len(count), bool)  # alive: count holds for this place
+        gram, alive = self.token, np.ones(len(count), bool)  # alive: count holds for this place
         for d in range(1, depth + 1):
             # contexts: the d-gram that ends one place before
             at = np.flatnonzero((self.depth >= d) & np.concatenate(([False], alive[:-1])) & (np.concatenate(([0], count[:-1])) >= min_count))
-            context, in_context = gram[at - 1], count[at - 1]
-            long_ = mix(context * _STEP + self.words[self.index[at]])
-            keys, back = np.unique(long_, return_inverse=True)
+            in_context = count[at - 1]
+            long_ = mix(gram[at - 1] * _STEP + self.token[at])
+            longer, back = _different(long_)
             if level == len(self.levels):
-                yield keys, np.bincount(back, self.learn[at], len(keys)).astype(np.int64)
+                yield longer, np.bincount(back, self.learn[at], len(longer)).astype(np.int64)
                 return
-            joint = self._returned(level, keys, 1, np.int64)[back]
+            joint = self._returned(level, longer, 1, np.int64)[back]
             level += 1
-            keys, back = np.unique(context, return_inverse=True)
+            used = np.zeros(len(keys), bool)
+            used[codes[at - 1]] = True
+            context, keys = (np.cumsum(used) - 1)[codes[at - 1]], keys[used]
             if level == len(self.levels):
                 learn = self.learn[at]
                 ratio = np.zeros(len(at))
                 ratio[learn] = np.log(joint[learn] / in_context[learn]) - np.log(shorter[at[learn]])
                 types = np.zeros(len(at))
                 types[learn] = 1.0 / joint[learn]
-                yield keys, np.stack([np.bincount(back, ratio, len(keys)), np.bincount(back, types, len(keys))], 1)
+                yield keys, np.stack([np.bincount(context, ratio, len(keys)), np.bincount(context, types, len(keys))], 1)
                 return
-            stats = self._returned(level, keys, 2, np.float64)[back]
+            stats = self._returned(level, keys, 2, np.float64)[context]
             level += 1
             types = np.maximum(stats[:, 1], 1.0)
             kept = (stats[:, 0] - (types - 1) / 2) / in_context >= min_divergence
@@ -183,6 +201,8 @@ class Block:
             count[at] = joint
             gram = np.zeros(len(gram), np.uint64)
             gram[at] = long_
+            keys, codes = longer, np.zeros(len(gram), np.int64)
+            codes[at] = back
         yield self.lengths, np.add.reduceat(known.astype(np.int64), self.starts), np.add.reduceat(np.log10(base), self.starts), np.add.reduceat(np.log10(prob), self.starts)
 
 
@@ -207,11 +227,10 @@ def _request(blocks: DataFrame, returned: list[DataFrame], ranges: int, args: tu
         keys = [np.cumsum(_unpack(x, np.uint64), dtype=np.uint64) for x in group["keys"].to_pylist()]
         own = [_unpack(x, dtype, columns) for x in group["own"].to_pylist()]
         bounds = np.cumsum([0, *map(len, keys)])
-        different, back = np.unique(np.concatenate(keys), return_inverse=True)
+        different, back = _different(np.concatenate(keys))
         flat = np.concatenate(own)
         if columns == 1:
-            sums = np.zeros(len(different), np.int64)
-            np.add.at(sums, back, flat)
+            sums = np.bincount(back, flat, len(different)).astype(np.int64)  # whole numbers below 2^53 are exact
         else:
             sums = np.stack([np.bincount(back, flat[:, c], len(different)) for c in range(columns)], 1)
         answers = [_pack(sums[back[a:b]]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
@@ -240,7 +259,7 @@ def _rows(batches) -> Iterator[tuple[dict, list]]:
             yield row, [row[n].as_py() or [] for n in names if n.startswith("level")]
 
 
-def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text", depth: int = 2, min_count: int = 16, min_divergence: float = 0.05) -> DataFrame:
+def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text", depth: int = 4, min_count: int = 16, min_divergence: float = 0.05) -> DataFrame:
     """(key, trained, n_tokens, n_known, train_tokens, base_score, score) of every row."""
     spark = docs.sparkSession
     parts = shuffle_parts(spark)
