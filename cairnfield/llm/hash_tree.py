@@ -6,9 +6,13 @@ child is chosen in proportion to its weight. When a weight changes, only draws o
 child move: rows change place only into or out of the subtrees whose weights change.
 Growth adds a region of its own, so rows move only into the new shard.
 
+Levels are columns of their own, computed one after the other: a row draws among the children of
+the node that it has reached, whose names and weights it takes from literal maps.
+
 Null keys count as the empty string; repeated rows go to the same shard and take
-neighbouring slots in the order of size and checksum; an empty table gives no rows;
-a null text counts 16 bytes.
+slots of their own; of equal draws (2^-52 for each pair) the child named first wins; an empty table gives no rows;
+a null text counts 16 bytes; very long texts are read for their size and checksum alone; other columns are carried
+along, and none may be called like the new column (an error), while the working columns take free names.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import free_name, materialize, table
 
 
 @dataclass(frozen=True)
@@ -45,53 +49,65 @@ class Tree:
         return float(node) if not isinstance(node, dict) else sum(Tree._weight(x) for x in node.values())
 
 
-def _draw(key: Column, name: str, weight: float) -> Column:
-    """The weighted draw of one child: -ln(u) / weight, u in (0, 1) from 52 bits of a hash."""
-    bits = F.shiftrightunsigned(F.xxhash64(key, F.lit(name)), 12).cast("double")
-    return -F.log((bits + F.lit(0.5)) / F.lit(float(1 << 52))) / F.lit(weight)
-
-
-def _winner(key: Column, path: str, children: dict) -> Column:
-    """The child's position, by smallest draw."""
-    draws = [F.struct(_draw(key, f"{path}/{name}", Tree._weight(node)).alias("d"), F.lit(i).alias("i")) for i, (name, node) in enumerate(children.items())]
-    return F.array_min(F.array(*draws))["i"]
+def _winner(key: Column, paths: Column, weights: Column, width: int) -> Column:
+    """The position of the child with the least draw -ln(u) / weight, u in (0, 1) from 52 bits of a hash of key and path."""
 
+    def draw(i: int) -> Column:
+        bits = F.shiftrightunsigned(F.xxhash64(key, F.get(paths, F.lit(i))), 12).cast("double")
+        value = -F.log((bits + F.lit(0.5)) / F.lit(float(1 << 52))) / F.get(weights, F.lit(i))
+        return F.struct(F.coalesce(value, F.lit(float("inf"))).alias("draw"), F.lit(i).alias("i"))
 
-def shard_of(key: Column, tree: Tree) -> Column:
-    """The shard of a key (string)."""
+    return F.array_min(F.array(*[draw(i) for i in range(width)]))["i"]
 
-    def descend(path: str, node: dict) -> Column:
-        parts = [F.lit(n) if not isinstance(x, dict) else descend(f"{path}/{n}", x) for n, x in node.items()]
-        if len(parts) == 1:
-            return parts[0]
-        at, out = _winner(key, path, node), None
-        for i, part in enumerate(parts[:-1]):
-            out = F.when(at == i, part) if out is None else out.when(at == i, part)
-        return out.otherwise(parts[-1])
 
-    return descend("", tree.regions).cast("int")
+def _levels(tree: Tree) -> list[dict[str, dict[str, object]]]:
+    """For regions, racks and shards: path of the parent -> path of the child -> its node."""
+    out, nodes = [], {"": tree.regions}
+    for _ in range(3):
+        level = {path: {f"{path}/{name}": child for name, child in node.items()} for path, node in nodes.items()}
+        out.append(level)
+        nodes = {path: child for children in level.values() for path, child in children.items()}
+    return out
 
 
 def assign(rows: DataFrame, key: str, tree: Tree, shard: str = "shard") -> DataFrame:
-    """Add the shard column; levels are computed one after the other, so each row draws only along its path."""
-    return rows.withColumn(shard, shard_of(F.coalesce(F.col(key).cast("string"), F.lit("")), tree))
+    """Add the shard column (null for a tree without shards)."""
+    if shard.lower() in (c.lower() for c in rows.columns):
+        raise ValueError(f"there is a column {shard}")
+    at, text = free_name(rows, "node"), free_name(rows, "key_text")
+    out = rows.withColumns({text: F.coalesce(F.col(key).cast("string"), F.lit("")), at: F.lit("")})
+    for level in _levels(tree):
+        if not level or not any(level.values()):
+            return rows.withColumn(shard, F.lit(None).cast("int"))
+        of = lambda value, level=level: F.element_at(F.create_map(*[x for path, children in level.items() for x in (F.lit(path), F.array(*[F.lit(value(p, c)) for p, c in children.items()]))]), F.col(at))
+        paths, weights = of(lambda p, c: p), of(lambda p, c: Tree._weight(c))
+        found = _winner(F.col(text), paths, weights, max(map(len, level.values())))
+        out = out.withColumn(at, F.get(paths, found))
+    number = F.substring_index(F.col(at), "/", -1).cast("int")
+    return out.withColumn(shard, number).drop(at, text)
 
 
 def with_slots(rows: DataFrame, shard: str, order: list[str], slot: str = "slot", rows_per_chunk: int = 200_000) -> DataFrame:
     """Number the rows of each shard from 0 without gaps.
 
-    A shard is cut into chunks by a hash of the ordering columns, chunks are numbered on
+    The rows are written first, each with a number of its own. A shard is cut into chunks by a hash of the ordering columns and that
+    number, so copies of one row are dealt over all chunks; chunks are numbered on
     their own, and the running sum of chunk sizes (shards x chunks rows) is joined back.
     Chunks follow the table's size, so no task gets a whole shard.
     """
+    if slot.lower() in (c.lower() for c in rows.columns):
+        raise ValueError(f"there is a column {slot}")
+    names = rows.columns
+    lane, chunk, start, count = (free_name(rows, n) for n in ("lane", "chunk", "start", "count"))
+    rows = materialize(rows.withColumn(lane, F.monotonically_increasing_id()), "placed")
     chunks = max(8, -(-rows.count() // rows_per_chunk))
-    cut = rows.withColumn("_chunk", F.pmod(F.xxhash64(*order), F.lit(chunks)).cast("int"))
-    sizes = cut.groupBy(shard, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(shard).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(shard, "_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    own = Window.partitionBy(shard, "_chunk").orderBy(*order)
-    numbered = cut.withColumn("_at", F.row_number().over(own) - 1)
-    return numbered.join(starts, [shard, "_chunk"]).withColumn(slot, (F.col("_start") + F.col("_at")).cast("long")).drop("_chunk", "_start", "_at")
+    cut = rows.withColumn(chunk, F.pmod(F.xxhash64(*order, lane), F.lit(chunks)).cast("int"))
+    sizes = cut.groupBy(shard, chunk).agg(F.count(F.lit(1)).alias(count))
+    before = Window.partitionBy(shard).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
+    starts = materialize(sizes.select(shard, chunk, F.coalesce(F.sum(count).over(before), F.lit(0)).alias(start)), "starts")
+    own = Window.partitionBy(shard, chunk).orderBy(*order, lane)
+    numbered = cut.withColumn(slot, F.row_number().over(own) - 1)
+    return numbered.join(starts, [shard, chunk]).withColumn(slot, (F.col(start) + F.col(slot)).cast("long")).drop(chunk, start, lane).select(*(f"`{c}`" for c in (*names, slot)))
 
 
 def query(spark: SparkSession, sf_dir: str, shards: int = 40) -> DataFrame:

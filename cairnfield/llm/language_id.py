@@ -2,20 +2,23 @@
 
 Every language has a codeword; one binary n-gram classifier per bit predicts it. A
 classifier's weights are log odds of hashed byte n-grams between the languages whose bit
-is 1 and those whose bit is 0, each language counting alike. Decoding adds, over the bits,
-a logistic loss of the margin against the codeword's sign, weighted by how well the bit
-parts the training texts, and takes the language with the least loss; a small lead over
-the second is flagged as ambiguous.
-
-Training reads at most about ``train_docs`` texts of each language, whole, picked by a hash
-of the key; the rest of the work covers every row. Defined cases: text null or without a letter gives
-``und`` with score 0; very long texts are read whole; repeated rows get equal answers; rows
-whose language is null do not train; without any language to learn all rows are ``und``.
+is 1 and those whose bit is 0, each language counting alike. A bit's margin is scaled by the scores that the
+languages' own n-gram distributions would get: the gap between the lowest of those with bit 1 and the highest of those with bit 0.
+Decoding adds, over the bits, a logistic loss of the margin against the codeword's sign, weighted by the bit's gap, and
+takes the language with the least loss; a small lead over the second is flagged as ambiguous.
+
+Training reads at most about ``train_docs`` texts of each of the ``max_languages`` most frequent languages, whole, picked by a hash
+of key and text; the rest of the work covers every row. Defined cases: text null or without a letter gives
+``und`` with score 0; very long texts are read whole, in pieces of 1 MB; repeated rows get equal answers and train together or
+not at all; of equal losses the language whose name sorts first wins; rows whose language is null do not train, those whose key is null
+do; without any language to learn all rows are ``und``; ``predict`` replaces columns called like its own, and
+``keep_identified`` keeps all columns as they are.
 """
 
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import free_name, table
 
 SIZES, BITS = (1, 2, 3, 4), 13
 SLOTS = len(SIZES) << BITS
@@ -57,24 +60,34 @@ def code_words(n: int, seed: int = 7) -> np.ndarray:
     return best
 
 
-def _slots(texts: list[str]):
-    """For each text its n-gram slots (letters only, words separated by one space or more)."""
-    pad = b" " * max(SIZES)
-    parts = [pad + t.lower().encode().translate(_TABLE) + pad for t in texts]
-    data = np.frombuffer(b"".join(parts), np.uint8).astype(np.uint32)
-    ends = np.cumsum([len(p) for p in parts])
+def _slots(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The n-gram slots that start at each place but the last few, and where a run of spaces says nothing."""
     n = len(data) - max(SIZES) + 1
     gram, rows = np.zeros(n, np.uint32), []
     for i, size in enumerate(SIZES):
         gram |= data[size - 1 : size - 1 + n] << np.uint32(8 * (size - 1))
         rows.append(((gram * np.uint32(2654435761)) >> np.uint32(32 - BITS)) + np.uint32(i << BITS))
-    # a run of spaces says nothing
-    blank = data[:n] == 32
-    blank &= data[1 : n + 1] == 32
-    rows = np.stack(rows, 1)
-    for a, b in zip(np.concatenate(([0], ends[:-1])), ends, strict=True):
-        own = rows[a : b - max(SIZES) + 1]
-        yield own[~blank[a : b - max(SIZES) + 1][: len(own)]].ravel()
+    return np.stack(rows, 1), (data[:n] == 32) & (data[1 : n + 1] == 32)
+
+
+def profiles(texts: list[str], piece: int = 1 << 20) -> Iterator[np.ndarray]:
+    """For each text how often it has each slot (letters only, words separated by one space or more)."""
+    pad, more = b" " * max(SIZES), max(SIZES) - 1
+    parts = [pad + t.lower().encode().translate(_TABLE) + pad for t in texts]
+    if sum(map(len, parts)) > 4 * piece and len(parts) > 1:
+        for t in texts:
+            yield from profiles([t], piece)
+    elif len(parts) == 1:
+        data, total = np.frombuffer(parts[0], np.uint8), np.zeros(SLOTS, np.int64)
+        for at in range(0, len(data) - more, piece):
+            rows, blank = _slots(data[at : at + piece + more].astype(np.uint32))
+            total += np.bincount(rows[~blank].ravel(), minlength=SLOTS)
+        yield total
+    elif parts:
+        rows, blank = _slots(np.frombuffer(b"".join(parts), np.uint8).astype(np.uint32))
+        ends = np.cumsum([len(p) for p in parts])
+        for a, b in zip(np.concatenate(([0], ends[:-1])), ends - more, strict=True):
+            yield np.bincount(rows[a:b][~blank[a:b]].ravel(), minlength=SLOTS)
 
 
 def _groups(column, size: int = 1 << 20):
@@ -89,24 +102,24 @@ def _groups(column, size: int = 1 << 20):
         yield texts
 
 
-def train(docs: DataFrame, train_docs: int = 3000, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Model | None:
-    """Fit on (text, lang): n-gram counts and per-text scores of about train_docs texts a language."""
+def train(docs: DataFrame, train_docs: int = 3000, text: str = "text", lang: str = "lang", key: str = "doc_id", max_languages: int = 256) -> Model | None:
+    """Fit on (text, lang): n-gram counts of about train_docs texts of each language."""
     docs = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("string").alias("k"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
-    sizes = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().collect()}
+    sizes = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()}
     if not sizes:
         return None
     languages = tuple(sorted(sizes))
     part = F.create_map(*[F.lit(x) for name in languages for x in (name, min(1.0, train_docs / sizes[name]))])
-    chosen = docs.where(F.pmod(F.xxhash64("k"), F.lit(1 << 30)) < F.element_at(part, F.col("lang")) * float(1 << 30)).select("lang", "text")
+    chosen = docs.where(F.col("lang").isin(*languages)).where(F.pmod(F.xxhash64("k", "text"), F.lit(1 << 30)) < F.element_at(part, F.col("lang")) * float(1 << 30)).select("lang", "text")
 
     def count(batches):
         totals: dict[str, np.ndarray] = {}
         for batch in batches:
             names, at = batch.column(0).to_pylist(), 0
             for texts in _groups(batch.column(1)):
-                for slots in _slots(texts):
+                for counts in profiles(texts):
                     own = totals.setdefault(names[at], np.zeros(SLOTS, np.int64))
-                    own += np.bincount(slots, minlength=SLOTS)
+                    own += counts
                     at += 1
         for name, own in totals.items():
             used = np.flatnonzero(own)
@@ -145,10 +158,10 @@ def decode(model: Model, score: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return loss.argmin(1), top[:, -1], top[:, -1] - (top[:, -2] if top.shape[1] > 1 else 0)
 
 
-def predict(docs: DataFrame, model: Model | None, text: str = "text", ambiguous_below: float = 0.05) -> DataFrame:
-    """Add lang_pred, score and ambiguous to every row; other columns are carried along."""
-    names = [c for c in docs.columns if c not in ("lang_pred", "score", "ambiguous")]
-    schema = docs.select(*names).schema.add("lang_pred", "string").add("score", "double").add("ambiguous", "boolean")
+def predict(docs: DataFrame, model: Model | None, text: str = "text", ambiguous_below: float = 0.05, names_out: tuple[str, str, str] = ("lang_pred", "score", "ambiguous")) -> DataFrame:
+    """Add lang_pred, score and ambiguous to every row; other columns are carried along, those of these names replaced."""
+    names = [c for c in docs.columns if c not in names_out]
+    schema = docs.select(*names).schema.add(names_out[0], "string").add(names_out[1], "double").add(names_out[2], "boolean")
     at = names.index(text)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -161,9 +174,9 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", ambiguous_
             for texts in _groups(batch.column(at)):
                 lettered += [bool(letter.search(t)) for t in texts]
                 if m is not None:
-                    for slots in _slots(texts):
-                        n = max(1, len(slots) // len(SIZES))
-                        scores.append(np.bincount(slots, minlength=SLOTS).astype(np.float32) @ m.weights / n)
+                    for counts in profiles(texts):
+                        n = max(1, int(counts.sum()) // len(SIZES))
+                        scores.append(counts.astype(np.float32) @ m.weights / n)
             lettered = np.array(lettered, bool)
             if m is None:
                 best, share, lead = np.zeros(len(lettered), int), np.zeros(len(lettered)), np.ones(len(lettered))
@@ -174,15 +187,16 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", ambiguous_
                 continue
             pred = [m.languages[b] if ok else "und" for b, ok in zip(best, lettered, strict=True)]
             extra = [pa.array(pred, pa.string()), pa.array(np.where(lettered, share, 0.0)), pa.array(~lettered | (lead < ambiguous_below))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*names, "lang_pred", "score", "ambiguous"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*names, *names_out])
 
     return docs.select(*names).mapInArrow(classify, schema)
 
 
 def keep_identified(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> DataFrame:
     """The rows of docs whose text has a language; learns from their own language column."""
-    found = predict(docs, train(docs, text=text, lang=lang, key=key), text)
-    return found.where("lang_pred <> 'und'").select(*docs.columns)
+    names = tuple(free_name(docs, n) for n in ("lang_pred", "score", "ambiguous"))
+    found = predict(docs, train(docs, text=text, lang=lang, key=key), text, names_out=names)
+    return found.where(F.col(names[0]) != "und").drop(*names)
 
 
 def held_out(key: str = "doc_id") -> Column:
