@@ -3,12 +3,17 @@
 Archives hold one gzip member per record (or plain records, which the reader also takes).
 The reader checks each record: member checksum, version line, headers, block length and
 block digest. After a failed check it searches for the next gzip member or version line,
-goes on there, and reports the bytes in between as a quarantined gap.
+goes on there, and reports the bytes in between as a quarantined gap. Headers may be of any length: they are read
+to their blank line, and given up at the first line that is no header.
 
-Defined cases: a null payload is empty; a null url or one with line breaks is written
-percent-encoded or left out; repeated rows give repeated records (all of the largest
+A task may run again or twice, and its rows may then come in another order, so every attempt names its archives
+anew and the manifest, a table that Spark commits, lists those that count. The reader leaves the others out.
+
+Defined cases: a null payload is empty; a null url is left out, and white space and control characters in one are written
+percent-encoded; urls and payloads of any length that a column holds are written and read back whole (a record that unpacks to more than
+``max_record``, 2 GiB and 64 MB, is a gap: no column could hold it); repeated rows give repeated records (all of the largest
 page_id are responses); an empty table gives no archive and no rows; a null page_id is
-written as ``null`` and read back as null.
+written as ``null`` and read back as null; other columns are ignored, and ``mark_revisits`` replaces those called like its own.
 """
 
 from __future__ import annotations
@@ -16,6 +21,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -23,12 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_dir, table
+from .common import broadcast_up_to, free_name, materialize, shared_dir, table
 
 VERSION = b"WARC/1.0"
 _START = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
-#: Longest header block that the reader takes for one.
-MAX_HEADER = 64 * 1024
+#: A column's longest value, and room for headers.
+MAX_RECORD = (2 << 30) + (64 << 20)
 
 RECORDS = pa.schema([("archive", pa.string()), ("offset", pa.int64()), ("kind", pa.string()), ("record_type", pa.string()), ("record_id", pa.string()), ("target_uri", pa.string()), ("refers_to_id", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary()), ("gap_bytes", pa.int64()), ("problem", pa.string())])
 
@@ -112,7 +118,7 @@ def _member(src: _Source, max_record: int) -> tuple[int, dict | None, bytes, str
         used += len(piece) - len(inflate.unused_data)
         if len(out) > max_record:
             return 0, None, b"", "record too long"
-    cut = out.find(b"\r\n\r\n", 0, MAX_HEADER)
+    cut = out.find(b"\r\n\r\n")
     head = _parse(bytes(out[:cut])) if cut >= 0 else None
     length = (head or {}).get("content-length", "")
     if not length.isdigit() or len(out) != cut + 4 + int(length) + 4 or out[-4:] != b"\r\n\r\n":
@@ -122,9 +128,20 @@ def _member(src: _Source, max_record: int) -> tuple[int, dict | None, bytes, str
 
 
 def _plain(src: _Source, max_record: int) -> tuple[int, dict | None, bytes, str]:
-    src.fill(MAX_HEADER)
-    cut = src.data.find(b"\r\n\r\n", 0, MAX_HEADER)
-    head = _parse(bytes(src.data[:cut])) if cut >= 0 else None
+    at = 0
+    while True:  # line by line to the blank one
+        end = src.data.find(b"\r\n", at)
+        if end < 0:
+            if len(src.data) > max_record or not src.fill(len(src.data) + 1):
+                return 0, None, b"", "bad headers"
+            continue
+        if end == at:
+            break
+        if at and b":" not in src.data[at:end]:
+            return 0, None, b"", "bad headers"
+        at = end + 2
+    cut = at - 2
+    head = _parse(bytes(src.data[:cut]))
     length = (head or {}).get("content-length", "")
     if not length.isdigit():
         return 0, None, b"", "bad headers"
@@ -135,7 +152,14 @@ def _plain(src: _Source, max_record: int) -> tuple[int, dict | None, bytes, str]
     return size, head, block, _checked(head, block)
 
 
-def salvage(stream, max_record: int = 1 << 30) -> Iterator[tuple]:
+def _opened(path: str):
+    """An Arrow file system and the path in it; s3a and s3n are Hadoop's names of s3."""
+    import pyarrow.fs as pafs
+
+    return pafs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", path))
+
+
+def salvage(stream, max_record: int = MAX_RECORD) -> Iterator[tuple]:
     """Yield (offset, 'record', headers, block) and (offset, 'gap', bytes, problem) over an archive.
 
     Memory: one record and one read chunk.
@@ -179,43 +203,40 @@ def mark_revisits(pages: DataFrame, payload: str = "html", key: str = "page_id",
     that it splits where skewed.
     """
     data = F.encode(F.coalesce(F.col(payload), F.lit("")), "UTF-8")
+    first, count = free_name(pages, "first"), free_name(pages, "count")
+    pages = pages.drop("payload_digest", "payload_bytes", "refers_to")
     digested = pages.withColumns({"payload_digest": F.sha1(data), "payload_bytes": F.octet_length(data).cast("long")})
-    groups = digested.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest").agg(F.max(key).alias("_first"), F.count(F.lit(1)).alias("_n"))
-    groups = materialize(groups.where("_n > 1").drop("_n"), "groups")
+    groups = digested.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest").agg(F.max(key).alias(first), F.count(F.lit(1)).alias(count))
+    groups = materialize(groups.where(F.col(count) > 1).drop(count), "groups")
     big = F.col("payload_bytes") >= min_bytes
-    return digested.join(groups, "payload_digest", "left").withColumn("refers_to", F.when(big & (F.col(key) < F.col("_first")), F.col("_first"))).drop("_first")
+    return digested.join(groups, "payload_digest", "left").withColumn("refers_to", F.when(big & (F.col(key) < F.col(first)), F.col(first))).drop(first)
 
 
 def write_archives(pages: DataFrame, folder: str, payload: str = "html", key: str = "page_id", url: str = "url", archive_bytes: int = 16 << 20) -> DataFrame:
     """Write one record per row below ``folder`` and return a manifest (archive, records, bytes).
 
-    Each task writes archives of about ``archive_bytes``; a name holds the partition and a
-    number, and a file is moved to its name when whole, so a task that runs again replaces
-    its own files.
+    Each task writes archives of about ``archive_bytes``. A name holds the partition, a number and a mark of the attempt; only
+    archives that the manifest lists are committed (see read_archives). The store must be one that Arrow writes to.
     """
     rows = pages.select(F.coalesce(F.col(key).cast("string"), F.lit("null")).alias("id"), F.col(url).alias("url"), F.col(payload).alias("payload"), "payload_digest", F.col("refers_to").cast("string").alias("refers"))
     token = folder.rstrip("/").rsplit("/", 1)[-1]
 
     def write(batches):
-        import uuid
-
-        import pyarrow.fs as pafs
         from pyspark import TaskContext
 
-        fs, root = pafs.FileSystem.from_uri(folder)
+        fs, root = _opened(folder)
         fs.create_dir(root, recursive=True)
-        part, n, out, made, size, count = TaskContext.get().partitionId(), 0, None, [], 0, 0
+        part, n, out, made, size, count, attempt = TaskContext.get().partitionId(), 0, None, [], 0, 0, uuid.uuid4().hex
 
         def close():
             out.close()
-            fs.move(temp, f"{root}/{name}")
             made.append((name, count, size))
 
         for batch in batches:
             for id_, uri, text, sha, refers in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 if out is None:
-                    name, temp = f"{token}-{part:06d}-{n:04d}.warc.gz", f"{root}/_{uuid.uuid4().hex}.tmp"
-                    out, size, count, n = fs.open_output_stream(temp, compression=None), 0, 0, n + 1
+                    name = f"{token}-{part:06d}-{n:04d}-{attempt}.warc.gz"
+                    out, size, count, n = fs.open_output_stream(f"{root}/{name}", compression=None), 0, 0, n + 1
                 deflate = zlib.compressobj(1, zlib.DEFLATED, 31)
                 record = record_bytes(f"urn:page:{id_}", uri, (text or "").encode(), sha, refers and f"urn:page:{refers}")
                 member = deflate.compress(record) + deflate.flush()
@@ -231,26 +252,30 @@ def write_archives(pages: DataFrame, folder: str, payload: str = "html", key: st
     return materialize(rows.mapInArrow(write, "archive string, records long, bytes long"), "manifest")
 
 
-def read_archives(spark: SparkSession, folder: str, with_payload: bool = True, stream_bytes: int = 128 << 20, glob: str = "*.warc*") -> DataFrame:
-    """The records and gaps of all archives below ``folder`` (see RECORDS).
+def read_archives(spark: SparkSession, folder: str, with_payload: bool = True, stream_bytes: int = 128 << 20, glob: str = "*.warc*", manifest: DataFrame | None = None) -> DataFrame:
+    """The records and gaps of all archives below ``folder`` (see RECORDS), or of those that the manifest lists.
 
     Archives up to ``stream_bytes`` come through Spark's binaryFile source, from any store
-    that Spark reads; larger ones are streamed by their path, so memory holds one record.
+    that Spark reads; larger ones are streamed by their path, so memory holds one record. Archives of attempts that were not
+    committed are few; their names are found without reading contents, and taken out by a join.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder)
+    if manifest is not None:
+        name = F.substring_index("path", "/", -1)
+        orphans = materialize(files.select("path", name.alias("archive")).join(manifest.select("archive"), "archive", "left_anti").select("path"), "orphans")
+        if orphans.limit(1).count():
+            files = files.join(broadcast_up_to(orphans, 100_000), "path", "left_anti")
     small = files.where(F.col("length") <= stream_bytes).select("path", "content")
     large = files.where(F.col("length") > stream_bytes).select("path", F.lit(None).cast("binary").alias("content"))
 
     def read(batches):
-        import pyarrow.fs as pafs
-
         for batch in batches:
             for i in range(batch.num_rows):
                 path, content = batch.column(0)[i].as_py(), batch.column(1)[i]
                 if content.is_valid:
                     stream = pa.BufferReader(content.as_buffer())
                 else:
-                    fs, at = pafs.FileSystem.from_uri(path)
+                    fs, at = _opened(path)
                     stream = fs.open_input_stream(at)
                 rows, size = [], 0
                 for offset, kind, a, b in salvage(stream):
@@ -277,6 +302,6 @@ def read_archives(spark: SparkSession, folder: str, with_payload: bool = True, s
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     folder = shared_dir(spark) + "/warc"
-    write_archives(mark_revisits(pages), folder)
-    read = read_archives(spark, folder, with_payload=False).where("kind = 'record'")
+    manifest = write_archives(mark_revisits(pages), folder)
+    read = read_archives(spark, folder, with_payload=False, manifest=manifest).where("kind = 'record'")
     return read.select(F.expr("try_cast(regexp_extract(record_id, '^urn:page:(-?[0-9]+)$', 1) AS BIGINT)").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.expr("try_cast(regexp_extract(refers_to_id, '^urn:page:(-?[0-9]+)$', 1) AS BIGINT)").alias("refers_to"), "target_uri")
