@@ -69,7 +69,7 @@ def _bucketed(df: DataFrame, parts: int) -> DataFrame:
     return spark.table(name)
 
 
-def tokenise(docs: DataFrame, key: str, text: str, train: Column, block_bytes: int = 3 << 20) -> DataFrame:
+def tokenise(docs: DataFrame, key: str, text: str, train: Column, block_bytes: int = 2 << 20) -> DataFrame:
     """Blocks of about block_bytes of text: (block, keys, train, lengths, words, index, n_tokens, n_train).
 
     words: the block's different tokens by falling frequency; index: the token at each place.
@@ -259,13 +259,13 @@ def _rows(batches) -> Iterator[tuple[dict, list]]:
             yield row, [row[n].as_py() or [] for n in names if n.startswith("level")]
 
 
-def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text", depth: int = 4, min_count: int = 16, min_divergence: float = 0.05) -> DataFrame:
+def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text", depth: int = 4, min_count: int = 16, min_divergence: float = 0.05, range_tokens: int = 500_000) -> DataFrame:
     """(key, trained, n_tokens, n_known, train_tokens, base_score, score) of every row."""
     spark = docs.sparkSession
     parts = shuffle_parts(spark)
     blocks = _bucketed(tokenise(docs, key, text, train), parts)
     n, n_tokens = blocks.agg(F.coalesce(F.sum("n_train"), F.lit(0)), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
-    ranges = 1 << (max(parts, n_tokens // 2_000_000) - 1).bit_length()
+    ranges = 1 << (max(parts, n_tokens // range_tokens) - 1).bit_length()
     returned = [_request(blocks, [], ranges, (depth, min_count, min_divergence, (n, 0)), parts)]
     distinct = returned[0].agg(F.coalesce(F.sum("positive"), F.lit(0))).first()[0]
     args = (depth, min_count, min_divergence, (n, distinct))
