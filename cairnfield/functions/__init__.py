@@ -162,3 +162,31 @@ def bin_edges(low: float, high: float, n: int | None, log: bool = False, smalles
         return linear_edges(low, high, n)
     down = max(1, min(n - 1, round(n * -low / (high - low))))
     return linear_edges(low, 0.0, down)[:-1] + linear_edges(0.0, high, n - down)
+
+
+def float_format(x: float, digits: int = 2) -> str:
+    """Fixed digits where that shows the number, else powers of ten."""
+    fixed = f"{x:.{digits}f}"
+    return fixed if x == 0 or (float(fixed) != 0 and abs(x) < 10 ** (digits + 3)) else scientific(x)
+
+
+def map_names(names: list[str], table: dict[str, str]) -> list[str]:
+    """Names through a table; those it lacks stay."""
+    return [table.get(n, n) for n in names]
+
+
+def nested_items(tree: dict, path: tuple = ()):
+    """(path, leaf) of nested dicts, depth first."""
+    for k, v in tree.items():
+        if isinstance(v, dict):
+            yield from nested_items(v, (*path, k))
+        else:
+            yield (*path, k), v
+
+
+def nested_update(tree: dict, other: dict) -> dict:
+    """A new dict: other's leaves over those of tree, level by level."""
+    out = dict(tree)
+    for k, v in other.items():
+        out[k] = nested_update(out[k], v) if isinstance(v, dict) and isinstance(out.get(k), dict) else v
+    return out

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import re
+from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +25,12 @@ class Dataset:
         if len(set(self.variables)) < len(self.variables) or len(set(pretty)) < len(pretty):
             raise ValueError(f"variable names of {self.name} are not unique")
 
+    @property
+    def grid(self) -> tuple[int, int]:
+        """How many latitudes and longitudes the cube has."""
+        row = self.cube.agg(F.count_distinct("lat_idx"), F.count_distinct("lon_idx")).first()
+        return row[0], row[1]
+
     def names(self) -> set[str]:
         return {self.name, self.pretty_name or self.name}
 
@@ -63,6 +71,34 @@ class Datasets:
     def __contains__(self, name: str) -> bool:
         return any(name in d.names() for d in self.datasets)
 
+    def get_index(self, name: str) -> int:
+        """The place of a dataset, by raw or pretty name."""
+        return self.datasets.index(self[name])
+
+    def fill(self, keys: list[str], axes: list[str], *masks: DataFrame, reference: str | None = "burned.*area") -> "Datasets":
+        """Every variable's masked values filled from the nearest valid cell of its month, but where the combined mask holds.
+
+        The mask is the OR of the given mask tables (keys, mask) and of the masked cells of the one variable whose name matches
+        ``reference`` (None: of the given ones alone). keys: time and cell columns; axes: those along which distance counts.
+        """
+        from .gapfill import nearest_cell
+        from .masks import apply_masks
+
+        masks = list(masks)
+        if reference is not None:
+            hits = [(d, v) for d in self.datasets for v in d.variables if any(re.fullmatch(reference, n, re.IGNORECASE) for n in (v, d.pretty_variables.get(v, v)))]
+            if len(hits) != 1:
+                raise ValueError(f"{len(hits)} variables match {reference!r}")
+            masks.append(hits[0][0][hits[0][1]].select(*keys, F.col("value").isNull().alias("mask")))
+        times = [k for k in keys if k not in axes]
+        out = []
+        for d in self.datasets:
+            parts = [nearest_cell(d[v], axes, within=times) for v in d.variables]
+            filled = reduce(DataFrame.unionByName, parts)
+            kept = apply_masks(filled.withColumn("_own", F.col("value")).withColumn("value", F.col("filled")), *masks, keys=keys)
+            out.append(replace(d, cube=kept.withColumn("value", F.coalesce("_own", "value")).drop("_own", "filled")))
+        return Datasets(out)
+
     def select_datasets(self, names: list[str]) -> "Datasets":
         return Datasets([self[n] for n in dict.fromkeys(names)])
 

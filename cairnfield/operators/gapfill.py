@@ -74,28 +74,67 @@ def persistent_season_trend(cube: DataFrame, cell: list[str], t: str, percent: i
     return season_trend(first, cell, t, k, value)
 
 
-def nearest_cell(cube: DataFrame, axes: list[str], value: str = "value", radius: int = 1, most: int = 1 << 20) -> DataFrame:
+def temporal_neighbours_span(cube: DataFrame, cell: list[str], t: str, n: int, start: int, end: int, threshold: float = 0.0, land: Column | None = None, value: str = "value", period: int = 12) -> DataFrame:
+    """As temporal_neighbours, for the months start..end: missing fractions are those of these months, and fills read n months more on either side.
+
+    A month that no cell has in start..end, or in the n months around, is an error.
+    """
+    if not isinstance(n, int) or isinstance(n, bool):
+        raise ValueError("n must be an integer")
+    seen = cube.where(F.col(t).between(start - n, end + n)).agg(F.count_distinct(F.when(F.col(t).between(start, end), F.col(t))).alias("target"), F.count_distinct(t).alias("source")).first()
+    if seen["target"] != end - start + 1:
+        raise RuntimeError("months of the target period are missing")
+    if seen["source"] != end - start + 1 + 2 * n:
+        raise RuntimeError("months around the target period are missing")
+    rows = cube.where(F.col(t).between(start - n, end + n))
+    inside = F.col(t).between(start, end)
+    hole = F.col(value).isNull() if land is None else F.col(value).isNull() & land
+    by = Window.partitionBy(*cell).orderBy(t)
+    missing = F.avg(F.when(inside, hole.cast("double"))).over(Window.partitionBy(*cell, F.pmod(F.col(t), F.lit(period))))
+    found = []
+    for d in range(1, n + 1):
+        a, b = F.lag(value, d).over(by), F.lead(value, d).over(by)
+        found.append(F.when(a.isNotNull() & b.isNotNull(), (a + b) / 2).otherwise(F.coalesce(a, b)))
+    return rows.withColumn("filled", F.when(F.col(value).isNull() & (missing > threshold), F.coalesce(*found)).otherwise(F.col(value))).where(inside)
+
+
+def nearest_cell(cube: DataFrame, axes: list[str], value: str = "value", within: list[str] = ()) -> DataFrame:
     """Add filled: the nearest valid value by Euclidean index distance over the axes; ties by least indices.
 
-    Holes search blocks of ``radius`` around them (an equi-join on block numbers) and what is still open
-    searches twice as far, so the cost follows the distance to data, not the grid.
+    One pass for each axis, from the last to the first: along a line of the grid, the nearest valid cell in the lines seen so
+    far is the one with the least squared distance there plus the squared step along the line. So a task holds
+    a line (the length of one axis), and the cost does not depend on how far data are. Combinations of the axes that the cube has no row for are
+    taken for masked cells, and are not returned. Without any valid value nothing is filled. within: columns (such as the month) of which each
+    value is a grid of its own.
     """
-    valid = cube.where(F.col(value).isNotNull()).select(*[F.col(a).alias(f"_{a}") for a in axes], F.col(value).alias("_v"))
-    holes = cube.where(F.col(value).isNull()).select(*axes)
-    done = None
-    if valid.limit(1).count() == 0:
-        return cube.withColumn("filled", F.col(value))
-    while True:
-        blocks = valid.withColumns({f"_b{a}": F.floor(F.col(f"_{a}") / radius) for a in axes})
-        near = holes
-        for a in axes:
-            b = F.floor(F.col(a) / radius)
-            near = near.withColumn(f"_b{a}", F.explode(F.array(b - 1, b, b + 1)))
-        distance = sum(((F.col(a) - F.col(f"_{a}")).cast("long") * (F.col(a) - F.col(f"_{a}")).cast("long") for a in axes), F.lit(0))
-        pairs = near.join(blocks, [f"_b{a}" for a in axes]).withColumn("_d", distance).where(F.col("_d") <= radius * radius)
-        found = pairs.groupBy(*axes).agg(F.min_by("_v", F.struct("_d", *[f"_{a}" for a in axes])).alias("_fill"))
-        done = found if done is None else done.unionByName(found)
-        holes = holes.join(found, axes, "left_anti")
-        if radius >= most or holes.limit(1).count() == 0:
-            return cube.join(done, axes, "left").withColumn("filled", F.coalesce(F.col(value), F.col("_fill"))).drop("_fill")
-        radius *= 2
+    within = list(within)
+    places = [cube.select(*x).dropna().distinct() for x in ([within] if within else []) + [[a] for a in axes]]
+    whole = places[0]
+    for p in places[1:]:
+        whole = whole.crossJoin(F.broadcast(p))
+    rows = whole.join(cube.where(F.col(value).isNotNull()).select(*within, *axes, F.col(value).alias("_v")), [*within, *axes], "left")
+    rows = rows.withColumn("_d", F.when(F.col("_v").isNotNull(), F.lit(0).cast("long")))
+    schema = rows.schema
+
+    def along(axis: str):
+        def line(group: pd.DataFrame) -> pd.DataFrame:
+            group = group.sort_values(axis, ignore_index=True)
+            ok, want = np.flatnonzero(group["_d"].notna()), np.flatnonzero(group["_d"].isna() | (group["_d"] > 0))
+            if not len(ok) or not len(want):
+                return group
+            at, distance = group[axis].to_numpy(np.int64), group["_d"].to_numpy(float)
+            values, best, best_d = group["_v"].to_numpy(object), np.arange(len(group)), distance.copy()
+            step = max(1, (1 << 20) // len(ok))
+            for i in range(0, len(want), step):
+                part = want[i : i + step]
+                cost = distance[ok] + (at[part][:, None] - at[ok][None, :]).astype(float) ** 2
+                least = cost.argmin(1)
+                best[part], best_d[part] = ok[least], cost[np.arange(len(part)), least]
+            return group.assign(_v=values[best], _d=pd.Series(best_d).astype("Int64"))
+
+        return line
+
+    for axis in reversed(axes):
+        others = within + [a for a in axes if a != axis]
+        rows = rows.groupBy(*others).applyInPandas(along(axis), schema)
+    return cube.join(rows.select(*within, *axes, F.col("_v").alias("_fill")), [*within, *axes], "left").withColumn("filled", F.coalesce(F.col(value), F.col("_fill"))).drop("_fill")

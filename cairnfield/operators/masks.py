@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,6 +58,30 @@ def polygon(lat: Column, lon: Column, corners: list[tuple[float, float]]) -> Col
     return crossings % 2 == 1
 
 
+def land(lat: Column, lon: Column, polygons: list[list[tuple[float, float]]], ignore: tuple[int, ...] = ()) -> Column:
+    """Whether a place lies in any polygon but those whose numbers are ignored."""
+    return any_of([polygon(lat, lon, p) for i, p in enumerate(polygons) if i not in set(ignore)])
+
+
+def has_columns(cube: DataFrame, *names: str) -> bool:
+    """Whether the cube has all these coordinates."""
+    return set(names) <= set(cube.columns)
+
+
+def observed_masked(cube: DataFrame, fraction: DataFrame, keys: list[str], variables: list[str], name: str, threshold: float = 0.8, digits: int = 3, value: str = "value") -> tuple[str, DataFrame]:
+    """(new name, cube): the named variables masked where the observed fraction, at its own frequency, is below the threshold.
+
+    A threshold of more digits than ``digits`` is an error, as it could not be told from the name.
+    """
+    if abs(threshold - round(threshold, digits)) > 1e-8:
+        raise AssertionError(f"the threshold has more than {digits} digits")
+    hidden = observed_mask(fraction, keys, round(threshold, digits), value=value)
+    hit = F.col("variable").isin(*variables)
+    masked = cube.join(hidden.withColumnRenamed("mask", "_observed"), keys, "left").withColumn(value, F.when(~(hit & F.coalesce("_observed", F.lit(False))), F.col(value))).drop("_observed")
+    parts = "__".join(re.sub(r"_+", "_", re.sub(r"[ -]", "_", v)).strip("_") for v in variables)
+    return f"{name}_{parts}__thres_{threshold:.{digits}f}", masked
+
+
 def select_box(cube: DataFrame, lats: tuple[float, float] | None, lons: tuple[float, float] | None, half_lat: float, half_lon: float) -> DataFrame:
     """Cells whose bounds meet the box."""
     tests = []
@@ -104,9 +130,9 @@ def scatter(values: DataFrame, grid: DataFrame, keys: list[str]) -> DataFrame:
     return grid.select(*keys).join(values, keys, "left")
 
 
-def valid_extent(cube: DataFrame, axis: str, value: str = "value") -> DataFrame:
-    """(first, last): the axis without masked borders."""
-    return unmasked(cube, value).agg(F.min(axis).alias("first"), F.max(axis).alias("last"))
+def valid_extent(cube: DataFrame, axis: str, value: str = "value", keys: list[str] = ()) -> DataFrame:
+    """(keys, first, last): the axis without masked borders."""
+    return unmasked(cube, value).groupBy(*keys).agg(F.min(axis).alias("first"), F.max(axis).alias("last"))
 
 
 def valid_extent_circular(cube: DataFrame, axis: str, n: int, value: str = "value") -> DataFrame:

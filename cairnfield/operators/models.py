@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import itertools
 import random
+import time
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
@@ -12,28 +15,30 @@ from pyspark.ml.regression import GeneralizedLinearRegression, RandomForestRegre
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..tables import exists, materialize
+from .stats import exact_percentiles
+
 
 def folds(rows: DataFrame, order: str, k: int) -> DataFrame:
-    """Add fold 0..k-1: contiguous and unshuffled, the first n % k folds one row longer. ``order`` is numeric.
+    """Add fold 0..k-1: contiguous and unshuffled, the first n % k folds one row longer.
 
-    Rows are numbered within ranges cut at approximate quantiles, and the ranges' sizes (one row a range on the
-    driver) give each range's first number, so no task orders more than a range.
+    Rows are dealt by range and written, so that ranges stay as they are; numbers within the ranges and the ranges' sizes (one row a range on the
+    driver) give each row's place, so no task orders more than a range.
     """
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cuts = sorted(set(rows.approxQuantile(order, [i / parts for i in range(1, parts)], 1 / (4 * parts)))) if parts > 1 else []
-    part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<double>"), lambda c: c <= F.col(order)))
-    cut_rows = rows.withColumn("_part", part)
-    sizes = sorted(cut_rows.groupBy("_part").count().collect())
-    n, before, total = sum(c for _, c in sizes), [], 0
-    for p, c in sizes:
+    spark = rows.sparkSession
+    dealt = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), order)
+    dealt = materialize(dealt.withColumn("_part", F.spark_partition_id()), "ranges")
+    n, before, total = 0, [], 0
+    for p, c in sorted(dealt.groupBy("_part").count().collect()):
         before.append((p, total))
         total += c
-    starts = rows.sparkSession.createDataFrame(before or [(0, 0)], "_part int, _before long")
+    n = total
+    starts = spark.createDataFrame(before, "_part int, _before long")
     at = F.col("_before") + F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1
     size, extra = divmod(n, k)
     edge = extra * (size + 1)
     fold = F.when(F.col("_at") < edge, F.floor(F.col("_at") / (size + 1))).otherwise(extra + F.floor((F.col("_at") - edge) / max(1, size)))
-    return cut_rows.join(F.broadcast(starts), "_part").withColumn("_at", at).withColumn("fold", fold.cast("int")).drop("_part", "_before", "_at")
+    return dealt.join(F.broadcast(starts), "_part").withColumn("_at", at).withColumn("fold", fold.cast("int")).drop("_part", "_before", "_at")
 
 
 def forest(features: list[str], label: str, **params) -> Pipeline:
@@ -70,29 +75,57 @@ def parameter_sets(grid: dict[str, list], n: int | None = None, seed: int = 0) -
     return every[:n]
 
 
-def cross_validate(rows: DataFrame, features: list[str], label: str, sets: list[dict], k: int = 5, order: str | None = None, known: DataFrame | None = None) -> DataFrame:
-    """(params, split, train, test) with R2 scores for every set and fold; pairs in ``known`` are not fitted again."""
+def cross_validate(rows: DataFrame, features: list[str], label: str, sets: list[dict], k: int = 5, order: str | None = None, known: DataFrame | None = None, parallelism: int = 4, seconds: float | None = None) -> DataFrame:
+    """(number, params, split, train, test) with R2 scores for every set and fold, up to ``parallelism`` fits at a time.
+
+    Pairs in ``known`` are not fitted again; after ``seconds`` no further fit starts, and the pairs left over are
+    missing in the table, so a later call with it as ``known`` goes on there.
+    """
     spark: SparkSession = rows.sparkSession
     dealt = folds(rows, order or features[0], k).persist()
     done = {(r["params"], r["split"]): r for r in known.collect()} if known is not None else {}
-    out = []
-    for params in sets:
+    until = None if seconds is None else time.monotonic() + seconds
+
+    def one(number: int, params: dict, split: int):
         name = ", ".join(f"{k_}={v}" for k_, v in sorted(params.items()))
-        for split in range(k):
-            if (name, split) in done:
-                out.append(tuple(done[name, split]))
-                continue
-            train, test = dealt.where(F.col("fold") != split), dealt.where(F.col("fold") == split)
-            model = forest(features, label, **params).fit(train)
-            out.append((name, split, r2(model.transform(train), label), r2(model.transform(test), label)))
+        if (name, split) in done:
+            return number, name, split, done[name, split]["train"], done[name, split]["test"]
+        if until is not None and time.monotonic() > until:
+            return None
+        train, test = dealt.where(F.col("fold") != split), dealt.where(F.col("fold") == split)
+        model = forest(features, label, **params).fit(train)
+        return number, name, split, r2(model.transform(train), label), r2(model.transform(test), label)
+
+    work = [(i, params, split) for i, params in enumerate(sets) for split in range(k)]
+    with ThreadPoolExecutor(parallelism) as pool:
+        out = list(pool.map(inheritable_thread_target(spark)(lambda w: one(*w)), work))
     dealt.unpersist()
-    return spark.createDataFrame(out, "params string, split int, train double, test double")
+    return spark.createDataFrame([x for x in out if x is not None], "number int, params string, split int, train double, test double")
 
 
 def best_parameters(scores: DataFrame, k: int) -> DataFrame:
-    """The set with the greatest mean test score of those with all k splits; ties go to the first name."""
-    mean = scores.groupBy("params").agg(F.avg("test").alias("score"), F.count(F.lit(1)).alias("n")).where(F.col("n") == k)
-    return mean.orderBy(F.desc("score"), "params").limit(1).select("params", "score")
+    """The set with the greatest mean test score of those with all k splits; of equal ones the first number, or name without numbers."""
+    first = F.min("number") if "number" in scores.columns else F.lit(0)
+    mean = scores.groupBy("params").agg(F.avg("test").alias("score"), F.count(F.lit(1)).alias("n"), first.alias("first")).where(F.col("n") == k)
+    return mean.orderBy(F.desc("score"), "first", "params").limit(1).select("params", "score")
+
+
+def search(rows: DataFrame, features: list[str], label: str, sets: list[dict], store: str, k: int = 5, order: str | None = None, seconds: float | None = None, parallelism: int = 4):
+    """Search whose score table lives at ``store`` and is resumed from there: (scores, best parameters, the model refitted on all rows).
+
+    Best parameters and model are None while no set has all its splits.
+    """
+    spark = rows.sparkSession
+    newest = spark.read.parquet(store).agg(F.max("run")).first()[0] if exists(spark, store) else None
+    known = None if newest is None else spark.read.parquet(store).where(F.col("run") == newest).drop("run")
+    run = 0 if newest is None else newest + 1
+    scores = cross_validate(rows, features, label, sets, k, order, known, parallelism, seconds)
+    scores.withColumn("run", F.lit(run)).write.mode("append").parquet(store)
+    best = best_parameters(scores, k).first()
+    if best is None:
+        return scores, None, None
+    number = scores.where(F.col("params") == best["params"]).first()["number"]
+    return scores, sets[number], forest(features, label, **sets[number]).fit(rows)
 
 
 def leave_one_out(rows: DataFrame, features: list[str], label: str, seed: int = 1, **params) -> dict[str, float]:
@@ -115,10 +148,6 @@ def partial_dependence(rows: DataFrame, model, feature: str, grid: list[float])
 
 
 def pdp_grid(rows: DataFrame, feature: str, n: int, low: float = 0.05, high: float = 0.95) -> list[float]:
-    a, b = rows.select(F.percentile(feature, F.array(F.lit(low), F.lit(high)))).first()[0]
+    found = {r["share"]: r["percentile"] for r in exact_percentiles(rows, [], feature, [low, high]).collect()}
+    a, b = found[low], found[high]
     return [a + (b - a) * i / (n - 1) for i in range(n)]
-
-
-def fold_numbers(rows: DataFrame, keys: list[str], order: str, k: int) -> DataFrame:
-    """As folds, inside bounded groups, by a window."""
-    return rows.withColumn("fold", F.ntile(k).over(Window.partitionBy(*keys).orderBy(order)) - 1)

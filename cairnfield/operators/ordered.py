@@ -46,10 +46,10 @@ def fire_season(rows: DataFrame, keys: list[str], order: str, value: str, thresh
 
     Values over ``threshold`` times the cell's largest are significant. The largest cluster is the season,
     the first of equal ones; clusters at both ends of the cycle join if together they are larger, and
-    cells where they are as large as the main one are left out. fraction: size / significant months.
+    cells where they are as large as the main one are left out, as are cells whose largest value is 0. fraction: size / significant months.
     """
     whole = Window.partitionBy(*keys)
-    hit = rows.withColumn("_hit", F.col(value) / F.max(value).over(whole) > threshold).where("_hit")
+    hit = rows.withColumn("_hit", F.try_divide(F.col(value), F.max(value).over(whole)) > threshold).where("_hit")
     islands = runs(hit, keys, order, F.lit(True))
     ranked = islands.withColumns(
         {

@@ -2,22 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import EARTH_KM, haversine_km
+from ..tables import materialize
 
 
-def variogram(points: DataFrame, pid: str, lat: str, lon: str, x: str, bins: int, max_lag: float) -> DataFrame:
+def variogram(points: DataFrame, pid: str, lat: str, lon: str, x: str, bins: int, max_lag: float, slices: int = 4) -> DataFrame:
     """(bin, low, high, n, semivariance): half the population variance of the signed differences x_i - x_j, i > j.
 
-    Points are dealt into latitude bands of ``max_lag`` km; only equal and neighbouring bands meet,
-    so pairs that are too far apart north to south are never made.
+    Points are dealt into latitude bands of ``max_lag`` km, and these into cells of longitude that are as wide as two points
+    of neighbouring bands within that distance can be apart; only equal and neighbouring cells meet. The points of a cell
+    meet in ``slices``, so a crowded cell is dealt over several tasks.
     """
-    band = F.floor(F.radians(F.col(lat)) * EARTH_KM / max_lag)
-    a = points.select(*[F.col(c).alias(f"a_{n}") for c, n in ((pid, "id"), (lat, "lat"), (lon, "lon"), (x, "x"))], band.alias("band"))
-    b = points.select(*[F.col(c).alias(f"b_{n}") for c, n in ((pid, "id"), (lat, "lat"), (lon, "lon"), (x, "x"))], F.explode(F.array(band - 1, band, band + 1)).alias("band"))
-    pairs = a.join(b, "band").where("a_id > b_id").withColumn("d", haversine_km(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon"))).where(F.col("d") < max_lag)
+    named = [F.col(c).alias(n) for c, n in ((pid, "id"), (lat, "lat"), (lon, "lon"), (x, "x"))]
+    band_of = F.floor(F.radians(F.col("lat")) * EARTH_KM / max_lag).cast("int")
+    height = max_lag / EARTH_KM
+
+    def cells(band: Column) -> Column:
+        """How many cells a band has: the nearest pole's parallel of its neighbours bounds the longitudes between two points."""
+        narrow = F.cos(F.least(F.greatest(F.abs((band - 1) * height), F.abs((band + 2) * height)), F.lit(math.pi / 2)))
+        reach = 2 * F.asin(F.least(F.lit(1.0), F.try_divide(F.lit(math.sin(min(height, math.pi) / 2)), F.greatest(narrow, F.lit(1e-12)))))
+        return F.greatest(F.lit(1), F.floor(2 * math.pi / reach).cast("int"))
+
+    def cell(lon: Column, n: Column) -> Column:
+        return F.least(F.floor(F.pmod(lon, F.lit(360.0)) / 360 * n).cast("int"), n - 1)
+
+    a = points.select(*named).withColumn("band", band_of)
+    a = a.select("band", cell(F.col("lon"), cells(F.col("band"))).alias("cell"), F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int").alias("slice"), *[F.col(n).alias(f"a_{n}") for n in ("id", "lat", "lon", "x")])
+    b = points.select(*named).withColumn("band", F.explode(F.array(band_of - 1, band_of, band_of + 1))).withColumn("n", cells(F.col("band")))
+    near = F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda i: F.pmod(cell(F.col("lon"), F.col("n")) + i, F.col("n"))))
+    b = b.withColumn("cell", F.explode(near)).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    b = b.select("band", "cell", "slice", *[F.col(n).alias(f"b_{n}") for n in ("id", "lat", "lon", "x")])
+    pairs = a.join(b, ["band", "cell", "slice"]).where("a_id > b_id").withColumn("d", haversine_km(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon"))).where(F.col("d") < max_lag)
     width = max_lag / bins
     found = pairs.groupBy(F.floor(F.col("d") / width).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"), (F.var_pop(F.col("a_x") - F.col("b_x")) / 2).alias("semivariance"))
     every = points.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
@@ -52,27 +72,59 @@ def vif(rows: DataFrame, columns: list[str]) -> dict[str, float]:
 
 
 def vif_pair(a: Column, b: Column) -> Column:
-    return 1 / (1 - F.regr_r2(a, b))
+    """1 / (1 - R^2) of two columns: infinite if one follows from the other, null if one is constant."""
+    share = F.regr_r2(a, b)
+    return F.coalesce(F.try_divide(F.lit(1.0), 1 - share), F.when(share.isNotNull(), F.lit(float("inf"))))
 
 
 def histogram(rows: DataFrame, value: str, bins: int = 70) -> DataFrame:
-    """(bin, low, n, density) of valid values over their range; the last bin holds its upper edge."""
-    span = rows.agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count(value).alias("_n"))
+    """(bin, low, n, density) of valid values over their range; the last bin holds its upper edge. A constant column's range is its value -0.5 .. +0.5."""
+    half = F.when(F.min(value) == F.max(value), 0.5).otherwise(0.0)
+    span = rows.agg((F.min(value) - half).alias("_lo"), (F.max(value) + half).alias("_hi"), F.count(value).alias("_n"))
     width = (F.col("_hi") - F.col("_lo")) / bins
     each = rows.where(F.col(value).isNotNull()).crossJoin(F.broadcast(span)).withColumn("bin", F.least(F.floor((F.col(value) - F.col("_lo")) / width), F.lit(bins - 1)).cast("int"))
     return each.groupBy("bin").agg(F.first(F.col("_lo") + F.col("bin") * width).alias("low"), F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) / F.first(F.col("_n") * width)).alias("density"))
 
 
+def exact_percentiles(rows: DataFrame, keys: list[str], value: str, shares: list[float], accuracy: int = 10_000) -> DataFrame:
+    """(keys, share, percentile): linear between the two values at share * (n - 1), as numpy gives it.
+
+    An approximate sketch brackets each wanted rank; values below the bracket are counted and only those in it (about 1 / accuracy
+    of a key's rows) are put in order, equal ones as one row. So no task holds a key's values.
+    """
+    spark = rows.sparkSession
+    rows = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    slack = 3 / accuracy
+    edges = F.percentile_approx("_v", F.array(*[F.lit(min(1.0, max(0.0, s + e))) for s in shares for e in (-slack, slack)]), F.lit(accuracy))
+    brackets = rows.groupBy(*keys).agg(edges.alias("_e"), F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_least"), F.max("_v").alias("_most"))
+    listed = F.array(*[F.struct(F.lit(s).alias("share"), (F.col("_least") if s <= slack else F.get("_e", F.lit(2 * i))).alias("_a"), (F.col("_most") if s >= 1 - slack else F.get("_e", F.lit(2 * i + 1))).alias("_b")) for i, s in enumerate(shares)])
+    brackets = materialize(brackets.select(*keys, "_n", F.inline(listed)), "brackets")
+    wide = F.broadcast(brackets)
+    each = rows.join(wide, keys) if keys else rows.crossJoin(wide)
+    below = each.where("_v < _a").groupBy(*keys, "share").agg(F.count(F.lit(1)).alias("_below"))
+    inside = each.where("_v between _a and _b").groupBy(*keys, "share", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    by = Window.partitionBy(*keys, "share").orderBy("_v")
+    placed = inside.withColumn("_to", F.sum("_c").over(by)).join(below, [*keys, "share"], "left").join(wide, [*keys, "share"])
+    rank = F.col("share") * (F.col("_n") - 1)
+    to = F.coalesce("_below", F.lit(0)) + F.col("_to")
+    low, high = F.min(F.when(to > F.floor(rank + 1e-9), F.col("_v"))), F.min(F.when(to > F.ceil(rank - 1e-9), F.col("_v")))
+    part = F.first(rank - F.floor(rank + 1e-9))
+    return placed.groupBy(*keys, "share").agg((low + F.greatest(part, F.lit(0.0)) * (high - low)).alias("percentile"))
+
+
 def percentile_limits(cubes: DataFrame, variable: str, value: str, low: float | None, high: float | None) -> DataFrame:
     """(vmin, vmax): the least low and the greatest high percentile over the variables; None takes the extremes."""
-    lo, hi = F.percentile(value, low / 100) if low else F.min(value), F.percentile(value, high / 100) if high and high < 100 else F.max(value)
-    return cubes.groupBy(variable).agg(lo.alias("l"), hi.alias("h")).agg(F.min("l").alias("vmin"), F.max("h").alias("vmax"))
+    low, high = (low or 0) / 100, 1.0 if high is None else high / 100
+    found = exact_percentiles(cubes, [variable], value, sorted({low, high}))
+    return found.agg(F.min(F.when(F.col("share") == low, F.col("percentile"))).alias("vmin"), F.max(F.when(F.col("share") == high, F.col("percentile"))).alias("vmax"))
 
 
 def scores(rows: DataFrame, observed: str, predicted: str) -> DataFrame:
-    """(r2, mse) of predictions."""
+    """(r2, mse) of predictions. Of constant observations r2 is 1 if all are met, else 0."""
     y, p = F.col(observed), F.col(predicted)
-    return rows.agg((1 - F.sum((y - p) * (y - p)) / (F.var_pop(y) * F.count(y))).alias("r2"), F.avg((y - p) * (y - p)).alias("mse"))
+    error = F.sum((y - p) * (y - p))
+    r2 = F.coalesce(1 - F.try_divide(error, F.var_pop(y) * F.count(y)), F.when(error == 0, 1.0).when(error.isNotNull(), 0.0))
+    return rows.agg(r2.alias("r2"), F.avg((y - p) * (y - p)).alias("mse"))
 
 
 def area_weighted_mean(cube: DataFrame, keys: list[str], lat: str = "lat", value: str = "value") -> DataFrame:
@@ -86,6 +138,3 @@ def fingerprint(rows: DataFrame) -> DataFrame:
     h = F.xxhash64(*[F.struct(F.lit(n), F.col(n).isNull(), F.col(n)) for n in names])
     return rows.select(h.alias("h")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("h").cast("decimal(38,0)")).cast("string").alias("total"), F.bit_xor("h").alias("mix"))
 
-
-def edges_table(spark: SparkSession, edges: list[float]) -> DataFrame:
-    return spark.createDataFrame(list(zip(range(len(edges) - 1), edges, edges[1:])), "bin int, low double, high double")

@@ -65,11 +65,10 @@ def broadcast_climatology(clim: DataFrame, start: int, end: int) -> DataFrame:
 def interpolate_yearly(yearly: DataFrame, keys: list[str], start: int, end: int, value: str = "value", limits: tuple[float, float] | None = None) -> DataFrame:
     """Yearly values (year, keys, value; dated 1 January) to months, linear in time.
 
-    Months outside the years go on along the nearest segment; results outside of the input's own least and largest
-    value are masked. Each segment (year, next year) makes its own months, so nothing is joined by range.
+    Months outside the years go on along the nearest segment; results outside of their variable's own least and largest
+    value (of all values, if ``variable`` is no key) are masked. Each segment (year, next year) makes its own months, so nothing is joined by range.
     """
     by = Window.partitionBy(*keys).orderBy("year")
-    low_high = yearly.agg(F.min(value).alias("low"), F.max(value).alias("high")) if limits is None else None
     seg = yearly.withColumns({"next_year": F.lead("year").over(by), "next_value": F.lead(value).over(by), "first": F.row_number().over(by) == 1})
     last = F.lead("year", 2).over(by)
     seg = seg.withColumn("last", last.isNull()).where("next_year is not null")
@@ -80,7 +79,9 @@ def interpolate_yearly(yearly: DataFrame, keys: list[str], start: int, end: int,
     part = F.datediff(month_start(F.col("m")).cast("date"), F.make_date("year", F.lit(1), F.lit(1))) / F.datediff(F.make_date("next_year", F.lit(1), F.lit(1)), F.make_date("year", F.lit(1), F.lit(1)))
     result = each.select(*keys, F.col("m").cast("int").alias("m"), (F.col(value) + part * (F.col("next_value") - F.col(value))).alias(value))
     if limits is None:
-        result = result.crossJoin(F.broadcast(low_high))
+        own = [k for k in keys if k == "variable"]
+        low_high = F.broadcast(yearly.groupBy(*own).agg(F.min(value).alias("low"), F.max(value).alias("high")))
+        result = result.join(low_high, own) if own else result.crossJoin(low_high)
         inside = F.col(value).between(F.col("low"), F.col("high"))
     else:
         inside = F.col(value).between(*limits)
@@ -154,5 +155,33 @@ def dispatch_monthly(cube: DataFrame, kind: str, start: int, end: int, keys: lis
     return monthly_mean(limit_months(cube, start, end), keys)
 
 
-def column_time(name: Column, pattern: str, index: int = 1) -> Column:
-    return F.regexp_extract(name, pattern, index)
+def with_shifts(cube: DataFrame, variables: list[str], shifts: list[int], time: str = "time") -> DataFrame:
+    """The cube and, for each shift, copies of the variables moved that many months later ("LAI -3 Month")."""
+    out = cube
+    for n in shifts:
+        out = out.unionByName(shift_months(cube.where(F.col("variable").isin(*variables)), -n, time))
+    return out
+
+
+def year_groups(table: DataFrame, groups: dict[int, str], name: str = "file", year: Column | None = None, value: str = "value") -> DataFrame:
+    """Files of one year with a column for each month: (columns, m, value). The year is the last four digits of the name's stem."""
+    year = F.regexp_extract(name, r"(\d{4})\.[A-Za-z0-9]+$", 1).cast("int") if year is None else year
+    rest = [c for c in table.columns if c not in groups.values()]
+    listed = F.array(*[F.struct((year * 12 + month - 1).cast("int").alias("m"), F.col(c).alias(value)) for month, c in sorted(groups.items())])
+    return table.select(*rest, F.inline(listed))
+
+
+def slabs(table: DataFrame, years: list[int], raster: str = "raster") -> DataFrame:
+    """Numbered rasters (1, 2, ..) to (year, ..): the first len(years) of them, as dated 1 January; the rest is no data of a year."""
+    at = F.get(F.array(*[F.lit(y) for y in years]), F.col(raster) - 1)
+    return table.withColumn("year", at).where("year is not null").drop(raster)
+
+
+def yearly_files(table: DataFrame, variables: list[str], order: str = "file", first_year: int = 1992) -> DataFrame:
+    """(year, ..) of one file a year in the order of names, each with the same variables; a file that lacks one is an error."""
+    files = table.groupBy(order).agg(F.array_sort(F.collect_set("variable")).alias("found")).orderBy(order).collect()
+    wrong = [r[order] for r in files if r["found"] != sorted(variables)]
+    if wrong:
+        raise ValueError(f"other variables than asked for in {wrong}")
+    years = table.sparkSession.createDataFrame([(r[order], first_year + i) for i, r in enumerate(files)], f"{order} string, year int")
+    return table.join(F.broadcast(years), order).drop(order)

@@ -70,9 +70,17 @@ def monthly_filter_open_closed(spark, d):
     return temporal.select_monthly(grid(spark, d), 23953, 23960, inclusive_lower=False).select("lat_idx", "m", "value")
 
 
-@query(f"WITH {GRID} SELECT lat_idx, count(*) AS n, count(value) AS n_valid FROM grid WHERE m BETWEEN 23953 AND 23990 GROUP BY lat_idx")
+@query(
+    f"""WITH {GRID} SELECT 'monthly' AS kind, lat_idx, m, value FROM grid WHERE m BETWEEN 23953 AND 23990
+    UNION ALL SELECT 'yearly', lat_idx, m, value FROM grid WHERE m % 12 = 0 AND m // 12 BETWEEN 23953 // 12 AND 23990 // 12 + 1
+    UNION ALL SELECT 'static', lat_idx, m, value FROM grid WHERE m = 23950"""
+)
 def limit_months(spark, d):
-    return temporal.limit_months(grid(spark, d), 23953, 23990).groupBy("lat_idx").agg(F.count(F.lit(1)).alias("n"), F.count("value").alias("n_valid"))
+    cube, out = grid(spark, d), None
+    for kind, rows in (("monthly", cube), ("yearly", cube.where("m % 12 = 0")), ("static", cube.where("m = 23950"))):
+        part = temporal.limit_months(rows, 23953, 23990, kind).select(F.lit(kind).alias("kind"), "lat_idx", "m", "value")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query("SELECT CAST(o_custkey % 20 AS INTEGER) AS cell, CAST(year(o_orderdate) * 12 + month(o_orderdate) - 1 AS INTEGER) AS m, round(avg(o_totalprice), 4) AS value FROM orders GROUP BY 1, 2")
@@ -200,46 +208,41 @@ def valid_range(spark, d):
     return read(spark, d, "events").select("event_id", masks.valid_range(F.col("value"), 1, 50).alias("value"))
 
 
-@query(f"WITH {GRID} SELECT min(m) AS first, max(m) AS last FROM grid WHERE value IS NOT NULL AND lat_idx = 3 AND m % 12 BETWEEN 3 AND 9")
+@query(f"WITH {GRID} SELECT lat_idx, min(m) AS first, max(m) AS last FROM grid WHERE value IS NOT NULL AND m % 12 BETWEEN 3 AND 9 GROUP BY lat_idx")
 def valid_extent(spark, d):
-    cube = grid(spark, d).where("lat_idx = 3").withColumn("value", F.when((F.col("m") % 12).between(3, 9), F.col("value")))
-    return masks.valid_extent(cube, "m")
+    cube = grid(spark, d).withColumn("value", F.when((F.col("m") % 12).between(3, 9), F.col("value")))
+    return masks.valid_extent(cube, "m", keys=["lat_idx"])
 
 
-@query("SELECT CAST(20 AS INTEGER) AS first, CAST(10 AS INTEGER) AS last, CAST(15 AS INTEGER) AS size")
+@query(
+    """WITH v AS (SELECT DISTINCT CAST(c_custkey % 97 AS INTEGER) AS i FROM customer WHERE c_acctbal > 4000 AND NOT (c_custkey % 97 BETWEEN 30 AND 44)),
+    arcs AS (SELECT i AS before, coalesce(lead(i) OVER (ORDER BY i), (SELECT min(i) FROM v) + 97) AS after FROM v),
+    cut AS (SELECT * FROM arcs ORDER BY after - before DESC, after > 96 DESC, before LIMIT 1)
+    SELECT CAST(after % 97 AS INTEGER) AS first, CAST(before AS INTEGER) AS last, CAST((before - after % 97 + 97) % 97 + 1 AS INTEGER) AS size FROM cut"""
+)
 def valid_extent_circular(spark, d):
-    lon = read(spark, d, "nation").select(F.col("n_nationkey").cast("int").alias("lon_idx")).where("lon_idx < 24")
-    cube = lon.withColumn("value", F.when((F.col("lon_idx") <= 10) | (F.col("lon_idx") >= 20), 1.0))
-    return masks.valid_extent_circular(cube, "lon_idx", 24).select(F.col("first").cast("int"), F.col("last").cast("int"), F.col("size").cast("int"))
+    cube = read(spark, d, "customer").select((F.col("c_custkey") % 97).cast("int").alias("lon_idx"), F.col("c_acctbal").alias("x"))
+    cube = cube.withColumn("value", F.when((F.col("x") > 4000) & ~F.col("lon_idx").between(30, 44), F.col("x")))
+    return masks.valid_extent_circular(cube, "lon_idx", 97).select(F.col("first").cast("int"), F.col("last").cast("int"), F.col("size").cast("int"))
 
 
 # ---------------------------------------------------------------- ordered
 DAILY = """day AS (SELECT CAST(o_custkey % 20 AS INTEGER) AS cell, CAST(o_orderdate AS DATE) AS d, max(o_totalprice) AS v FROM orders GROUP BY 1, 2),
-span AS (SELECT unnest(generate_series(DATE '1996-01-01', DATE '1997-12-31', INTERVAL 1 DAY))::DATE AS d),
+span AS (SELECT unnest(generate_series(a, b, INTERVAL 1 DAY))::DATE AS d FROM (SELECT min(d) AS a, max(d) AS b FROM day)),
 daily AS (SELECT c.cell, s.d, CAST(year(s.d) * 12 + month(s.d) - 1 AS INTEGER) AS m, CAST(day(s.d) - 1 AS INTEGER) AS t, coalesce(day.v, 0) < 300000 AS dry
   FROM (SELECT DISTINCT cell FROM day) c CROSS JOIN span s LEFT JOIN day ON day.cell = c.cell AND day.d = s.d),
 hits AS (SELECT *, t - row_number() OVER (PARTITION BY cell, m ORDER BY t) AS island FROM daily WHERE dry),
 isl AS (SELECT cell, m, min(t) AS a, max(t) AS b, count(*) AS n FROM hits GROUP BY cell, m, island),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cell, m ORDER BY n DESC, a) AS k FROM isl) WHERE k = 1),
-lens AS (SELECT cell, m, max(t) AS hi FROM daily GROUP BY 1, 2),
-longest AS (SELECT lens.cell, lens.m, coalesce(n, 0) AS length, coalesce(a = 0, FALSE) AS at_start, coalesce(b = hi, FALSE) AS at_end FROM lens LEFT JOIN best USING (cell, m))"""
-
-
-#: The same from the least to the greatest order date.
-DAILY_WHOLE = (
-    DAILY.replace("SELECT unnest(generate_series(DATE '1996-01-01', DATE '1997-12-31', INTERVAL 1 DAY))::DATE AS d", "SELECT unnest(generate_series(a, b, INTERVAL 1 DAY))::DATE AS d FROM (SELECT min(d) AS a, max(d) AS b FROM day)")
-    .replace("max(t) AS hi", "min(t) AS lo, max(t) AS hi")
-    .replace("coalesce(a = 0, FALSE)", "coalesce(a = lo, FALSE)")
-)
+lens AS (SELECT cell, m, min(t) AS lo, max(t) AS hi FROM daily GROUP BY 1, 2),
+longest AS (SELECT lens.cell, lens.m, coalesce(n, 0) AS length, coalesce(a = lo, FALSE) AS at_start, coalesce(b = hi, FALSE) AS at_end FROM lens LEFT JOIN best USING (cell, m))"""
 
 
-def daily(spark, d, whole=False):
-    """Days of 1996 and 1997, or (whole) from the least to the greatest order date."""
+def daily(spark, d):
+    """Days from the least to the greatest order date."""
     cell = (F.col("o_custkey") % 20).cast("int")
     day = read(spark, d, "orders").groupBy(cell.alias("cell"), F.to_date("o_orderdate").alias("d")).agg(F.max("o_totalprice").alias("v"))
-    span = spark.sql("SELECT explode(sequence(DATE '1996-01-01', DATE '1997-12-31')) AS d")
-    if whole:
-        span = read(spark, d, "orders").agg(F.min(F.to_date("o_orderdate")).alias("a"), F.max(F.to_date("o_orderdate")).alias("b")).select(F.explode(F.sequence("a", "b")).alias("d"))
+    span = read(spark, d, "orders").agg(F.min(F.to_date("o_orderdate")).alias("a"), F.max(F.to_date("o_orderdate")).alias("b")).select(F.explode(F.sequence("a", "b")).alias("d"))
     every = read(spark, d, "orders").select(cell.alias("cell")).distinct().crossJoin(F.broadcast(span))
     return every.join(day, ["cell", "d"], "left").select("cell", month_key(F.col("d")).alias("m"), (F.dayofmonth("d") - 1).alias("t"), F.coalesce("v", F.lit(0.0)).alias("v"))
 
@@ -255,20 +258,9 @@ def longest_run_chained(spark, d):
     return ordered.chained_run(longest, ["cell"], "m").select("cell", "m", "length", "chained")
 
 
-@query(f"WITH {DAILY_WHOLE} SELECT cell, m, length, at_start, at_end FROM longest")
-def longest_run_whole(spark, d):
-    return ordered.longest_run(daily(spark, d, whole=True), ["cell", "m"], "t", F.col("v") < 300000)
-
-
-@query(f"WITH {DAILY_WHOLE}, c AS (SELECT *, sum(CASE WHEN at_start AND coalesce(prev, FALSE) THEN 0 ELSE 1 END) OVER (PARTITION BY cell ORDER BY m) AS chain FROM (SELECT *, lag(at_end) OVER (PARTITION BY cell ORDER BY m) AS prev FROM longest)) SELECT cell, m, length, CAST(sum(length) OVER (PARTITION BY cell, chain ORDER BY m) AS BIGINT) AS chained FROM c")
-def longest_run_chained_whole(spark, d):
-    longest = ordered.longest_run(daily(spark, d, whole=True), ["cell", "m"], "t", F.col("v") < 300000)
-    return ordered.chained_run(longest, ["cell"], "m").select("cell", "m", "length", "chained")
-
-
 @query(
-    f"""WITH {GRID}, clim AS (SELECT lat_idx, CAST(m % 12 AS INTEGER) AS t, count(value) AS v FROM frame GROUP BY 1, 2),
-    sig AS (SELECT *, t - row_number() OVER (PARTITION BY lat_idx ORDER BY t) AS island FROM (SELECT *, v / max(v) OVER (PARTITION BY lat_idx) AS r FROM clim) WHERE r > 0.7),
+    f"""WITH {GRID}, clim AS (SELECT lat_idx, CAST(m % 12 AS INTEGER) AS t, CASE WHEN lat_idx % 8 = 5 THEN 0 ELSE count(value) END AS v FROM frame GROUP BY 1, 2),
+    sig AS (SELECT *, t - row_number() OVER (PARTITION BY lat_idx ORDER BY t) AS island FROM (SELECT *, v / nullif(max(v) OVER (PARTITION BY lat_idx), 0) AS r FROM clim) WHERE r > 0.7),
     isl AS (SELECT lat_idx, min(t) AS a, max(t) AS b, count(*) AS n FROM sig GROUP BY lat_idx, island),
     r AS (SELECT *, row_number() OVER (PARTITION BY lat_idx ORDER BY n DESC, a) AS k, count(*) OVER w AS cnt, sum(n) OVER w AS total,
       max(CASE WHEN a = 0 THEN n END) OVER w AS n0, max(CASE WHEN b = 11 THEN n END) OVER w AS n1, max(CASE WHEN b = 11 THEN a END) OVER w AS a1, max(CASE WHEN a = 0 THEN b END) OVER w AS b0 FROM isl WINDOW w AS (PARTITION BY lat_idx)),
@@ -277,7 +269,7 @@ def longest_run_chained_whole(spark, d):
       round((CASE WHEN both_ends > n THEN both_ends ELSE n END) / total, 9) AS fraction FROM j WHERE both_ends IS NULL OR both_ends <> n"""
 )
 def fire_season(spark, d):
-    clim = frame(spark, d).groupBy("lat_idx", (F.col("m") % 12).cast("int").alias("t")).agg(F.count("value").alias("v"))
+    clim = frame(spark, d).groupBy("lat_idx", (F.col("m") % 12).cast("int").alias("t")).agg(F.count("value").alias("v")).withColumn("v", F.when(F.col("lat_idx") % 8 == 5, 0).otherwise(F.col("v")))
     return ordered.fire_season(clim, ["lat_idx"], "t", "v", 0.7).withColumn("fraction", F.round("fraction", 9))
 
 
@@ -361,19 +353,8 @@ def season_trend_fill(spark, d):
     return gapfill.persistent_season_trend(frame(spark, d).drop("time"), ["lat_idx"], "m").select("lat_idx", "m", F.round("filled", 4).alias("filled"))
 
 
-@query(
-    f"""WITH {GRID}, g AS (SELECT lat_idx, CAST(m - 23940 AS INTEGER) AS t, value FROM frame WHERE m < 23964),
-    d AS (SELECT h.lat_idx, h.t, v.value, (h.lat_idx - v.lat_idx) * (h.lat_idx - v.lat_idx) + (h.t - v.t) * (h.t - v.t) AS dist, v.lat_idx AS a, v.t AS b FROM g h JOIN g v ON h.value IS NULL AND v.value IS NOT NULL),
-    f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lat_idx, t ORDER BY dist, a, b) AS k FROM d) WHERE k = 1)
-    SELECT g.lat_idx, g.t, coalesce(g.value, f.value) AS filled FROM g LEFT JOIN f ON f.lat_idx = g.lat_idx AND f.t = g.t"""
-)
-def spatial_nn_fill(spark, d):
-    rows = frame(spark, d).where("m < 23964").select("lat_idx", (F.col("m") - 23940).cast("int").alias("t"), "value")
-    return gapfill.nearest_cell(rows, ["lat_idx", "t"]).select("lat_idx", "t", "filled")
-
-
 @query()
-def spatial_nn_fill_whole(spark, d):
+def spatial_nn_fill(spark, d):
     """All months; the SQL's join of all pairs would be too slow, so tests compare with brute force."""
     return gapfill.nearest_cell(frame(spark, d).select("lat_idx", "m", "value"), ["lat_idx", "m"]).select("lat_idx", "m", "filled")
 
@@ -440,10 +421,14 @@ def cell_areas(spark, d):
     return read(spark, d, "nation").select("n_nationkey", F.round(spatial.cell_area(-84.0 + 7 * F.col("n_nationkey"), 7.0, 15.0) / 1e6, 3).alias("km2"))
 
 
-@query("SELECT CAST(r AS INTEGER) AS region, count(*) AS n FROM (SELECT o_orderkey % 20 AS r FROM orders) WHERE r BETWEEN 0 AND 14 GROUP BY r")
+#: The names that the codes stand for.
+REGION_NAMES = ["Ocean", "Boreal North America", "Temperate North America", "Central America", "Northern Hemisphere South America", "Southern Hemisphere South America", "Europe", "Middle East", "Northern Hemisphere Africa", "Southern Hemisphere Africa", "Boreal Asia", "Central Asia", "Southeast Asia", "Equatorial Asia", "Australia and New Zealand"]
+
+
+@query(f"SELECT CAST(r AS INTEGER) AS region, {REGION_NAMES}[r + 1] AS name, count(*) AS n FROM (SELECT o_orderkey % 20 AS r FROM orders) WHERE r BETWEEN 0 AND 14 GROUP BY r")
 def region_lookup(spark, d):
     rows = read(spark, d, "orders").select((F.col("o_orderkey") % 20).cast("int").alias("region"))
-    return rows.join(F.broadcast(spatial.region_table(spark)), "region").groupBy("region").agg(F.count("code").alias("n"))
+    return rows.join(F.broadcast(spatial.region_table(spark)), "region").groupBy("region", "name").agg(F.count("code").alias("n"))
 
 
 # ---------------------------------------------------------------- statistics and features
@@ -529,17 +514,22 @@ def best_parameters(spark, d):
     return models.best_parameters(rows, 5).select("params", F.round("score", 6).alias("score"))
 
 
-@query("SELECT n_nationkey, 'Dry Day Period -' || n_nationkey || ' Month' AS long_name, 'DD ' || n_nationkey || 'M' AS short_name FROM nation")
+#: A name for each pattern of short names, and what it becomes.
+LONG_NAMES = {"LAI -3 - 0 Month": "LAI Δ3M", "FAPAR -12 Month": "FAPAR 12M", "VOD 6 M": "VOD 6M", "VOD Ku-band": "VOD", "Diurnal Temp Range": "DTR", "Dry Day Period -1 Month": "DD 1M", "SWI(1)": "SWI", "lightning": "Lightning", "Max Temp": "MaxT", "AGB Tree": "AGB", "ShrubAll": "SHRUB", "TreeAll": "TREE", "pftCrop": "CROP", "pftHerb": "HERB", "popd": "POPD", "CAPE": "CAPE"}
+
+
+@query(f"SELECT o_orderkey, {list(LONG_NAMES)}[o_orderkey % {len(LONG_NAMES)} + 1] AS long_name, {list(LONG_NAMES.values())}[o_orderkey % {len(LONG_NAMES)} + 1] AS short_name FROM orders")
 def name_shorten(spark, d):
-    name = F.concat(F.lit("Dry Day Period -"), F.col("n_nationkey").cast("string"), F.lit(" Month"))
-    return read(spark, d, "nation").select("n_nationkey", name.alias("long_name"), fn.shorten(name).alias("short_name"))
+    name = F.get(F.array(*[F.lit(n) for n in LONG_NAMES]), (F.col("o_orderkey") % len(LONG_NAMES)).cast("int"))
+    return read(spark, d, "orders").select("o_orderkey", name.alias("long_name"), fn.shorten(name).alias("short_name"))
 
 
-@query("SELECT count(*) AS n, count(DISTINCT h) AS n_content FROM (SELECT 1 AS h FROM lineitem)")
+@query("SELECT count(*) AS n, CAST(2 AS BIGINT) AS n_content, CAST(3 AS BIGINT) AS n_tables FROM lineitem")
 def content_fingerprint(spark, d):
     rows = read(spark, d, "lineitem")
     a, b = stats.fingerprint(rows), stats.fingerprint(rows.repartition(5).select(*rows.columns[::-1]))
-    return a.unionByName(b).groupBy("n").agg(F.count_distinct("total", "mix").alias("n_content"))
+    other = stats.fingerprint(rows.withColumn("l_tax", F.when(F.col("l_quantity") == 1, F.col("l_tax") + 1).otherwise(F.col("l_tax"))))
+    return a.unionByName(b).unionByName(other).groupBy("n").agg(F.count_distinct("total", "mix").alias("n_content"), F.count(F.lit(1)).alias("n_tables"))
 
 
 @query("SELECT o_orderkey, CAST(o_orderkey % 100 * 3600 + o_custkey % 60 * 60 + o_orderkey % 60 AS INTEGER) AS seconds FROM orders")
@@ -570,32 +560,13 @@ def dry_day_counts(spark, d):
     return daily(spark, d).groupBy("cell", "m").agg(F.sum((F.col("v") < 300000).cast("long")).alias("dry_days"), F.count(F.lit(1)).alias("days"))
 
 
-@query(f"WITH {DAILY_WHOLE} SELECT cell, m, CAST(sum(CASE WHEN dry THEN 1 ELSE 0 END) AS BIGINT) AS dry_days, count(*) AS days FROM daily GROUP BY 1, 2")
-def dry_day_counts_whole(spark, d):
-    return daily(spark, d, whole=True).groupBy("cell", "m").agg(F.sum((F.col("v") < 300000).cast("long")).alias("dry_days"), F.count(F.lit(1)).alias("days"))
-
-
-@query(
-    """WITH mo AS (SELECT CAST(o_custkey % 5 AS INTEGER) AS cell, date_trunc('month', o_orderdate) AS a, round(avg(o_totalprice), 4) AS v FROM orders WHERE year(o_orderdate) = 1996 AND month(o_orderdate) % 2 = 0 GROUP BY 1, 2),
-    da AS (SELECT CAST(o_custkey % 5 AS INTEGER) AS cell, o_orderdate AS t, o_totalprice AS v FROM orders WHERE year(o_orderdate) = 1996),
-    rest AS (SELECT * FROM da WHERE NOT EXISTS (SELECT 1 FROM mo WHERE mo.cell = da.cell AND da.t >= mo.a AND da.t < mo.a + INTERVAL 1 MONTH))
-    SELECT cell, CAST(month(a) AS INTEGER) AS month, v AS value FROM mo UNION ALL SELECT cell, CAST(month(t) AS INTEGER), round(avg(v), 4) FROM rest GROUP BY 1, 2"""
-)
-def monthly_daily_hybrid(spark, d):
-    from ..sources import monthly_and_daily
-
-    rows = read(spark, d, "orders").where("year(o_orderdate) = 1996").select((F.col("o_custkey") % 5).cast("int").alias("cell"), F.col("o_orderdate").alias("time"), F.col("o_totalprice").alias("value"))
-    months = temporal.monthly_mean(rows.where("month(time) % 2 = 0"), ["cell"]).select("cell", F.col("time").alias("start"), (F.col("time") + F.expr("INTERVAL 1 MONTH")).alias("end"), "value")
-    return monthly_and_daily(months, rows, ["cell"]).select("cell", F.month("time").alias("month"), F.round("value", 4).alias("value"))
-
-
 @query(
     """WITH mo AS (SELECT CAST(o_custkey % 5 AS INTEGER) AS cell, date_trunc('month', o_orderdate) AS a, avg(o_totalprice) AS v FROM orders WHERE month(o_orderdate) % 2 = 0 GROUP BY 1, 2),
     da AS (SELECT CAST(o_custkey % 5 AS INTEGER) AS cell, date_trunc('month', o_orderdate) AS a, o_totalprice AS v FROM orders WHERE month(o_orderdate) % 2 = 1),
     al AS (SELECT * FROM mo UNION ALL SELECT cell, a, avg(v) FROM da WHERE NOT EXISTS (SELECT 1 FROM mo WHERE mo.cell = da.cell AND mo.a = da.a) GROUP BY 1, 2)
     SELECT cell, CAST(year(a) * 12 + month(a) - 1 AS INTEGER) AS m, round(v, 4) AS value FROM al"""
 )
-def monthly_daily_hybrid_whole(spark, d):
+def monthly_daily_hybrid(spark, d):
     from ..sources import monthly_and_daily
 
     rows = read(spark, d, "orders").select((F.col("o_custkey") % 5).cast("int").alias("cell"), F.col("o_orderdate").alias("time"), F.col("o_totalprice").alias("value"))
@@ -652,7 +623,7 @@ def collection_state(spark, d):
 
     def part(status):
         cube = read(spark, d, "orders").where(F.col("o_orderstatus") == status).select(F.col("o_orderpriority").alias("variable"), F.col("o_totalprice").alias("value"))
-        return Dataset(status, cube, tuple(sorted(r[0] for r in cube.select("variable").distinct().collect())))
+        return Dataset(status, cube, ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"))
 
     both = Datasets([part("O"), part("F"), part("P")]).remove_datasets(["P"])
     return both.cube().groupBy("dataset").agg(F.array_join(F.array_sort(F.collect_set("variable")), ",").alias("variables"))
@@ -665,15 +636,8 @@ def shared_attributes(spark, d):
     return shared(read(spark, d, "part").select(F.col("p_brand").alias("cube"), F.lit("type").alias("key"), F.col("p_type").alias("value"))).select("value")
 
 
-@query(f"WITH {GRID}, x AS (SELECT lat_idx, m, value FROM frame) SELECT count(*) AS n FROM x")
-def scattered_predictions(spark, d):
-    whole = frame(spark, d).select("lat_idx", "m", "value")
-    values = masks.unmasked(whole).select("lat_idx", "m", (F.col("value") * 2).alias("predicted"))
-    return masks.scatter(values, whole, ["lat_idx", "m"]).agg(F.count(F.lit(1)).alias("n"))
-
-
 @query(f"WITH {GRID} SELECT lat_idx, m, value * 2 AS predicted FROM frame")
-def scattered_prediction_values(spark, d):
+def scattered_predictions(spark, d):
     whole = frame(spark, d).select("lat_idx", "m", "value")
     values = masks.unmasked(whole).select("lat_idx", "m", (F.col("value") * 2).alias("predicted"))
     return masks.scatter(values, whole, ["lat_idx", "m"]).select("lat_idx", "m", "predicted")
@@ -684,3 +648,171 @@ def forest_partial_dependence(spark, d):
     rows = read(spark, d, "lineitem").select("l_quantity", "l_discount", "l_extendedprice")
     model = models.forest(["l_quantity", "l_discount"], "l_extendedprice", numTrees=5, maxDepth=5).fit(rows)
     return models.partial_dependence(rows, model, "l_quantity", models.pdp_grid(rows, "l_quantity", 5))
+
+
+# ---------------------------------------------------------------- plans of several operators
+TWO_YEARLY = """two AS (SELECT 'a' AS variable, CAST(o_custkey % 10 AS INTEGER) AS cell, CAST(year(o_orderdate) AS INTEGER) AS y, round(avg(o_totalprice), 4) AS value FROM orders GROUP BY 2, 3
+  UNION ALL SELECT 'b', CAST(o_custkey % 10 AS INTEGER), CAST(year(o_orderdate) AS INTEGER), round(avg(o_totalprice) * 100, 4) FROM orders GROUP BY 2, 3)"""
+
+
+@query(
+    f"""WITH {TWO_YEARLY}, seg AS (SELECT *, lead(y) OVER w AS y2, lead(value) OVER w AS v2, row_number() OVER w AS k, lead(y, 2) OVER w AS y3 FROM two WINDOW w AS (PARTITION BY variable, cell ORDER BY y)),
+    months AS (SELECT unnest(range(23940, 24024)) AS m),
+    raw AS (SELECT variable, cell, m, value + (v2 - value) * date_diff('day', make_date(y, 1, 1), make_date(m // 12, m % 12 + 1, 1)) / date_diff('day', make_date(y, 1, 1), make_date(y2, 1, 1)) AS v
+      FROM seg JOIN months ON (m >= y * 12 OR k = 1) AND (m < y2 * 12 OR y3 IS NULL) WHERE y2 IS NOT NULL),
+    lim AS (SELECT variable, min(value) AS lo, max(value) AS hi FROM two GROUP BY variable)
+    SELECT raw.variable, cell, CAST(m AS INTEGER) AS m, CASE WHEN v BETWEEN lo AND hi THEN round(v, 4) END AS value FROM raw JOIN lim ON raw.variable = lim.variable"""
+)
+def yearly_lerp_by_variable(spark, d):
+    a = yearly(spark, d).withColumn("variable", F.lit("a"))
+    b = read(spark, d, "orders").groupBy((F.col("o_custkey") % 10).cast("int").alias("cell"), F.year("o_orderdate").cast("int").alias("year")).agg(F.round(F.avg("o_totalprice") * 100, 4).alias("value")).withColumn("variable", F.lit("b"))
+    return temporal.interpolate_yearly(a.unionByName(b), ["variable", "cell"], 23940, 24023).select("variable", "cell", "m", F.round("value", 4).alias("value"))
+
+
+@query("SELECT 0 AS zero, CAST(35 AS INTEGER) AS bin, count(*) AS n, CAST(70.0 AS DOUBLE) AS density, CAST(0 AS DOUBLE) AS r2, round(avg(l_tax * l_tax), 9) AS mse, CAST('inf' AS DOUBLE) AS vif FROM lineitem")
+def constant_columns(spark, d):
+    """Histogram, scores and variance inflation where a column is constant or follows from another."""
+    rows = read(spark, d, "lineitem").select(F.lit(3.0).alias("c"), (F.col("l_tax") + 3).alias("p"), F.col("l_quantity"), (F.col("l_quantity") * 2).alias("q"))
+    hist = stats.histogram(rows, "c").select("bin", "n", F.round("density", 6).alias("density"))
+    score = stats.scores(rows, "c", "p").select("r2", F.round("mse", 9).alias("mse"))
+    inflated = rows.agg(stats.vif_pair(F.col("l_quantity"), F.col("q")).alias("vif")).select(F.when(F.col("vif") > 1e9, float("inf")).otherwise(F.col("vif")).alias("vif"))
+    return hist.crossJoin(score).crossJoin(inflated).select(F.lit(0).alias("zero"), "bin", "n", "density", "r2", "mse", "vif")
+
+
+@query(
+    f"""WITH {GRID}, s AS (SELECT lat_idx, m, value FROM frame WHERE m BETWEEN 23955 - 3 AND 24002 + 3), x AS (SELECT lat_idx, m, value, {NEIGHBOURS}, avg(CASE WHEN m BETWEEN 23955 AND 24002 THEN CASE WHEN value IS NULL AND lat_idx <> 4 THEN 1.0 ELSE 0.0 END END) OVER (PARTITION BY lat_idx, m % 12) AS missing FROM s WINDOW w AS (PARTITION BY lat_idx ORDER BY m))
+    SELECT lat_idx, m, round(CASE WHEN value IS NULL AND missing > 0.2 THEN coalesce({CHOICES}) ELSE value END, 6) AS filled FROM x WHERE m BETWEEN 23955 AND 24002"""
+)
+def temporal_nn_span(spark, d):
+    out = gapfill.temporal_neighbours_span(frame(spark, d), ["lat_idx"], "m", 3, 23955, 24002, 0.2, land=F.col("lat_idx") != 4)
+    return out.select("lat_idx", "m", F.round("filled", 6).alias("filled"))
+
+
+@query(f"WITH {GRID}, seen AS (SELECT lat_idx, m, count(*) / 40.0 AS f FROM grid GROUP BY 1, 2), c AS (SELECT 'burned area' AS variable, lat_idx, m, value FROM grid UNION ALL SELECT 'other', lat_idx, m, value FROM grid) SELECT 'GFED_burned_area__thres_0.650' AS name, variable, lat_idx, m, CASE WHEN variable = 'burned area' AND (lat_idx * 7 + m) % 100 / 100.0 < 0.65 THEN NULL ELSE value END AS value FROM c")
+def observed_masked(spark, d):
+    cube = grid(spark, d).select("lat_idx", "m", "value")
+    both = cube.withColumn("variable", F.lit("burned area")).unionByName(cube.withColumn("variable", F.lit("other")))
+    fraction = cube.select("lat_idx", "m", ((F.col("lat_idx") * 7 + F.col("m")) % 100 / 100.0).alias("value"))
+    name, out = masks.observed_masked(both, fraction, ["lat_idx", "m"], ["burned area"], "GFED", 0.65)
+    return out.select(F.lit(name).alias("name"), "variable", "lat_idx", "m", "value")
+
+
+@query(
+    f"""WITH {GRID}, g AS (SELECT lat_idx, m, value, lat_idx % 6 = 0 AS hidden FROM frame),
+    near AS (SELECT h.lat_idx, h.m, v.value, row_number() OVER (PARTITION BY h.m, h.lat_idx ORDER BY abs(h.lat_idx - v.lat_idx), v.lat_idx) AS k FROM g h JOIN g v ON h.m = v.m AND h.value IS NULL AND v.value IS NOT NULL),
+    one AS (SELECT g.lat_idx, g.m, coalesce(g.value, CASE WHEN NOT hidden THEN near.value END) AS value FROM g LEFT JOIN near ON near.m = g.m AND near.lat_idx = g.lat_idx AND k = 1)
+    SELECT 'A' AS dataset, 'price' AS variable, lat_idx, m, value FROM one UNION ALL SELECT 'B', 'burned area', lat_idx, m, CASE WHEN lat_idx % 6 <> 0 THEN CAST(lat_idx AS DOUBLE) END FROM g"""
+)
+def filled_collection(spark, d):
+    """The reference variable is valid but where lat_idx is a multiple of 6, so these cells are not filled."""
+    from ..operators.algebra import Dataset, Datasets
+
+    cube = frame(spark, d).select("lat_idx", "m", "value")
+    a = Dataset("A", cube.withColumn("variable", F.lit("price")), ("price",))
+    b = Dataset("B", cube.select("lat_idx", "m", F.lit("burned area").alias("variable"), F.when(F.col("lat_idx") % 6 != 0, F.col("lat_idx").cast("double")).alias("value")), ("burned area",))
+    return Datasets([a, b]).fill(["lat_idx", "m"], ["lat_idx"]).cube().select("dataset", "variable", "lat_idx", "m", "value")
+
+
+LAG_SQL = f"""cells AS (SELECT 'LAI' AS variable, lat_idx, m, value FROM grid UNION ALL SELECT 'BA', lat_idx, m, value * 2 FROM grid UNION ALL SELECT 'Max', lat_idx, m, value + 10 FROM grid UNION ALL SELECT 'Min', lat_idx, m, value FROM grid),
+moved AS (SELECT * FROM cells UNION ALL SELECT 'LAI -1 Month', lat_idx, m + 1, value FROM cells WHERE variable = 'LAI' UNION ALL SELECT 'LAI -3 Month', lat_idx, m + 3, value FROM cells WHERE variable = 'LAI'),
+clim AS (SELECT variable, lat_idx, CAST(m % 12 + 1 AS INTEGER) AS month, avg(value) AS v FROM moved WHERE m BETWEEN 23953 AND 24000 GROUP BY 1, 2, 3),
+wide AS (SELECT lat_idx, month, max(CASE WHEN variable = 'BA' THEN v END) AS ba, max(CASE WHEN variable = 'LAI' THEN v END) AS l0, max(CASE WHEN variable = 'LAI -1 Month' THEN v END) AS l1, max(CASE WHEN variable = 'LAI -3 Month' THEN v END) AS l3, max(CASE WHEN variable = 'Max' THEN v END) AS hi, max(CASE WHEN variable = 'Min' THEN v END) AS lo FROM clim GROUP BY 1, 2)"""
+
+
+@query(f"WITH {GRID}, {LAG_SQL} SELECT lat_idx, month, round(ba, 5) AS ba, round(l0, 5) AS lai, round(l1, 5) AS lai1, round(l3, 5) AS lai3, round(hi - lo, 5) AS temp_range FROM wide WHERE ba IS NOT NULL AND l0 IS NOT NULL AND l1 IS NOT NULL AND l3 IS NOT NULL AND hi IS NOT NULL AND lo IS NOT NULL")
+def lag_pipeline(spark, d):
+    g = grid(spark, d).select("lat_idx", "time", "value")
+    parts = {"LAI": F.col("value"), "BA": F.col("value") * 2, "Max": F.col("value") + 10, "Min": F.col("value")}
+    cubes = None
+    for name, value in parts.items():
+        part = g.select(F.lit(name).alias("variable"), "lat_idx", "time", value.alias("value"))
+        cubes = part if cubes is None else cubes.unionByName(part)
+    out = features.lag_pipeline(cubes, ["lat_idx"], "BA", ["LAI", "Max", "Min"], ["LAI"], [1, 3], (23953, 24000), transformations={"Temp Range": F.col("Max") - F.col("Min")}, deletions=["Max", "Min"])
+    return out.select("lat_idx", "month", F.round("BA", 5).alias("ba"), F.round("LAI", 5).alias("lai"), F.round("`LAI -1 Month`", 5).alias("lai1"), F.round("`LAI -3 Month`", 5).alias("lai3"), F.round("`Temp Range`", 5).alias("temp_range"))
+
+
+@query(f"WITH {GRID}, lim AS (SELECT greatest((SELECT min(m) FROM grid), (SELECT min(m) FROM grid WHERE m > 23960)) AS a, least((SELECT max(m) FROM grid), (SELECT max(m) FROM grid WHERE m > 23960)) AS b) SELECT 'x' AS variable, lat_idx, m, value FROM grid, lim WHERE m BETWEEN a AND b UNION ALL SELECT 'y', lat_idx, m, value * 3 FROM grid, lim WHERE m > 23960 AND m BETWEEN a AND b UNION ALL SELECT 'z', CAST(n_nationkey AS INTEGER), CAST(t.m AS INTEGER), CAST(n_regionkey AS DOUBLE) FROM nation, (SELECT unnest(range(a, b + 1)) AS m FROM lim) t")
+def prepare_selection_default_span(spark, d):
+    from ..operators.algebra import Dataset, Datasets
+    from . import prepare_selection
+
+    g = grid(spark, d).select("lat_idx", "time", "m", "value")
+    x = Dataset("X", g.drop("m").withColumn("variable", F.lit("x")), ("x",))
+    y = Dataset("Y", g.where("m > 23960").drop("m").withColumn("value", F.col("value") * 3).withColumn("variable", F.lit("y")), ("y",))
+    z = Dataset("Z", read(spark, d, "nation").select(F.lit("z").alias("variable"), F.col("n_nationkey").cast("int").alias("lat_idx"), F.col("n_regionkey").cast("double").alias("value")), ("z",))
+    return prepare_selection(Datasets([x, y, z]), {"X": "monthly", "Y": "monthly", "Z": "static"}, ["lat_idx"], which="monthly").select("variable", "lat_idx", "m", "value")
+
+
+@query("WITH y AS (SELECT CAST(o_custkey % 10 AS INTEGER) AS cell, year(o_orderdate) AS y, month(o_orderdate) AS mo, max(o_totalprice) AS v FROM orders GROUP BY 1, 2, 3), c AS (SELECT DISTINCT cell, y FROM y) SELECT c.cell, CAST(c.y * 12 + t.mo - 1 AS INTEGER) AS m, y.v AS value FROM c CROSS JOIN (SELECT unnest(range(1, 13)) AS mo) t LEFT JOIN y ON y.cell = c.cell AND y.y = c.y AND y.mo = t.mo")
+def grouped_years(spark, d):
+    """One file a year, with twelve groups."""
+    rows = read(spark, d, "orders").select((F.col("o_custkey") % 10).cast("int").alias("cell"), F.format_string("GFED4.0_MQ_%04d.hdf5", F.year("o_orderdate")).alias("file"), F.month("o_orderdate").alias("mo"), "o_totalprice")
+    wide = rows.groupBy("cell", "file").pivot("mo", list(range(1, 13))).agg(F.max("o_totalprice"))
+    wide = wide.select("cell", "file", *[F.col(str(i)).alias(f"g{i:02d}") for i in range(1, 13)])
+    return temporal.year_groups(wide, {i: f"g{i:02d}" for i in range(1, 13)}).select("cell", "m", "value")
+
+
+@query("SELECT p_partkey, CAST([2000, 2005, 2010, 2015, 2020][p_size % 8 + 1] AS INTEGER) AS year, p_retailprice AS value FROM part WHERE p_size % 8 < 5")
+def raster_slabs(spark, d):
+    rows = read(spark, d, "part").select("p_partkey", (F.col("p_size") % 8 + 1).cast("int").alias("raster"), F.col("p_retailprice").alias("value"))
+    return temporal.slabs(rows, [2000, 2005, 2010, 2015, 2020]).select("p_partkey", F.col("year").cast("int").alias("year"), "value")
+
+
+@query("SELECT CAST(1992 + year(o_orderdate) - (SELECT min(year(o_orderdate)) FROM orders) AS INTEGER) AS year, o_orderpriority AS variable, round(avg(o_totalprice), 4) AS value FROM orders GROUP BY 1, 2")
+def yearly_landcover_files(spark, d):
+    rows = read(spark, d, "orders").select(F.format_string("lc_%04d.nc", F.year("o_orderdate")).alias("file"), F.col("o_orderpriority").alias("variable"), "o_totalprice")
+    table = rows.groupBy("file", "variable").agg(F.round(F.avg("o_totalprice"), 4).alias("value"))
+    return temporal.yearly_files(table, ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]).select("year", "variable", "value")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'burned_area' ELSE 'number of patches' END AS variable, n_name AS label, round(CASE WHEN o_orderstatus = 'F' THEN o_totalprice / 250.0 ELSE o_totalprice END, 6) AS value FROM orders LEFT JOIN nation ON n_nationkey = o_custkey % 30")
+def burned_by_class(spark, d):
+    from ..sources import burned_by_class as by_class
+
+    padded = F.rpad("n_name", 20, " ")
+    codes = read(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("vegetation_class"), F.transform(F.split(padded, ""), lambda c: F.ascii(c)).alias("codes"))
+    codes = codes.withColumn("codes", F.filter("codes", lambda c: c > 0))
+    rows = read(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "F", "burned_area").otherwise("number of patches").alias("variable"), (F.col("o_custkey") % 30).cast("long").alias("vegetation_class"), F.col("o_totalprice").alias("value"))
+    return by_class(rows, codes, F.lit(250.0)).select("o_orderkey", "variable", "label", F.round("value", 6).alias("value"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'a' ELSE 'b' END AS variable, CASE WHEN event_id % 7 = 0 OR value < 1 THEN NULL WHEN event_id % 3 = 0 THEN round(value * 2 * 0.01, 9) ELSE round(value * 2, 9) END AS value FROM events")
+def scaled_by_variable(spark, d):
+    """Infinite values are masked, one variable has a scale of its own."""
+    from ..sources import Loader
+
+    rows = read(spark, d, "events").select("event_id", F.when(F.col("event_id") % 3 == 0, "a").otherwise("b").alias("variable"), F.when(F.col("event_id") % 7 == 0, float("inf")).otherwise(F.col("value")).alias("value"))
+    return Loader("x", scale=2.0, low=1.0, scales={"a": 0.01}).read(rows).select("event_id", "variable", F.round("value", 9).alias("value"))
+
+
+@query(f"WITH {POINTS} SELECT id, (lat > -50 AND lat <= 0 AND lon >= -100 AND lon < 0) OR (lat > 10 AND lat <= 50 AND lon >= 50 AND lon < 120) AS land FROM points")
+def land_mask(spark, d):
+    def square(a, b, c, e):
+        return [(a, b), (c, b), (c, e), (a, e)]
+
+    shapes = [square(-100, -50, 0, 0), square(-180, -60, 180, 60), square(50, 10, 120, 50)]
+    return points(spark, d).select("id", masks.land(F.col("lat"), F.col("lon"), shapes, (1,)).alias("land"))
+
+
+@query(
+    f"""WITH {CONVERSION_SQL},
+    full_ AS (SELECT p_partkey % 40 AS cell, y AS year, n.pft AS pft, coalesce(c.pct, 0) AS pct FROM part CROSS JOIN (SELECT unnest([1992, 1993]) AS y) CROSS JOIN (SELECT DISTINCT pft FROM conv) n LEFT JOIN conv c ON c.category = p_size + y - 1992 AND c.pft = n.pft)
+    SELECT CAST(cell AS INTEGER) AS cell, CAST(year AS INTEGER) AS year, round(avg(CASE WHEN pft = 'tree' THEN pct END) * CAST(0.01 AS DOUBLE) + avg(CASE WHEN pft = 'shrub' THEN pct END) * CAST(0.01 AS DOUBLE), 6) AS woody, round(avg(CASE WHEN pft = 'crop' THEN pct END) * CAST(0.01 AS DOUBLE), 6) AS herb FROM full_ GROUP BY 1, 2"""
+)
+def landcover_product(spark, d):
+    """Categories of fine pixels and years to fractions, these averaged to coarse cells, and summed to woody and herb shares."""
+    years = spark.createDataFrame([(1992,), (1993,)], "year int")
+    px = read(spark, d, "part").select("p_partkey", (F.col("p_partkey") % 40).cast("int").alias("cell"), "p_size").crossJoin(F.broadcast(years))
+    cells = px.select("p_partkey", "cell", "year", (F.col("p_size") + F.col("year") - 1992).cast("int").alias("category"))
+    parts = spatial.category_fractions(cells, spark.createDataFrame(CONVERSION, "category int, pft string, pct int"), ["p_partkey", "cell", "year"])
+    wide = parts.groupBy("cell", "year").pivot("pft", ["crop", "shrub", "tree"]).agg(F.avg("pct"))
+    out = spatial.sums_of_fractions(wide, {"woody": ["tree", "shrub"], "herb": ["crop"]})
+    return out.select("cell", "year", F.round("woody", 6).alias("woody"), F.round("herb", 6).alias("herb"))
+
+
+# The spans of these were once narrower; the names of the whole ones stay.
+for _name in ("longest_run", "longest_run_chained", "dry_day_counts", "monthly_daily_hybrid", "spatial_nn_fill"):
+    QUERIES[f"{_name}_whole"] = QUERIES[_name]
+    if _name in ORACLES:
+        ORACLES[f"{_name}_whole"] = ORACLES[_name]
+QUERIES["scattered_prediction_values"], ORACLES["scattered_prediction_values"] = QUERIES["scattered_predictions"], ORACLES["scattered_predictions"]

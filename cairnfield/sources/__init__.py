@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import functions as fn
 from ..operators import masks, ordered, temporal
+from ..tables import exists
 
 
 class CommitMatchError(RuntimeError):
@@ -24,13 +26,6 @@ def load_files(spark: SparkSession, files: list[str], n: int | None = None, fmt:
     return spark.read.format(fmt).options(**options).load(chosen).withColumn("file", F.input_file_name())
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    """Whether a path exists, in any store that Spark reads."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
 def save(df: DataFrame, path: str, commit: str) -> None:
     """Store with its version; what is there already is never overwritten."""
     df.withColumn("commit", F.lit(commit)).write.mode("ignore").parquet(path)
@@ -113,9 +108,17 @@ class Loader:
     low: float | None = None
     high: float | None = None
     per_area: bool = False  # divide by the cell's area
+    scales: dict[str, float] = field(default_factory=dict)  # by raw variable name, besides ``scale``
 
     def read(self, table: DataFrame, area: Column | None = None) -> DataFrame:
+        """Values out of range, not a number or infinite are masked; the rest is scaled, by variable where that is given."""
         value = masks.valid_range(F.col("value"), self.low, self.high) * self.scale
+        if self.scales:
+            by_name = None
+            for name, scale in self.scales.items():
+                hit = F.col("variable") == name
+                by_name = F.when(hit, value * scale) if by_name is None else by_name.when(hit, value * scale)
+            value = by_name.otherwise(value)
         if self.per_area:
             value = value / area
         return table.withColumn("value", value)
@@ -124,6 +127,21 @@ class Loader:
         return temporal.dispatch_monthly(cube, self.monthly, start, end, keys)
 
 
+def loaders(ignore: tuple[str, ...] = (), match: str = ".*") -> dict[str, Loader]:
+    """The catalogue's loaders by name, in order, without the ignored ones."""
+    return {name: CATALOGUE[name] for name in sorted(CATALOGUE) if name not in ignore and re.fullmatch(match, name)}
+
+
+def burned_by_class(areas: DataFrame, classes: DataFrame, cell_area: Column, per_area: tuple[str, ...] = ("burned_area", "burned area in vegetation class", "standard error of the estimation of burned area")) -> DataFrame:
+    """Rows (variable, vegetation_class, .., value) with the class's label; the variables that are areas become shares of their cell.
+
+    classes: (vegetation_class, codes), codes the character codes of a label, padded by 32.
+    """
+    share = F.when(F.col("variable").isin(*per_area), F.col("value") / cell_area).otherwise(F.col("value"))
+    labels = classes.select("vegetation_class", F.rtrim(fn.decode_chars(F.col("codes"))).alias("label"))
+    return areas.withColumn("value", share).join(F.broadcast(labels), "vegetation_class", "left")
+
+
 #: The datasets, their pretty names and how their months are made.
 CATALOGUE = {
     "AvitabileAGB": Loader("Avitabile AGB", "static"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,17 +27,20 @@ def dry_runs(stream: DataFrame, key: str, day: str, dry: str) -> DataFrame:
 
     def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, run = state.get if state.exists else (None, 0)
-        batch = pd.concat(list(parts)).sort_values("day")
-        out = []
-        for d, is_dry in zip(batch["day"], batch["dry"], strict=True):
-            if last is not None and d <= last:
-                continue
-            run = (run if last is not None and d == last + 1 else 0) + 1 if is_dry else 0
-            last = int(d)
-            out.append((k[0], last, run))
+        batch = pd.concat(list(parts)).sort_values("day").drop_duplicates("day")
         if last is not None:
+            batch = batch[batch["day"] > last]
+        if len(batch):
+            day, is_dry = batch["day"].to_numpy(), batch["dry"].fillna(False).to_numpy(bool)
+            follows = np.diff(day, prepend=day[0] - 1 if last is None else last) == 1
+            # a run starts anew after a wet or an absent day; carried: the run that the first days go on with
+            new = ~follows | ~np.concatenate(([True], is_dry[:-1]))
+            at = np.arange(len(day))
+            start = np.maximum.accumulate(np.where(new, at, -1))
+            length = np.where(is_dry, at - np.maximum(start, 0) + 1 + np.where(start < 0, run, 0), 0)
+            last, run = int(day[-1]), int(length[-1])
             state.update((last, run))
-        yield pd.DataFrame(out, columns=["key", "day", "run"])
+            yield pd.DataFrame({"key": k[0], "day": day, "run": length})
 
     return rows.groupBy("key").applyInPandasWithState(step, "key string, day int, run int", "last int, run int", "append", GroupStateTimeout.NoTimeout)
 

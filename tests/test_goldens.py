@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from cairnfield import functions as fn
 from cairnfield import model, sources
 from cairnfield.cache import Memory, NotCachedError, UnmarkedDependencyError, version
-from cairnfield.operators import gapfill, masks, models, ordered, spatial, stats, temporal
+from cairnfield.operators import features, gapfill, masks, models, ordered, spatial, stats, temporal
 from cairnfield.operators.algebra import Dataset, Datasets, shared_attributes
 from cairnfield.plans import prepare_selection
 
@@ -291,3 +291,98 @@ def test_fingerprint_sees_changes(spark):
     df = spark.createDataFrame([(1, "a"), (2, None)], "x int, y string")
     other = spark.createDataFrame([(1, None), (2, "a")], "x int, y string")
     assert stats.fingerprint(df).first() == stats.fingerprint(df.orderBy(F.desc("x")).select("y", "x")).first() != stats.fingerprint(other).first()
+
+
+def test_search_resumes(spark, tmp_path):
+    rows = spark.range(60).select((F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 5).cast("double").alias("b"), "id").withColumn("y", F.col("a") * 2)
+    sets = models.parameter_sets({"numTrees": [3], "maxDepth": [1, 4]})
+    at = f"file://{tmp_path}/scores"
+    scores, best, model = models.search(rows, ["a", "b"], "y", sets, at, 2, "id", seconds=-1.0)
+    assert scores.count() == 0 and best is None and model is None
+    scores, best, model = models.search(rows, ["a", "b"], "y", sets, at, 2, "id")
+    assert scores.count() == 4 and best == sets[1] and model.transform(rows).count() == 60
+    again, best, _ = models.search(rows, ["a", "b"], "y", sets, at, 2, "id", seconds=-1.0)
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, scores.collect())) and best == sets[1]
+
+
+def test_first_of_equal_parameters(spark):
+    table = spark.createDataFrame([(0, "z", 0, 0.0, 1.0), (1, "a", 0, 0.0, 1.0)], "number int, params string, split int, train double, test double")
+    assert models.best_parameters(table, 1).first()["params"] == "z" and models.best_parameters(table.drop("number"), 1).first()["params"] == "a"
+
+
+def test_missing_months_of_a_span(spark):
+    cube = spark.range(24000, 24020).where("id <> 24005").selectExpr("0 as cell", "cast(id as int) as m", "1.0 as value")
+    assert gapfill.temporal_neighbours_span(cube, ["cell"], "m", 2, 24008, 24015).count() == 8
+    for start, end in ((24004, 24010), (24006, 24010)):
+        with pytest.raises(RuntimeError):
+            gapfill.temporal_neighbours_span(cube, ["cell"], "m", 2, start, end)
+
+
+def test_nearest_cell_within_and_without_rows(spark):
+    cube = spark.createDataFrame([(0, 0, 0, 1.0), (0, 3, 3, None), (0, 0, 3, None), (1, 0, 0, None), (1, 5, 5, 2.0)], "m int, a int, b int, value double")
+    got = {(r["m"], r["a"], r["b"]): r["filled"] for r in gapfill.nearest_cell(cube, ["a", "b"], within=["m"]).collect()}
+    assert got == {(0, 0, 0): 1.0, (0, 3, 3): 1.0, (0, 0, 3): 1.0, (1, 0, 0): 2.0, (1, 5, 5): 2.0}
+    empty = cube.withColumn("value", F.lit(None).cast("double"))
+    assert {r["filled"] for r in gapfill.nearest_cell(empty, ["a", "b"], within=["m"]).collect()} == {None}
+
+
+def test_exact_percentiles(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    values = np.concatenate([rng.normal(size=3000), np.zeros(4000), [5.0]])
+    rows = spark.createDataFrame([(i % 2, float(v)) for i, v in enumerate(values)], "k int, v double").unionByName(spark.createDataFrame([(0, None), (2, 7.0)], "k int, v double"))
+    shares = [0.0, 0.05, 0.5, 0.731, 1.0]
+    got = {(r["k"], r["share"]): r["percentile"] for r in stats.exact_percentiles(rows, ["k"], "v", shares, accuracy=100).collect()}
+    assert len(got) == 15
+    for k in (0, 1):
+        assert np.allclose([got[k, s] for s in shares], np.quantile(values[k::2], shares))
+    assert {got[2, s] for s in shares} == {7.0}
+
+
+def test_observed_masked_digits(spark):
+    cube = spark.createDataFrame([("x y", 0, 1.0)], "variable string, cell int, value double")
+    fraction = spark.createDataFrame([(0, 0.1)], "cell int, value double")
+    assert masks.observed_masked(cube, fraction, ["cell"], ["x y"], "D", 0.5)[0] == "D_x_y__thres_0.500"
+    with pytest.raises(AssertionError):
+        masks.observed_masked(cube, fraction, ["cell"], ["x y"], "D", 0.12345)
+
+
+def test_small_helpers(spark):
+    from cairnfield import functions as fn
+    from cairnfield.sources import CATALOGUE, loaders
+
+    assert fn.map_names(["a", "b"], {"a": "x"}) == ["x", "b"] and fn.float_format(0) == "0.00" and fn.float_format(1.234) == "1.23" and "e" in fn.float_format(1e-5)
+    tree = fn.nested_update({"a": {"b": 1, "c": 2}}, {"a": {"b": 3}, "d": 4})
+    assert tree == {"a": {"b": 3, "c": 2}, "d": 4} and list(fn.nested_items(tree)) == [(("a", "b"), 3), (("a", "c"), 2), (("d",), 4)]
+    assert set(loaders()) == set(CATALOGUE) and "CRU" not in loaders(ignore=("CRU",)) and set(loaders(match="ERA5.*")) == {n for n in CATALOGUE if n.startswith("ERA5")}
+    data = Dataset("D", spark.createDataFrame([(0, 0), (0, 1), (1, 1)], "lat_idx int, lon_idx int"), ("v",))
+    assert data.grid == (2, 2) and Datasets([data]).get_index("D") == 0 and masks.has_columns(data.cube, "lat_idx") and not masks.has_columns(data.cube, "time")
+    with pytest.raises(ValueError):
+        temporal.yearly_files(spark.createDataFrame([("a", "x"), ("b", "y")], "file string, variable string"), ["x"])
+
+
+def test_hash_memo(spark, tmp_path):
+    from cairnfield.cache import HashMismatchError, Memory, version
+
+    runs = []
+
+    @version(1)
+    def made(n):
+        runs.append(n)
+        return spark.range(n + (1 if len(runs) > 2 else 0)).selectExpr("id", "id * 2 as twice")
+
+    memo = Memory(spark, f"file://{tmp_path}/memo").cache_hash()(made)
+    assert memo(3).count() == 3
+    with pytest.raises(HashMismatchError):
+        memo(3)
+
+
+def test_data_processing_switches(spark):
+    rows = [(v, i, j, float(20 * i - 30), float(i * j) if v == "t" else 1.0) for v in ("t", "f") for i in range(4) for j in range(3)]
+    cubes = spark.createDataFrame(rows, "variable string, lat_idx int, lon_idx int, lat double, value double")
+    keys = ["lat_idx", "lon_idx"]
+    land = spark.createDataFrame([(3, 2, True)], "lat_idx int, lon_idx int, mask boolean")
+    out = features.processed(cubes, keys, "t", ["f"], lat_limits=(-20, 40), fire_mask=True, land=land)
+    assert {(r["lat_idx"], r["lon_idx"]) for r in out["rows"].collect()} == {(1, 1), (1, 2), (2, 1), (2, 2), (3, 1)}
+    assert out["master_mask"].where("mask").count() == 7 and out["filled"].count() == len(rows)

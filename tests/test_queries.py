@@ -46,18 +46,18 @@ def test_entry_imports_without_llm():
     assert "climatology" in __spark_entry__.queries() and "climatology" in __spark_entry__.oracle_sql()
 
 
-def test_spatial_nn_fill_whole_against_brute_force(spark, sf):
+def test_spatial_nn_fill_against_brute_force(spark, sf):
     from cairnfield.plans.queries import frame
 
     cube = {(r["lat_idx"], r["m"]): r["value"] for r in frame(spark, sf).select("lat_idx", "m", "value").collect()}
     valid = [k for k, v in cube.items() if v is not None]
     want = {k: v if v is not None else cube[min(valid, key=lambda o: ((o[0] - k[0]) ** 2 + (o[1] - k[1]) ** 2, o))] for k, v in cube.items()}
-    assert max(m for _, m in want) > 23964 and len(valid) < len(cube)
-    got = QUERIES["spatial_nn_fill_whole"](spark, sf).collect()
+    assert len({m for _, m in want}) > 80 and len(valid) < len(cube)
+    got = QUERIES["spatial_nn_fill"](spark, sf).collect()
     assert len(got) == len(want) and {(r["lat_idx"], r["m"]): r["filled"] for r in got} == want
 
 
-def test_whole_queries_cover_all_order_dates(spark, sf):
+def test_spans_cover_all_order_dates(spark, sf):
     months = {r[0] for r in spark.read.parquet(f"{sf}/orders.parquet").selectExpr("cast(year(o_orderdate) * 12 + month(o_orderdate) - 1 as int)").distinct().collect()}
-    for name in ("longest_run_whole", "longest_run_chained_whole", "dry_day_counts_whole", "monthly_daily_hybrid_whole"):
+    for name in ("longest_run", "longest_run_chained", "dry_day_counts", "monthly_daily_hybrid"):
         assert {r["m"] for r in QUERIES[name](spark, sf).select("m").collect()} == months
