@@ -1,39 +1,19 @@
-"""Shared helpers: where intermediate tables go, and text expressions."""
+"""Shared helpers: intermediate tables, keys and names, and text expressions."""
 
 from __future__ import annotations
 
-import contextlib
-import os
-import tempfile
-import uuid
-from collections.abc import Iterator
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import tables
+from ..tables import materialize, shared_dir, shuffles_dropped  # noqa: F401
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-_folders: list[str] = []
 _tables: list[str] = []
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
-
-    Only a local session without that setting gets a folder of its own; a cluster
-    without it is an error, because executors do not see each other's disks.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
-        spark.conf.set("spark.checkpoint.dir", base)
-    _folders.append(f"{base.rstrip('/')}/cairnfield/{uuid.uuid4().hex}")
-    return _folders[-1]
-
-
 def note_table(name: str) -> None:
     """clear() drops this table."""
     _tables.append(name)
@@ -43,31 +23,7 @@ def clear(spark: SparkSession) -> None:
     """Remove the folders and tables that this process made; call it when the results have been read."""
     while _tables:
         spark.sql(f"DROP TABLE IF EXISTS {_tables.pop()}")
-    while _folders:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_folders.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-@contextlib.contextmanager
-def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
-    """Writes inside drop their shuffle files when they end: the written table replaces them."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "true")
-    try:
-        yield
-    finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
-
-
-def materialize(df: DataFrame, name: str = "table", partition_by: tuple[str, ...] = (), compression: str = "zstd") -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}"
-    schema = df.schema
-    writer = df.write.option("compression", compression)
-    with shuffles_dropped(df.sparkSession):
-        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
+    tables.clear(spark)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

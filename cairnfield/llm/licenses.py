@@ -14,7 +14,8 @@ are extended word by word. Windows of lines start and end at lines with shared b
 Templates are a bounded reference list (notices here, whole licences in ``license_texts``), read by
 the driver and passed to the tasks with the code. Defined cases: a
 null, empty or one-word text has no match; ties go to the earliest and then shortest window; repeated
-rows get equal answers; very long texts are scanned whole; an empty table gives no rows.
+rows get equal answers; very long texts are scanned whole; other columns are carried along, but one called ``licenses`` is
+replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -10,8 +10,9 @@ for each power (at a small penalty, so that short sequences stay rare). A stretc
 no document moves, and at most one sequence in ``stretch / window`` ends early.
 
 Defined cases: a null text is empty and gives its end id alone; repeated rows are packed
-one after the other; texts longer than a window go over several sequences; an empty
-table gives no pieces. The order is that of the input's partitions and rows.
+one after the other, null keys like others; texts longer than a window go over several sequences, very long ones in a stretch of their own; of
+equally good cuts the later start wins; other columns, whatever their names, are ignored; a key that is called like a column
+of the result is an error; an empty table gives no pieces. The order is that of the input's partitions and rows.
 """
 
 from __future__ import annotations
@@ -211,6 +212,8 @@ def pack(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str =
     tokenizer_path must be readable where tasks run, as an installed package's file is.
     sequence_id holds the partition (upper bits) and the sequence's number in it.
     """
+    if key.lower() in [x.split()[0] for x in PIECES.split(", ")]:
+        raise ValueError(f"the key {key} is called like a column of the result")
     rows = docs.select(key, text)
     schema = rows.select(key).schema
     for name, kind in (x.split() for x in PIECES.split(", ")):

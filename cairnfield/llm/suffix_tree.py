@@ -17,7 +17,8 @@ the tokens.
 Tokens: words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, then one end for each text. Defined
 cases: null and empty texts are an end alone; repeated rows are scored and learned from as
 often as they occur; a corpus without training rows gives the uniform root; an empty table gives no
-rows; very long texts are whole. Words are held as 64-bit hashes.
+rows; very long texts are whole, in a block of their own; null keys are keys like others; retention depends on sums alone, so there are no ties; other columns,
+whatever their names, are ignored. Words are held as 64-bit hashes.
 """
 
 from __future__ import annotations

@@ -7,7 +7,10 @@ a url meets only the rules of tokens it has; the rest of the rule's tokens are t
 
 Defined cases: a null url or one without ``://`` has empty host and path, no tokens, and is
 allowed; repeated rows are judged once and returned as often as they occur; without labels
-or rules everything that no fixed rule blocks is allowed; rows whose label is null do not train.
+or rules everything that no fixed rule blocks is allowed; rows whose label is null do not train; very long urls are
+read whole, with as many tokens as they have; of several mined rules that match the greatest confidence is reported, of equally rare tokens the
+first in order indexes a rule, and of equally sure rules the one on fewer tokens stays; other columns, whatever
+their names, are ignored; empty tables give no rules or no rows. Rows are told apart by 128 bits.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, broadcast_up_to, lower_az, materialize, shuffle_parts, table
+from .common import LOWER, UPPER, broadcast_up_to, lower_az, materialize, row_keys, shuffle_parts, table
 
 #: (verdict, host, path): the longest that fits wins.
 FIXED_RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
@@ -106,7 +109,7 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", key: str = "page
     """Every page with host, path, rule, verdict and the confidence of the surest mined rule that matched."""
     rows = pages.groupBy(F.col(key).alias("page_id"), F.col(url).alias("url")).agg(F.count(F.lit(1)).alias("_times")).withColumn("tokens", url_tokens(F.col("url")))
     rules = rules.withColumn("id", F.xxhash64("tokens"))
-    rows = rows.withColumn("_key", F.xxhash64("page_id", "url", F.col("page_id").isNull(), F.col("url").isNull()))
+    rows = rows.withColumn("_key", F.struct(*row_keys(F.col("page_id"), F.col("url"), F.col("page_id").isNull(), F.col("url").isNull())))
     hits = match(rows.select("_key", "tokens"), rules.select("id", "tokens"), "_key").join(rules.select("id", "confidence"), "id")
     hits = hits.groupBy("_key").agg(F.max("confidence").alias("method_confidence"))
     name, verdict = fixed_rule(F.col("host"), F.col("path"), fixed)

@@ -84,3 +84,9 @@ def test_query_notices_inside_lines_and_full_texts(spark, folder):
     assert got[0] == ["Apache-2.0"] and got[1] == ["MIT"] and got[2] == [""]
     for i, name in enumerate(full, 3):
         assert name in got[i]
+
+
+def test_other_columns_stay(spark, odd_rows):
+    named = odd_rows.selectExpr("*", "1 as license", "2 as dice", "'own' as licenses")
+    out = licenses.scan(named, windows="words")
+    assert set(out.columns) == set(named.columns) and out.count() == odd_rows.count() and all(r["licenses"] == [] for r in out.collect())

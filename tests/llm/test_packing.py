@@ -87,3 +87,12 @@ def test_round_trip(spark, sf, docs, odd_rows, no_rows, folder, encoder):
     assert packing.query(spark, folder(documents=no_rows)).count() == 0
     small = packing.pack(docs.where("doc_id < 40"), PATH, stretch=3000)
     check(docs.where("doc_id < 40").collect(), small.collect(), encoder)
+
+
+def test_clashing_and_key_names(spark, odd_rows):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    named = odd_rows.selectExpr("*", "1 as length", "2 as sequence_id", "3 as start")
+    plain = [tuple(r) for r in packing.pack(odd_rows.coalesce(1), path).collect()]
+    assert sorted(map(repr, plain)) == sorted(repr(tuple(r)) for r in packing.pack(named.coalesce(1), path).collect())
+    with pytest.raises(ValueError):
+        packing.pack(named, path, key="length")

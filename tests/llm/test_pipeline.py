@@ -43,3 +43,15 @@ def test_stage_columns(spark, sf, docs):
 def test_empty(spark, folder, no_rows):
     path = folder(documents=no_rows, benchmark=spark.createDataFrame([], "item_id long, text string"))
     assert corpus_pipeline.run(spark, path).count() == 0
+
+
+def test_stages_on_odd_rows(spark, folder, odd_rows):
+    """Nulls, repeated rows, equal ids, a very long text, and columns that are named like the stages' own."""
+    names = ["lang_pred", "score", "ambiguous", "ka", "kb", "root", "body", "found", "n_words", "length", "licenses"]
+    docs = odd_rows.selectExpr("*", *(f"'{n}' as {n}" for n in names))
+    path = folder(benchmark=spark.createDataFrame([(1, "another text under the same id"), (2, None)], "item_id long, text string"))
+    for (name, stage), left in zip(corpus_pipeline.STAGES[:-1], (7, 6, 5), strict=True):
+        docs = stage(spark, docs, path)
+        assert docs.columns == [*odd_rows.columns, *names] and all(r[n] == n for r in docs.collect() for n in names), name
+        assert docs.count() == left, name
+    assert {r["doc_id"] for r in corpus_pipeline.STAGES[-1][1](spark, docs, path).collect()} == {r["doc_id"] for r in docs.collect()}

@@ -87,3 +87,9 @@ def test_least_count_does_not_grow_with_the_corpus(spark):
     assert r["train_tokens"] == n
     p = [18 / (n + 5), (17 + 18 / (n + 5)) / 18, (17 + 818 / (n + 5)) / 18]
     assert math.isclose(r["score"], sum(map(math.log10, p)), rel_tol=1e-9)
+
+
+def test_clashing_names_and_long_texts(spark, odd_rows):
+    named = odd_rows.selectExpr("*", "1 as block", "2 as keys", "3 as score", "4 as trained")
+    a = sorted(map(repr, map(tuple, suffix_tree.score(odd_rows, F.lit(True)).collect())))
+    assert a == sorted(map(repr, map(tuple, suffix_tree.score(named, F.lit(True)).collect()))) and len(a) == odd_rows.count()

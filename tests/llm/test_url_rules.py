@@ -80,3 +80,13 @@ def test_rules_of_eight_pages(spark):
     rows = [(["h:rare" if i < 8 else f"h:{i % 7}"], i < 8) for i in range(1000)]
     rules = url_rules.mine_rules(spark.createDataFrame(rows, "tokens array<string>, blocked boolean")).collect()
     assert [(r["tokens"], r["confidence"]) for r in rules] == [(["h:rare"], 1.0)]
+
+
+def test_long_urls_ties_and_clashing_names(spark):
+    pages = spark.createDataFrame([(i, f"http://h.org/{'bad' if i % 2 else 'good'}/{i}", 1, 2) for i in range(40)] + [(100, "http://h.org/" + "bad/" * 300_000, 0, 0), (101, "http://h.org/" + "/".join(f"w{i}" for i in range(20_000)), 0, 0)], "page_id long, url string, tokens int, verdict int")
+    labels = spark.createDataFrame([(i, 0 if i % 2 else 1, 0, "x") for i in range(40)], "doc_id long, quality int, toxic int, page_id string")
+    got = {r["page_id"]: r for r in url_rules.judge(pages, url_rules.train(pages, labels.drop("page_id"))).collect()}
+    assert len(got) == 42 and all((got[i]["verdict"] == "block") == (i % 2 == 1) for i in range(40)) and got[100]["verdict"] == "block" and got[101]["verdict"] == "allow"
+    assert len(got[100]["path"]) == 1_200_001
+    both = spark.createDataFrame([(["a", "b"], True)] * 10 + [(["c"], False)] * 20, "tokens array<string>, blocked boolean")
+    assert sorted(r["tokens"] for r in url_rules.mine_rules(both).collect()) == [["a"], ["b"]]

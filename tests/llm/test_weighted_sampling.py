@@ -54,3 +54,9 @@ def test_collision_rate_with_weights(spark):
 def test_no_python_in_plan(spark, docs):
     plan = weighted_sampling.fingerprints(docs.select("doc_id", "text"), ["doc_id"])._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_clashing_names_ties_and_long_texts(spark, odd_rows):
+    named = odd_rows.selectExpr("*", "1 as ka", "2 as kb", "3 as k", "4 as fingerprint")
+    a = sorted(map(repr, map(tuple, weighted_sampling.compare_with_next(odd_rows).collect())))
+    assert a == sorted(map(repr, map(tuple, weighted_sampling.compare_with_next(named).collect()))) and len(a) == odd_rows.count()
