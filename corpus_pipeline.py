@@ -2,8 +2,11 @@
 
 Each stage takes all rows that its predecessor kept and returns the columns of documents; the last one
 returns the packed pieces. Language ID drops texts that are null or without a letter; it keeps
-ambiguous ones. Near-dedup keeps the document of the least id of each class.
-Decontamination drops documents in which a window of ten benchmark words occurs.
+ambiguous ones. Near-dedup keeps one document of each class: that of the least id, null ids last, and of several rows of that id the
+one of least hash, so repeated rows are left once. Decontamination drops documents in which a window of ten benchmark words occurs.
+
+Defined cases: null ids are ids like others; texts of any length are read whole; extra columns, whatever their names,
+pass the first three stages unchanged and are ignored by packing; an empty table gives no pieces.
 """
 
 from __future__ import annotations
