@@ -23,6 +23,7 @@ whatever their names, are ignored. Words are held as 64-bit hashes.
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 from collections.abc import Iterator
 
@@ -33,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import note_table, shared_dir, shuffle_parts, shuffles_dropped, table
+from .common import materialize, note_table, shared_dir, shuffle_parts, shuffles_dropped, table
 from .vectext import NOT_SPACE, chunks, mix, strings, word_hashes
 
 END = np.uint64(0x5AFE0E2D0FDA7A11)
@@ -266,10 +267,28 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
     parts = shuffle_parts(spark)
     blocks = _bucketed(tokenise(docs, key, text, train), parts)
     n, n_tokens = blocks.agg(F.coalesce(F.sum("n_train"), F.lit(0)), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
+    # a block's row holds megabytes, so few rows pass to Python at a time
+    with small_batches(spark):
+        return _levels(docs, blocks, n, n_tokens, (depth, min_count, min_divergence), range_tokens, key, parts)
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "4m")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def _levels(docs: DataFrame, blocks: DataFrame, n: int, n_tokens: int, limits: tuple, range_tokens: int, key: str, parts: int) -> DataFrame:
+    depth = limits[0]
     ranges = 1 << (max(parts, n_tokens // range_tokens) - 1).bit_length()
-    returned = [_request(blocks, [], ranges, (depth, min_count, min_divergence, (n, 0)), parts)]
+    returned = [_request(blocks, [], ranges, (*limits, (n, 0)), parts)]
     distinct = returned[0].agg(F.coalesce(F.sum("positive"), F.lit(0))).first()[0]
-    args = (depth, min_count, min_divergence, (n, distinct))
+    args = (*limits, (n, distinct))
     for _ in range(2 * depth):
         returned.append(_request(blocks, returned, ranges, args, parts))
     kind = docs.select(key).schema[0].dataType
@@ -282,7 +301,7 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
             columns = [row["keys"].values, pa.array(flags), pa.array(lengths), pa.array(known), pa.array(np.full(len(lengths), n, np.int64)), pa.array(base), pa.array(value)]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return _joined(blocks, returned).mapInArrow(finish, schema)
+    return materialize(_joined(blocks, returned).mapInArrow(finish, schema), "scores")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
