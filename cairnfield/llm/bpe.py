@@ -24,10 +24,10 @@ one is an error; a null list of ids decodes to null, an id outside the vocabular
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -214,7 +214,7 @@ class Encoder:
         for c in set(chunks).difference(known):
             known[c] = self.older.get(c) or self._learn(c)
             self.weight += len(c)
-        return list(chain.from_iterable(map(known.__getitem__, chunks)))
+        return list(itertools.chain.from_iterable(map(known.__getitem__, chunks)))
 
     def _pieces(self, text: str) -> Iterator[str]:
         at = 0
@@ -294,13 +294,16 @@ def decode(rows: DataFrame, automaton, ids: str = "ids", text: str = "decoded")
     place = names.index(ids)
 
     def run(batches):
-        labels = pa.array(automaton.value.labels, pa.large_string())
+        labels = pa.array(automaton.value.labels, pa.string())
         for batch in batches:
-            column = batch.column(place)
-            flat = column.flatten()
-            lists = pa.LargeListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))), pa.int64()), labels.take(flat))
-            out = pc.binary_join(lists, " ")
-            yield pa.RecordBatch.from_arrays([*batch.columns, pc.if_else(column.is_valid(), out, None).cast(pa.string())], names=[*names, text])
+            sizes = pc.fill_null(batch.column(place).value_lengths(), 0).to_numpy(zero_copy_only=False)
+            part = np.cumsum(sizes, dtype=np.int64) >> 22  # some 4 million ids at a time
+            for at, to in itertools.pairwise([0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(batch)]):
+                own = batch.slice(at, to - at)
+                ids_ = own.column(place)
+                ends = np.concatenate(([0], np.cumsum(sizes[at:to]))).astype(np.int32)
+                joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), labels.take(ids_.flatten())), " ")
+                yield pa.RecordBatch.from_arrays([*own.columns, pc.if_else(ids_.is_valid(), joined, None)], names=[*names, text])
 
     return rows.mapInArrow(run, schema)
 

@@ -93,9 +93,9 @@ def test_round_trip_carries_columns(spark, automaton, odd_rows):
     from pyspark.sql import functions as F
 
     shared = spark.sparkContext.broadcast(automaton)
-    docs = odd_rows.withColumn("a.b", F.lit(1)).withColumn("labels", F.lit("x"))
+    docs = odd_rows.withColumn("a b", F.lit(1)).withColumn("labels", F.lit("x"))
     rows = bpe.decode(bpe.encode(docs, PATH, shared), shared)
-    assert rows.columns == ["doc_id", "lang", "source", "n_chars", "a.b", "labels", "ids", "decoded"]
+    assert rows.columns == ["doc_id", "lang", "source", "n_chars", "a b", "labels", "ids", "decoded"]
     assert rows.count() == odd_rows.count()
     with pytest.raises(ValueError):
         bpe.encode(docs.withColumn("IDS", F.lit(1)), PATH, shared)
