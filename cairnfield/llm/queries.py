@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, hash_tree, language_id, licenses, near_dups, packing, suffix_tree, url_rules, vector_codes, warc, weighted_sampling
+from . import bpe, decontaminate, hash_tree, language_id, licenses, near_dups, packing, spelling, suffix_tree, url_rules, vector_codes, warc, weighted_sampling
 
 QUERIES = {
     "op1_warc_salvage": warc.query,
@@ -15,11 +15,13 @@ QUERIES = {
     "op8_hash_tree_sharding": hash_tree.query,
     "op9_language_codes": language_id.query,
     "op10_license_dice": licenses.query,
+    "op11_spelling_variants": spelling.query,
     "op12_vector_codes": vector_codes.query,
     "op13_bpe_automaton": bpe.query,
 }
 
 ORACLES: dict[str, str] = {
     "op6_positional_index": decontaminate.ORACLE,
+    "op11_spelling_variants": spelling.query,
     "op12_vector_codes": vector_codes.ORACLE,
 }
