@@ -23,5 +23,6 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op6_positional_index": decontaminate.ORACLE,
     "op11_spelling_variants": spelling.query,
+    "op11_spelling_variants": spelling.ORACLE,
     "op12_vector_codes": vector_codes.ORACLE,
 }

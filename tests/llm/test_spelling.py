@@ -5,6 +5,8 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
+
 from cairnfield.llm import spelling
 from cairnfield.llm.common import LOWER, UPPER
 
@@ -63,6 +65,10 @@ def test_query_against_plain(spark, sf):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     got = result(spelling.query(spark, sf))
     assert got == plain(rows) and sum(r[2] for r in got) > 100
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{sf}/documents.parquet'")
+    columns = "word, n, n_near, form, form_n, root"
+    assert sorted(con.execute(f"select {columns} from ({spelling.ORACLE})").fetchall()) == got
 
 
 def test_edits_of_repeating_letters(spark):
