@@ -39,6 +39,9 @@ from pyspark.sql.types import ArrayType, IntegerType
 from .common import table
 
 END = "</w>"
+#: Byte-level alphabet: visible bytes of Latin-1 stand for themselves, the others for U+0100 and on, in their order.
+_SEEN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+BYTES = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in _SEEN)}
 
 
 class Automaton:
@@ -189,30 +192,30 @@ class Encoder:
         names = sorted(self.special, key=len, reverse=True)
         self.marks = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
         self.odd = regex.compile(r"[^\x00-\x1B\x20-įı-ſ]")
+        self.word = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
         self.space = regex.compile(r"\s")
         self.automaton, self.memory, self.piece = automaton, memory, piece
         self.known: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
         self.weight = 0
 
-    def _words(self, chunk: str) -> list[str]:
-        """The pre-split words of a chunk without white space; letters alone are one word, and bytes of their own."""
-        if chunk.isascii() and chunk.isalpha():
-            return [chunk]
-        return [word for word, _ in self.splitter.pre_tokenize_str(chunk)]
-
-    def _learn(self, chunk: str) -> tuple[int, ...]:
-        words = self._words(chunk)
+    def _learn(self, chunk: str, plain: bool) -> tuple[int, ...]:
+        """The ids of a chunk without white space; plain chunks are split here, others by the library."""
+        if not plain:
+            words = [word for word, _ in self.splitter.pre_tokenize_str(chunk)]
+        else:
+            words = [w if w.isascii() and w.isalnum() else w.encode().decode("latin-1").translate(BYTES) for w in self.word.findall(chunk)]
         return self.automaton.encode(words[0]) if len(words) == 1 else tuple(t for w in words for t in self.automaton.encode(w))
 
     def _plain(self, text: str) -> list[int]:
         """The ids of a text without special tokens."""
-        chunks = text.lower().split() if not self.odd.search(text) else self.normalizer.normalize_str(text).split(" ")
+        plain = not self.odd.search(text)
+        chunks = text.lower().split() if plain else self.normalizer.normalize_str(text).split(" ")
         if self.weight > 12 * self.memory:
             self.known, self.older, self.weight = {}, self.known, 0
         known = self.known
         for c in set(chunks).difference(known):
-            known[c] = self.older.get(c) or self._learn(c)
+            known[c] = self.older.get(c) or self._learn(c, plain)
             self.weight += len(c)
         return list(itertools.chain.from_iterable(map(known.__getitem__, chunks)))
 
