@@ -5,7 +5,8 @@ prefix filter over positional bigrams. Bigrams are ordered by how many words hol
 destroys two bigrams at most, so of a word's three rarest (with repeats of the third, for exactness) one survives in the
 near word, and there it is among the three rarest too. The edit lies on one side of that bigram, so the letters on its other side are equal
 and its place, counted from there, is the same; lengths differ by one at most. The join is on exactly that: bigram with the letters
-on one side, and length. Candidates are verified by edit distance inside the join, so it emits near pairs only.
+on one side, and length; of the letters on the other side one half is equal too. Candidates are verified by edit distance inside the
+join, so it emits near pairs only.
 
 A word's form is its near word of largest count, if that is at least ``ratio`` times its own. Forms at least double the count, so chains are
 short; roots come by pointer doubling, in as many rounds as the logarithm of the longest chain.
@@ -17,10 +18,13 @@ and are their own root; other columns, whatever their names, are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import lower_az, materialize, table
+from .vectext import mix, powers
 
 #: Letters a-z and U+00C0 to U+00FF.
 ALPHABET = 26 + 64
@@ -42,44 +46,97 @@ def vocabulary(words: DataFrame, least_letters: int = 5, least_n: int = 3) -> Da
     return words.where(F.length("word") >= least_letters).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_n)
 
 
-def _bigrams(word: Column) -> Column:
-    letters = F.split(word, "")
-    return F.filter(F.zip_with(letters, F.slice(letters, F.lit(2), F.greatest(F.length(word), F.lit(1))), lambda a, b: F.concat(a, b)), lambda x: x.isNotNull() & (F.length(x) == 2))
-
-
-def _number(letter: Column) -> Column:
-    code = F.ascii(letter)
-    return F.when(code >= 0xC0, code - 0xC0 + 26).otherwise(code - 0x61)
-
-
-def _slot(bigram: Column) -> Column:
-    return _number(bigram) * ALPHABET + _number(F.substr(bigram, F.lit(2), F.lit(1)))
-
-
-def rarest(words: DataFrame, most: int = 3) -> DataFrame:
-    """word, n and places: where the rarest bigrams of each word start, from 0."""
-    grams = words.select(F.explode(F.array_distinct(_bigrams(F.col("word")))).alias("gram"))
-    counts = grams.groupBy("gram").count().orderBy("count", "gram").collect()  # at most ALPHABET squared
-    rank = [0] * ALPHABET**2
-    number = lambda c: ord(c) - 0xC0 + 26 if ord(c) >= 0xC0 else ord(c) - 0x61
-    for i, r in enumerate(counts):
-        rank[number(r["gram"][0]) * ALPHABET + number(r["gram"][1])] = i
-    ranks = F.split(F.lit(",".join(map(str, rank))), ",").cast("array<int>")
-    placed = F.array_sort(F.transform(_bigrams(F.col("word")), lambda g, i: F.struct(F.get(ranks, _slot(g)).alias("rank"), i.alias("place"))))
-    found = words.select("word", "n", placed.alias("placed"))
-    return found.select("word", "n", F.transform(F.filter("placed", lambda p: p["rank"] <= F.get("placed", F.lit(most - 1))["rank"]), lambda p: p["place"]).alias("places"))
+def _number(points: np.ndarray) -> np.ndarray:
+    """Letters as 0 .. ALPHABET - 1."""
+    return np.where(points >= 0xC0, points - 0xC0 + 26, points - 0x61)
+
+
+def _letters(column) -> tuple[np.ndarray, np.ndarray]:
+    """The letters of all words of a column as numbers, and where each word starts (and the last ends)."""
+    words = column.to_pylist()
+    points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int64)
+    return _number(points), np.concatenate(([0], np.cumsum([len(w) for w in words]))).astype(np.int64)
+
+
+def bigram_ranks(words: DataFrame) -> np.ndarray:
+    """The place of each bigram in the global order: by how many words hold it, then by its letters."""
+    size = ALPHABET**2
+
+    def count(batches):
+        total = np.zeros(size, np.int64)
+        for batch in batches:
+            letters, start = _letters(batch.column(0))
+            owner = np.repeat(np.arange(len(batch)), np.diff(start))
+            same = owner[1:] == owner[:-1]
+            held = np.unique((owner[1:] * size + letters[:-1] * ALPHABET + letters[1:])[same])
+            total += np.bincount(held % size, minlength=size)
+        found = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], names=["gram", "n"])
+
+    counts = np.zeros(size, np.int64)
+    for r in words.select("word").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():  # at most ALPHABET squared
+        counts[r["gram"]] = r["n"]
+    return np.argsort(np.lexsort((np.arange(size), counts)))
+
+
+def _hash(total: np.ndarray, inverse: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of the letters from a to b (not included), of the running sums of letters times powers."""
+    return mix((total[b] - total[a]) * inverse[a] + (b - a).astype(np.uint64))
+
+
+def places(letters: np.ndarray, start: np.ndarray, rank: np.ndarray, most: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """(word, place in ``letters``) of the rarest bigrams of each word: the first ``most`` by rank, and repeats of the last of these."""
+    owner = np.repeat(np.arange(len(start) - 1), np.diff(start))
+    at = np.flatnonzero(owner[1:] == owner[:-1])
+    word, order = owner[at], rank[letters[at] * ALPHABET + letters[at + 1]]
+    by = np.lexsort((order, word))
+    at, word, order = at[by], word[by], order[by]
+    first = np.searchsorted(word, np.arange(len(start)))
+    last = np.minimum(first[:-1] + most, first[1:]) - 1
+    keep = order <= order[last[word]]
+    return word[keep], at[keep]
+
+
+def sided(words: DataFrame, rank: np.ndarray, longer: bool) -> DataFrame:
+    """Rows (key, h1, h2, word, n) for each rare bigram and each side of it that may be untouched.
+
+    The key holds the bigram, the letters on that side, the side and the length. h1 and h2 are hashes of the halves of the letters on the other side: one
+    edit leaves one of them as it is. A word stands for itself, or with ``longer`` also for a word that is one letter longer than its partner: its
+    length counts one less then, and its halves are as long as the partner's.
+    """
+    shared = words.sparkSession.sparkContext.broadcast(rank)
+
+    def run(batches):
+        for batch in batches:
+            for i in range(0, len(batch), 4096):
+                part = batch.slice(i, 4096)
+                letters, start = _letters(part.column(0))
+                power, inverse = powers(len(letters) + 1)
+                total = np.zeros(len(letters) + 1, np.uint64)
+                np.cumsum((letters.astype(np.uint64) + np.uint64(1)) * power[: len(letters)], out=total[1:])
+                word, at = places(letters, start, shared.value)
+                low, high = start[word], start[word + 1]
+                for less in (0, 1) if longer else (0,):
+                    for side, (a, b, c, d) in enumerate(((low, at + 2, at + 2, high), (at, high, low, at))):
+                        key = _hash(total, inverse, a, b) + (2 * (high - low - less) + side).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                        n = np.maximum(d - c - less, 0)
+                        h1, h2 = _hash(total, inverse, c, c + n // 2), _hash(total, inverse, d - (n - n // 2), d)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(mix(key).view(np.int64)), pa.array(h1.astype(np.uint32).view(np.int32)), pa.array(h2.astype(np.uint32).view(np.int32)), part.column(0).take(pa.array(word)), part.column(1).take(pa.array(word))],
+                            names=["key", "h1", "h2", "word", "n"],
+                        )
+
+    return words.select("word", "n").mapInArrow(run, "key long, h1 int, h2 int, word string, n long")
 
 
 def near_pairs(words: DataFrame) -> DataFrame:
     """Each pair (a, na, b, nb) of words at edit distance one, once. Words have four bigrams or more."""
-    each = rarest(words).select("word", "n", F.explode("places").alias("at"))
-    left, right = F.substr("word", F.lit(1), F.col("at") + 2), F.substr("word", F.col("at") + 1)
-    sided = each.select("word", "n", F.length("word").alias("len"), F.explode(F.array(F.struct(F.lit(0).alias("side"), left.alias("part")), F.struct(F.lit(1).alias("side"), right.alias("part")))).alias("s"))
-    key = lambda longer: F.xxhash64("s.side", "s.part", F.col("len") + longer)
-    longer = sided.select(key(0).alias("key"), F.col("word").alias("b"), F.col("n").alias("nb"))
-    shorter = sided.select(F.explode(F.array(key(0), key(1))).alias("key"), F.col("word").alias("a"), F.col("n").alias("na"))
+    rank = bigram_ranks(words)
+    a = sided(words, rank, False).select("key", F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("word").alias("a"), F.col("n").alias("na"))
+    b = sided(words, rank, True).select("key", F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("word").alias("b"), F.col("n").alias("nb"))
+    half = (F.col("a1") == F.col("b1")) | (F.col("a2") == F.col("b2"))
     once = (F.length("a") < F.length("b")) | (F.col("a") < F.col("b"))
-    near = shorter.hint("merge").join(longer, (shorter["key"] == longer["key"]) & once & (F.levenshtein("a", "b", 1) == 1))
+    near = a.hint("merge").join(b, (a["key"] == b["key"]) & half & once & (F.levenshtein("a", "b", 1) == 1))
     return near.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"))
 
 

@@ -31,7 +31,8 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def _power(size: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base of running hashes, and their inverses."""
     if len(_powers.get("p", ())) < size:
         n = 1 << (size - 1).bit_length()
         _powers["p"] = np.cumprod(np.full(n, _P, np.uint64))
@@ -75,7 +76,7 @@ def word_hashes(column: pa.Array, member: np.ndarray) -> tuple[np.ndarray, np.nd
     last[-1], last[:-1] = True, ~inside[1:]
     last[texts[1:] - 1] = True
     ends = np.flatnonzero(inside & last) + 1
-    power, inverse = _power(len(data) + 1)
+    power, inverse = powers(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:-1], out=total[1:])
     hashes = mix((total[ends] - total[starts]) * inverse[starts])
