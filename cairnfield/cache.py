@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import inspect
+import threading
 from collections.abc import Callable
 from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 
-from .sources import exists
+from .tables import exists, materialize
 
 
 class NotCachedError(RuntimeError):
@@ -63,6 +65,14 @@ class Memory:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
+    def _path(self, f, ignore: tuple[str, ...], args: tuple, kwargs: dict) -> str:
+        """Where a call's result is kept: by function, versions and arguments."""
+        bound = inspect.signature(f).bind(*args, **kwargs)
+        bound.apply_defaults()
+        named = {k: v for k, v in bound.arguments.items() if k not in ignore and not isinstance(v, SparkSession)}
+        text = "\n".join([*sorted(_versions(f)), _describe(named)])
+        return f"{self.folder}/{f.__name__}/{hashlib.sha256(text.encode()).hexdigest()[:32]}"
+
     def cache(self, dependencies: tuple = (), ignore: tuple[str, ...] = ()):
         """Decorate a versioned function. How arguments are passed does not matter, and ignored ones do not count."""
 
@@ -70,11 +80,7 @@ class Memory:
             f.cairn_dependencies = tuple(dependencies)
 
             def path(*args, **kwargs) -> str:
-                bound = inspect.signature(f).bind(*args, **kwargs)
-                bound.apply_defaults()
-                named = {k: v for k, v in bound.arguments.items() if k not in ignore and not isinstance(v, SparkSession)}
-                text = "\n".join([*sorted(_versions(f)), _describe(named)])
-                return f"{self.folder}/{f.__name__}/{hashlib.sha256(text.encode()).hexdigest()[:32]}"
+                return self._path(f, ignore, args, kwargs)
 
             @wraps(f)
             def run(*args, **kwargs) -> DataFrame:
@@ -95,28 +101,53 @@ class Memory:
         return decorate
 
     def cache_hash(self, dependencies: tuple = (), ignore: tuple[str, ...] = ()):
-        """As cache, but what is stored is the result's content hash (n, total, mix) alone: a run gives the result and whether it is as before.
+        """As cache, but only the result's content hash (n, total, mix) stays: a result must be what it was before.
 
-        The first run of a set of arguments stores the hash; later ones compare with it and raise HashMismatchError if it differs.
+        The hash is observed on the one job that computes the result. A call computes it into a temporary table, compares, and gives
+        that table; ``with f.checked(...) as result:`` gives the result itself, whose hash rides on the consumer's own job
+        and is compared when the block ends (the job has to read all rows). The first run of a set of arguments stores the hash;
+        later ones raise HashMismatchError if it differs.
         """
-        from .operators.stats import fingerprint
+        from .operators.stats import fingerprint_columns
 
         def decorate(f):
-            @wraps(f)
-            def hashed(*args, **kwargs) -> DataFrame:
-                return fingerprint(f(*args, **kwargs))
+            f.cairn_dependencies = tuple(dependencies)
+            if not hasattr(f, "cairn_version"):
+                f.cairn_version = "0"
 
-            hashed.cairn_version = getattr(f, "cairn_version", None) or "0"
-            stored = self.cache(dependencies, ignore)(hashed)
+            def path(*args, **kwargs) -> str:
+                return self._path(f, ignore, args, kwargs)
+
+            def stored(*args, **kwargs) -> str:
+                at = path(*args, **kwargs)
+                if not exists(self.spark, f"{at}/_SUCCESS"):
+                    raise NotCachedError(at)
+                return at
+
+            def compare(at: str, found: dict) -> None:
+                if not exists(self.spark, f"{at}/_SUCCESS"):
+                    self.spark.createDataFrame([(found["n"], found["total"], found["mix"])], "n long, total string, mix long").coalesce(1).write.mode("overwrite").parquet(at)
+                elif self.spark.read.parquet(at).first().asDict() != {k: found[k] for k in ("n", "total", "mix")}:
+                    raise HashMismatchError(f.__qualname__)
+
+            @contextlib.contextmanager
+            def checked(*args, **kwargs):
+                at, out, seen = path(*args, **kwargs), f(*args, **kwargs), Observation()
+                yield out.observe(seen, *fingerprint_columns(out.columns))
+                waiting = threading.Thread(target=lambda: setattr(seen, "cairn_found", seen.get), daemon=True)
+                waiting.start()
+                waiting.join(60)
+                if waiting.is_alive():
+                    raise RuntimeError(f"the result of {f.__qualname__} was not read")
+                compare(at, seen.cairn_found)
 
             @wraps(f)
             def run(*args, **kwargs) -> DataFrame:
-                out = f(*args, **kwargs)
-                if stored(*args, **kwargs).first() != fingerprint(out).first():
-                    raise HashMismatchError(f.__qualname__)
-                return out
+                with checked(*args, **kwargs) as out:
+                    result = materialize(out, "hashed")
+                return result
 
-            run.stored, run.path = stored.stored, stored.path
+            run.stored, run.path, run.checked = stored, path, checked
             return run
 
         return decorate

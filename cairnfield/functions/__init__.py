@@ -164,10 +164,10 @@ def bin_edges(low: float, high: float, n: int | None, log: bool = False, smalles
     return linear_edges(low, 0.0, down)[:-1] + linear_edges(0.0, high, n - down)
 
 
-def float_format(x: float, digits: int = 2) -> str:
-    """Fixed digits where that shows the number, else powers of ten."""
-    fixed = f"{x:.{digits}f}"
-    return fixed if x == 0 or (float(fixed) != 0 and abs(x) < 10 ** (digits + 3)) else scientific(x)
+def float_format(x: float, additional: int = 0) -> str:
+    """Decimals only for small numbers: none from 10 on, below as many as its order of magnitude needs (one more up to 1); none for 0."""
+    digits = 0 if x >= 10 or x == 0 else math.ceil(abs(math.log10(abs(x)))) + (x <= 1)
+    return f"{x:.{digits + additional}f}"
 
 
 def map_names(names: list[str], table: dict[str, str]) -> list[str]:

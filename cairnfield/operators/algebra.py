@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field, replace
-from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -25,11 +24,17 @@ class Dataset:
         if len(set(self.variables)) < len(self.variables) or len(set(pretty)) < len(pretty):
             raise ValueError(f"variable names of {self.name} are not unique")
 
-    @property
-    def grid(self) -> tuple[int, int]:
-        """How many latitudes and longitudes the cube has."""
-        row = self.cube.agg(F.count_distinct("lat_idx"), F.count_distinct("lon_idx")).first()
-        return row[0], row[1]
+    def grid(self, axis: str = "lat") -> float | str:
+        """The mean spacing of an axis' points, or "N/A" if they are uneven, single, or the cube lacks the axis."""
+        if axis not in self.cube.columns:
+            return "N/A"
+        points = self.cube.select(axis).dropna().distinct()
+        steps = points.select((F.lead(axis).over(Window.orderBy(axis)) - F.col(axis)).alias("step")).where("step is not null")
+        row = steps.agg(F.avg("step").alias("mean"), F.min("step").alias("least"), F.max("step").alias("most")).first()
+        if row["mean"] is None:
+            return "N/A"
+        even = all(abs(x - row["mean"]) <= 1e-8 + 1e-5 * abs(row["mean"]) for x in (row["least"], row["most"]))
+        return abs(row["mean"]) if even else "N/A"
 
     def names(self) -> set[str]:
         return {self.name, self.pretty_name or self.name}
@@ -75,28 +80,27 @@ class Datasets:
         """The place of a dataset, by raw or pretty name."""
         return self.datasets.index(self[name])
 
-    def fill(self, keys: list[str], axes: list[str], *masks: DataFrame, reference: str | None = "burned.*area") -> "Datasets":
-        """Every variable's masked values filled from the nearest valid cell of its month, but where the combined mask holds.
+    def fill(self, keys: list[str], *masks: DataFrame, reference: str | None = "burned.*area", axes: list[str] | None = None) -> "Datasets":
+        """Every variable's masked values filled from the nearest valid cell; then the combined mask, and only it, hides values.
 
         The mask is the OR of the given mask tables (keys, mask) and of the masked cells of the one variable whose name matches
-        ``reference`` (None: of the given ones alone). keys: time and cell columns; axes: those along which distance counts.
+        ``reference`` (None: of the given ones alone). keys: integer columns of time and cell; distance counts along all of them, or
+        along ``axes``. Valid values under the mask go, masked values outside it are filled.
         """
         from .gapfill import nearest_cell
         from .masks import apply_masks
 
-        masks = list(masks)
+        masks, axes = list(masks), keys if axes is None else axes
         if reference is not None:
             hits = [(d, v) for d in self.datasets for v in d.variables if any(re.fullmatch(reference, n, re.IGNORECASE) for n in (v, d.pretty_variables.get(v, v)))]
             if len(hits) != 1:
                 raise ValueError(f"{len(hits)} variables match {reference!r}")
             masks.append(hits[0][0][hits[0][1]].select(*keys, F.col("value").isNull().alias("mask")))
-        times = [k for k in keys if k not in axes]
+        others = [k for k in keys if k not in axes]
         out = []
         for d in self.datasets:
-            parts = [nearest_cell(d[v], axes, within=times) for v in d.variables]
-            filled = reduce(DataFrame.unionByName, parts)
-            kept = apply_masks(filled.withColumn("_own", F.col("value")).withColumn("value", F.col("filled")), *masks, keys=keys)
-            out.append(replace(d, cube=kept.withColumn("value", F.coalesce("_own", "value")).drop("_own", "filled")))
+            filled = nearest_cell(d.cube, axes, within=["variable", *others])
+            out.append(replace(d, cube=apply_masks(filled.withColumn("value", F.col("filled")).drop("filled"), *masks, keys=keys)))
         return Datasets(out)
 
     def select_datasets(self, names: list[str]) -> "Datasets":

@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+import bisect
 import itertools
 import random
 import time
 from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
+import pandas as pd
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import VectorAssembler, VectorSlicer
 from pyspark.ml.regression import GeneralizedLinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..tables import exists, materialize
+from ..tables import exists, materialize, shared_dir
 from .stats import exact_percentiles
 
 
@@ -140,14 +143,156 @@ def combinations(rows: DataFrame, subsets: list[list[str]], label: str, params:
     return {tuple(s): cross_validate(rows, s, label, [params], k, order).agg(F.avg("test")).first()[0] for s in subsets}
 
 
-def partial_dependence(rows: DataFrame, model, feature: str, grid: list[float]) -> DataFrame:
-    """(value, mean, low, high) of predictions with the feature set to each grid value."""
-    values = rows.sparkSession.createDataFrame([(float(g),) for g in grid], "_value double")
-    spread = rows.drop(feature).crossJoin(F.broadcast(values)).withColumn(feature, F.col("_value"))
-    return model.transform(spread).groupBy(F.col("_value").alias("value")).agg(F.avg("prediction").alias("mean"), F.min("prediction").alias("low"), F.max("prediction").alias("high"))
+#: Columns of a table of a forest's nodes; leaves have no feature, children -1.
+NODES = "tree int, id int, left int, right int, feature int, threshold double, n double, prediction double"
+
+
+def forest_nodes(model, spark: SparkSession) -> DataFrame:
+    """The nodes of a fitted forest (or pipeline that ends in one): tree, id, left, right, feature, threshold, n, prediction.
+
+    n counts the samples of the bag that reached a node. The model is written and read back, so nodes are rows, not driver objects.
+    """
+    forest_ = model.stages[-1] if hasattr(model, "stages") else model
+    path = f"{shared_dir(spark)}/forest"
+    forest_.write().overwrite().save(path)
+    saved = spark.read.parquet(f"{path}/data")
+    node = F.col("nodeData")
+    inner = node["leftChild"] >= 0
+    return saved.select(
+        F.col("treeID").cast("int").alias("tree"), node["id"].alias("id"), node["leftChild"].alias("left"), node["rightChild"].alias("right"),
+        F.when(inner, node["split"]["featureIndex"]).alias("feature"), F.when(inner, F.get(node["split"]["leftCategoriesOrThreshold"], F.lit(0))).alias("threshold"),
+        F.get(node["impurityStats"], F.lit(0)).alias("n"), node["prediction"].alias("prediction"),
+    )
+
+
+def path_dependence(nodes: DataFrame, feature: int, grid: list[float]) -> DataFrame:
+    """(value, mean): partial dependence by walking the trees, without a row of data.
+
+    A walk follows the branch of the grid value where a tree splits on the feature, and elsewhere both branches, weighted by
+    the share of samples in each. A leaf so counts for the grid values of one interval, with one weight. Each tree is a task's group (its
+    size is the model's); trees then count alike.
+    """
+    at = sorted(float(g) for g in grid)
+
+    def walk(tree: pd.DataFrame) -> pd.DataFrame:
+        tree = tree.set_index("id")
+        left, right, split = tree["left"].to_dict(), tree["right"].to_dict(), tree["feature"].to_dict()
+        bound, n, prediction = tree["threshold"].to_dict(), tree["n"].to_dict(), tree["prediction"].to_dict()
+        change = np.zeros(len(at) + 1)
+        root = (set(tree.index) - set(left.values()) - set(right.values())).pop()
+        open_ = [(root, 1.0, 0, len(at))]
+        while open_:
+            i, weight, a, b = open_.pop()
+            if a >= b or weight == 0:
+                continue
+            if left[i] < 0:
+                change[a] += weight * prediction[i]
+                change[b] -= weight * prediction[i]
+            elif split[i] == feature:
+                cut = bisect.bisect_right(at, bound[i])
+                open_ += [(left[i], weight, a, min(b, cut)), (right[i], weight, max(a, cut), b)]
+            else:
+                share = n[left[i]] / (n[left[i]] + n[right[i]])
+                open_ += [(left[i], weight * share, a, b), (right[i], weight * (1 - share), a, b)]
+        return pd.DataFrame({"value": at, "prediction": np.cumsum(change)[:-1]})
+
+    return nodes.groupBy("tree").applyInPandas(walk, "value double, prediction double").groupBy("value").agg(F.avg("prediction").alias("mean"))
+
+
+def partial_dependence(rows: DataFrame, model, feature: str, grid: list[float], coverage: float = 1.0, seed: int = 1) -> DataFrame:
+    """(value, mean, low, high) of predictions with the feature set to each grid value, over a share ``coverage`` of the rows.
+
+    Between two thresholds of the feature the forest's predictions are equal, so rows are predicted once for each stretch between thresholds that
+    grid values fall in (a feature has fewer thresholds than bins), not once for each grid value.
+    """
+    if not 0 < coverage <= 1:
+        raise ValueError("coverage must lie in (0, 1]")
+    spark = rows.sparkSession
+    names = model.stages[0].getInputCols()
+    nodes = forest_nodes(model, spark).where(F.col("feature") == names.index(feature))
+    cuts = sorted(r[0] for r in nodes.select("threshold").distinct().collect())  # at most the bins of one feature
+    stretch: dict[int, float] = {}
+    for g in grid:
+        stretch.setdefault(bisect.bisect_left(cuts, float(g)), float(g))
+    used = rows if coverage == 1 else rows.sample(coverage, seed)
+    spread = used.drop(feature).withColumn(feature, F.explode(F.array(*[F.lit(v) for v in stretch.values()])))
+    found = model.transform(spread).groupBy(F.col(feature).alias("_at")).agg(F.avg("prediction").alias("mean"), F.min("prediction").alias("low"), F.max("prediction").alias("high"))
+    places = spark.createDataFrame([(float(g), stretch[bisect.bisect_left(cuts, float(g))]) for g in grid], "value double, _at double")
+    return places.join(F.broadcast(found), "_at").select("value", "mean", "low", "high")
+
+
+def sampled_lines(rows: DataFrame, model, feature: str, grid: list[float], coverage: float, seed: int = 1, key: str | None = None) -> DataFrame:
+    """(line, value, prediction): the single rows behind a partial dependence, for a sampled share of the rows."""
+    used = rows.sample(coverage, seed).withColumn("line", F.col(key) if key else F.monotonically_increasing_id())
+    spread = used.drop(feature).withColumn(feature, F.explode(F.array(*[F.lit(float(g)) for g in grid])))
+    return model.transform(spread).select("line", F.col(feature).alias("value"), "prediction")
 
 
 def pdp_grid(rows: DataFrame, feature: str, n: int, low: float = 0.05, high: float = 0.95) -> list[float]:
-    found = {r["share"]: r["percentile"] for r in exact_percentiles(rows, [], feature, [low, high]).collect()}
+    found = {r["share"]: r["percentile"] for r in exact_percentiles(rows, [], feature, sorted({low, high})).collect()}
+    if not found:
+        raise ValueError(f"{feature} has no values")
     a, b = found[low], found[high]
     return [a + (b - a) * i / (n - 1) for i in range(n)]
+
+
+def feature_set_search(rows: DataFrame, sets_of_features: dict[str, list[str]], label: str, sets: list[dict], store: str, k: int = 5, order: str | None = None, test_share: float = 0.3, seed: int = 1, seconds: float | None = None, parallelism: int = 4):
+    """Search the parameters of a forest for each of several sets of features (such as unlagged and lagged ones) on the same rows.
+
+    One vector of all features is assembled and written once with the rows' held-out flag and fold; a set of features is a slice of that
+    vector. Rows with a null feature or label count for no set, so that scores compare. The held-out share takes no part in the
+    search. The score table at ``store`` is common to all sets, resumed by a later call, and complete once each set has its k splits for all
+    parameters. Returns (scores, best): scores (features, number, params, split, train, test), and for each complete set its best
+    parameters, mean score, R2 of the refitted model on training and held-out rows, and importances by falling weight.
+    """
+    spark = rows.sparkSession
+    every = list(dict.fromkeys(f for fs in sets_of_features.values() for f in fs))
+    whole = rows.dropna(subset=[*every, label])
+    held = F.pmod(F.xxhash64(F.lit(seed), *[F.col(c) for c in ([order] if order else [*every, label])]), F.lit(10_000)) < int(10_000 * test_share)
+    dealt = folds(whole.withColumn("_held", held).where("not _held"), order or every[0], k).unionByName(whole.withColumn("_held", held).where("_held"), allowMissingColumns=True)
+    vector = VectorAssembler(inputCols=every, outputCol="_all").transform(dealt).select("_all", F.col(label).cast("double").alias("_label"), "_held", "fold")
+    table = materialize(vector, "search").persist()
+    if exists(spark, store):
+        done = {(r["features"], r["params"], r["split"]): r for r in spark.read.parquet(store).collect()}  # a row a fit
+    else:
+        done = {}
+    until = None if seconds is None else time.monotonic() + seconds
+
+    def pipeline(features: list[str], params: dict) -> Pipeline:
+        params = {"numTrees": 100, "maxDepth": 15, "seed": 1, "cacheNodeIds": True} | params
+        cut = VectorSlicer(inputCol="_all", outputCol="features", indices=[every.index(f) for f in features])
+        return Pipeline(stages=[cut, RandomForestRegressor(featuresCol="features", labelCol="_label", **params)])
+
+    def one(work):
+        name, number, params, split = work
+        said = ", ".join(f"{a}={b}" for a, b in sorted(params.items()))
+        if (name, said, split) in done:
+            r = done[name, said, split]
+            return name, number, said, split, r["train"], r["test"], False
+        if until is not None and time.monotonic() > until:
+            return None
+        train, test = table.where(~F.col("_held") & (F.col("fold") != split)), table.where(~F.col("_held") & (F.col("fold") == split))
+        model = pipeline(sets_of_features[name], params).fit(train)
+        return name, number, said, split, r2(model.transform(train), "_label"), r2(model.transform(test), "_label"), True
+
+    work = [(name, i, params, split) for name in sets_of_features for i, params in enumerate(sets) for split in range(k)]
+    with ThreadPoolExecutor(parallelism) as pool:
+        found = [x for x in pool.map(inheritable_thread_target(spark)(one), work) if x is not None]
+    schema = "features string, number int, params string, split int, train double, test double"
+    if new := [x[:-1] for x in found if x[-1]]:
+        spark.createDataFrame(new, schema).coalesce(1).write.mode("append").parquet(store)
+    scores, best = spark.createDataFrame([x[:-1] for x in found], schema), {}
+    for name, features in sets_of_features.items():
+        own = scores.where(F.col("features") == name)
+        if own.count() < len(sets) * k:
+            continue
+        top = best_parameters(own, k).first()
+        number = own.where(F.col("params") == top["params"]).first()["number"]
+        model = pipeline(features, sets[number]).fit(table.where("not _held"))
+        weights = model.stages[-1].featureImportances.toArray().tolist()
+        best[name] = {
+            "params": sets[number], "score": top["score"], "r2_train": r2(model.transform(table.where("not _held")), "_label"), "r2_test": r2(model.transform(table.where("_held")), "_label"),
+            "importances": sorted(zip(features, weights, strict=True), key=lambda x: -x[1]),
+        }
+    table.unpersist()
+    return scores, best

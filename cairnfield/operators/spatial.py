@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,39 +19,73 @@ def bounds(centres: list[float]) -> list[tuple[float, float]]:
 
 def overlaps(source: list[tuple[float, float]], target: list[tuple[float, float]], tol: float = 1e-9) -> list[list[int]]:
     """For each target cell the source cells that overlap it by more than tol; none at all is an error."""
-    out = [[i for i, s in enumerate(source) if s[0] < t[1] - tol and s[1] > t[0] + tol] for t in target]
-    if not any(out):
+    src, tgt = _pairs(np.array(source, float).reshape(-1, 2), np.array(target, float).reshape(-1, 2), tol)
+    if not len(src):
         raise ValueError("the axes do not overlap")
-    return out
+    ends = np.searchsorted(tgt, np.arange(len(target) + 1))
+    return [src[a:b].tolist() for a, b in itertools.pairwise(ends)]
+
+
+def _pairs(source: np.ndarray, target: np.ndarray, tol: float = 1e-9) -> tuple[np.ndarray, np.ndarray]:
+    """(source, target) numbers of the cells that overlap, by target, then source: a merge of the two sorted axes.
+
+    Cells of an axis do not overlap each other, so those that meet a target cell are a stretch of the sorted axis.
+    """
+    order = np.argsort(source[:, 0], kind="stable")
+    low, high = source[order, 0], source[order, 1]
+    first = np.searchsorted(high, target[:, 0] + tol, "right")
+    n = np.maximum(np.searchsorted(low, target[:, 1] - tol, "left") - first, 0)
+    tgt = np.repeat(np.arange(len(target)), n)
+    src = order[np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())]
+    by = np.lexsort((src, tgt))
+    return src[by], tgt[by]
+
+
+def _weights(src: np.ndarray, tgt: np.ndarray, w: np.ndarray) -> list[tuple[int, int, float]]:
+    return list(zip(src.tolist(), tgt.tolist(), w.tolist(), strict=True))
 
 
 def conservative_weights(source: list[float], target: list[float], is_lat: bool) -> list[tuple[int, int, float]]:
     """(src, tgt, weight): overlap in degrees of longitude or in sin of latitude."""
-    s, t = bounds(source), bounds(target)
-    size = (lambda a, b: math.sin(math.radians(min(90, b))) - math.sin(math.radians(max(-90, a)))) if is_lat else (lambda a, b: b - a)
-    return [(i, j, size(max(s[i][0], t[j][0]), min(s[i][1], t[j][1]))) for j, hits in enumerate(overlaps(s, t)) for i in hits]
+    s, t = np.array(bounds(source)), np.array(bounds(target))
+    src, tgt = _pairs(s, t)
+    if not len(src):
+        raise ValueError("the axes do not overlap")
+    low, high = np.maximum(s[src, 0], t[tgt, 0]), np.minimum(s[src, 1], t[tgt, 1])
+    if is_lat:
+        low, high = np.sin(np.radians(np.maximum(low, -90))), np.sin(np.radians(np.minimum(high, 90)))
+    return _weights(src, tgt, high - low)
 
 
 def nearest_weights(source: list[float], target: list[float]) -> list[tuple[int, int, float]]:
-    return [(min(range(len(source)), key=lambda i: (abs(source[i] - x), i)), j, 1.0) for j, x in enumerate(target)]
+    """The nearest source cell of each target, of equally near ones the first."""
+    s, t = np.array(source, float), np.array(target, float)
+    order = np.argsort(s, kind="stable")
+    at = np.searchsorted(s[order], t)
+    around = np.clip(np.stack([at - 1, at]), 0, len(s) - 1)
+    # of equal points the first: move each candidate to the start of its run
+    around = order[np.searchsorted(s[order], s[order][around])]
+    far = np.abs(s[around] - t)
+    pick = np.where((far[0] < far[1]) | ((far[0] == far[1]) & (around[0] < around[1])), around[0], around[1])
+    return _weights(pick, np.arange(len(t)), np.ones(len(t)))
 
 
 def linear_weights(source: list[float], target: list[float], circular: float | None = None) -> list[tuple[int, int, float]]:
     """Bracketing cells by distance; a circular axis goes on past its ends; others extrapolate from their outer cells."""
-    points = list(enumerate(source))
+    number, points, x = np.arange(len(source)), np.array(source, float), np.array(target, float)
     if circular:
-        points = [(len(source) - 1, source[-1] - circular), *points, (0, source[0] + circular)]
-    out = []
-    for j, x in enumerate(target):
-        k = max(0, min(len(points) - 2, sum(p <= x for _, p in points) - 1))
-        (a, pa), (b, pb) = points[k], points[k + 1]
-        w = (x - pa) / (pb - pa)
-        out += [(i, j, v) for i, v in ((a, 1 - w), (b, w)) if v != 0]
-    return out
+        number = np.concatenate(([len(source) - 1], number, [0]))
+        points = np.concatenate(([points[-1] - circular], points, [points[0] + circular]))
+    k = np.clip(np.searchsorted(points, x, "right") - 1, 0, len(points) - 2)
+    w = (x - points[k]) / (points[k + 1] - points[k])
+    src, tgt, weight = np.stack([number[k], number[k + 1]], 1).ravel(), np.repeat(np.arange(len(x)), 2), np.stack([1 - w, w], 1).ravel()
+    return _weights(src[weight != 0], tgt[weight != 0], weight[weight != 0])
 
 
 def weight_table(spark: SparkSession, weights: list[tuple[int, int, float]], axis: str) -> DataFrame:
-    return spark.createDataFrame(weights, f"{axis}_idx int, {axis}_tgt int, {axis}_w double")
+    src, tgt, w = zip(*weights, strict=True) if weights else ((), (), ())
+    columns = [np.array(src, np.int32), np.array(tgt, np.int32), np.array(w, float)]
+    return spark.createDataFrame(pa.table(columns, names=[f"{axis}_idx", f"{axis}_tgt", f"{axis}_w"]))
 
 
 def regrid(cube: DataFrame, lat_weights: DataFrame, lon_weights: DataFrame, keys: list[str], scheme: str = "nearest", missing_tolerance: float = 1.0, value: str = "value") -> DataFrame:
@@ -146,3 +183,49 @@ def region_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(k, *v) for k, v in REGIONS.items()], "region int, code string, name string")
 
 
+
+
+def footprint_shares(pixels: DataFrame, size: int, step: float = 0.25) -> DataFrame:
+    """Pixels (h, v, i, j of a sinusoidal tile grid of size x size pixels a tile) with (lat_idx, lon_idx, share) of each cell they touch.
+
+    Tiles are 10 degrees wide and high at the equator, numbered from the north-west. The projection keeps areas, and a degree of longitude
+    is cos(latitude) wide in it, so a pixel is cut at the cells' parallels, each strip at the meridians as they run at the strip's middle: a share
+    is the strip's part of the height times the part of the width. Shares of a pixel sum to 1; what lies beyond the globe's edge has none.
+    """
+    edge = 10.0 / size
+    top, west = F.lit(90.0) - (F.col("v") * size + F.col("i")) * edge, F.lit(-180.0) + (F.col("h") * size + F.col("j")) * edge
+    rows = pixels.withColumns({"_n": top, "_s": top - edge, "_w": west, "_e": west + edge})
+    first = F.floor((F.col("_s") + 90) / step + 1e-9).cast("int")
+    last = F.greatest(first, F.ceil((F.col("_n") + 90) / step - 1e-9).cast("int") - 1)
+    strips = rows.withColumn("lat_idx", F.explode(F.sequence(first, last)))
+    low, high = F.greatest(F.col("_s"), F.col("lat_idx") * step - 90), F.least(F.col("_n"), (F.col("lat_idx") + 1) * step - 90)
+    strips = strips.withColumns({"_part": (high - low) / edge, "_cos": F.cos(F.radians((low + high) / 2))})
+    a, b = F.greatest(F.lit(-180.0), F.col("_w") / F.col("_cos")), F.least(F.lit(180.0), F.col("_e") / F.col("_cos"))
+    strips = strips.withColumns({"_a": a, "_b": b}).where((F.col("_part") > 1e-12) & (F.col("_b") - F.col("_a") > 1e-12))
+    left = F.floor((F.col("_a") + 180) / step + 1e-9).cast("int")
+    right = F.greatest(left, F.ceil((F.col("_b") + 180) / step - 1e-9).cast("int") - 1)
+    cells = strips.withColumn("lon_idx", F.explode(F.sequence(left, right)))
+    width = F.least(F.col("_b"), (F.col("lon_idx") + 1) * step - 180) - F.greatest(F.col("_a"), F.col("lon_idx") * step - 180)
+    share = F.col("_part") * width * F.col("_cos") / edge
+    return cells.withColumn("share", share).where("share > 0").drop("_n", "_s", "_w", "_e", "_part", "_cos", "_a", "_b")
+
+
+def footprint_average(pixels: DataFrame, size: int, step: float = 0.25, keys: tuple[str, ...] = ("date",), scale: float = 1.0, value: str = "value") -> DataFrame:
+    """(keys, lat_idx, lon_idx, value): the mean of the valid pixels that touch a cell, weighted by the area of the touch, times the scale.
+
+    The sums of shares are combined before the shuffle. A cell that valid pixels do not touch has no row.
+    """
+    each = footprint_shares(pixels.where(F.col(value).isNotNull()), size, step)
+    out = each.groupBy(*keys, "lat_idx", "lon_idx").agg((F.sum(F.col("share") * F.col(value)) / F.sum("share") * scale).alias(value))
+    return out.select(*keys, "lat_idx", "lon_idx", value)
+
+
+def tile_product(pixels: DataFrame, size: int, step: float = 0.25, least_tiles: int = 200, allowed: tuple = (), keys: tuple[str, ...] = ("date",), largest: int = 100, bits: int = 0b11010111, scale: float = 0.01) -> DataFrame:
+    """Tiled pixels (keys, h, v, i, j, value, qc) to fractions on the world grid: quality mask, dates with enough tiles, average by footprint, scale."""
+    from .masks import quality_mask
+
+    good = pixels.withColumn("value", quality_mask(F.col("value"), F.col("qc"), largest, bits).cast("double"))
+    count = pixels.groupBy(*keys).agg(F.count_distinct("h", "v").alias("_tiles"))
+    enough = F.col("_tiles") >= least_tiles
+    kept = good.join(count.where(enough | F.col(keys[0]).isin(*allowed) if allowed else enough).drop("_tiles"), list(keys))
+    return footprint_average(kept, size, step, keys, scale)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import EARTH_KM, haversine_km
-from ..tables import materialize
+from ..tables import broadcast_up_to, materialize
 
 
 def variogram(points: DataFrame, pid: str, lat: str, lon: str, x: str, bins: int, max_lag: float, slices: int = 4) -> DataFrame:
@@ -89,27 +89,36 @@ def histogram(rows: DataFrame, value: str, bins: int = 70) -> DataFrame:
 def exact_percentiles(rows: DataFrame, keys: list[str], value: str, shares: list[float], accuracy: int = 10_000) -> DataFrame:
     """(keys, share, percentile): linear between the two values at share * (n - 1), as numpy gives it.
 
-    An approximate sketch brackets each wanted rank; values below the bracket are counted and only those in it (about 1 / accuracy
-    of a key's rows) are put in order, equal ones as one row. So no task holds a key's values.
+    An approximate sketch, whose ranks are off by n / accuracy at most, brackets the two wanted ranks; values below the bracket
+    are counted and only those in it are put in order, equal ones as one row. Keys of up to 2 * accuracy rows are bracketed by
+    their extremes. So no task orders more than some 2 * accuracy values of a key, and a rank outside its bracket is an error.
     """
-    spark = rows.sparkSession
     rows = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
     slack = 3 / accuracy
     edges = F.percentile_approx("_v", F.array(*[F.lit(min(1.0, max(0.0, s + e))) for s in shares for e in (-slack, slack)]), F.lit(accuracy))
     brackets = rows.groupBy(*keys).agg(edges.alias("_e"), F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_least"), F.max("_v").alias("_most"))
-    listed = F.array(*[F.struct(F.lit(s).alias("share"), (F.col("_least") if s <= slack else F.get("_e", F.lit(2 * i))).alias("_a"), (F.col("_most") if s >= 1 - slack else F.get("_e", F.lit(2 * i + 1))).alias("_b")) for i, s in enumerate(shares)])
+    small = F.col("_n") <= 2 * accuracy
+    low = lambda i, s: F.when(small | F.lit(s <= slack), F.col("_least")).otherwise(F.get("_e", F.lit(2 * i)))
+    high = lambda i, s: F.when(small | F.lit(s >= 1 - slack), F.col("_most")).otherwise(F.get("_e", F.lit(2 * i + 1)))
+    listed = F.array(*[F.struct(F.lit(s).alias("share"), low(i, s).alias("_a"), high(i, s).alias("_b")) for i, s in enumerate(shares)])
     brackets = materialize(brackets.select(*keys, "_n", F.inline(listed)), "brackets")
-    wide = F.broadcast(brackets)
-    each = rows.join(wide, keys) if keys else rows.crossJoin(wide)
+    side = broadcast_up_to(brackets, 100_000)
+    each = rows.join(side, keys) if keys else rows.crossJoin(F.broadcast(brackets))  # without keys: a row for each share
     below = each.where("_v < _a").groupBy(*keys, "share").agg(F.count(F.lit(1)).alias("_below"))
     inside = each.where("_v between _a and _b").groupBy(*keys, "share", "_v").agg(F.count(F.lit(1)).alias("_c"))
     by = Window.partitionBy(*keys, "share").orderBy("_v")
-    placed = inside.withColumn("_to", F.sum("_c").over(by)).join(below, [*keys, "share"], "left").join(wide, [*keys, "share"])
+    placed = inside.withColumn("_to", F.sum("_c").over(by)).join(below, [*keys, "share"], "left").join(side, [*keys, "share"])
     rank = F.col("share") * (F.col("_n") - 1)
     to = F.coalesce("_below", F.lit(0)) + F.col("_to")
-    low, high = F.min(F.when(to > F.floor(rank + 1e-9), F.col("_v"))), F.min(F.when(to > F.ceil(rank - 1e-9), F.col("_v")))
-    part = F.first(rank - F.floor(rank + 1e-9))
-    return placed.groupBy(*keys, "share").agg((low + F.greatest(part, F.lit(0.0)) * (high - low)).alias("percentile"))
+    first, last = F.floor(rank + 1e-9), F.ceil(rank - 1e-9)
+    found = placed.groupBy(*keys, "share").agg(
+        F.min(F.when(to > first, F.col("_v"))).alias("_low"),
+        F.min(F.when(to > last, F.col("_v"))).alias("_high"),
+        F.first(F.greatest(rank - first, F.lit(0.0))).alias("_part"),
+        F.first((F.coalesce("_below", F.lit(0)) <= first)).alias("_reached"),
+    )
+    whole = F.col("_reached") & F.col("_high").isNotNull()
+    return found.select(*keys, "share", F.when(whole, F.col("_low") + F.col("_part") * (F.col("_high") - F.col("_low"))).otherwise(F.raise_error(F.lit("a rank lies outside its bracket")).cast("double")).alias("percentile"))
 
 
 def percentile_limits(cubes: DataFrame, variable: str, value: str, low: float | None, high: float | None) -> DataFrame:
@@ -132,9 +141,12 @@ def area_weighted_mean(cube: DataFrame, keys: list[str], lat: str = "lat", value
     return cube.groupBy(*keys).agg((F.sum(w * F.col(value)) / F.sum(w)).alias(value))
 
 
+def fingerprint_columns(names: list[str]) -> list[Column]:
+    """Aggregates n, total and mix of a table with these columns: a content hash that does not depend on the order of rows or columns."""
+    h = F.xxhash64(*[F.struct(F.lit(n), F.col(f"`{n}`").isNull(), F.col(f"`{n}`")) for n in sorted(names)])
+    return [F.count(F.lit(1)).alias("n"), F.sum(h.cast("decimal(38,0)")).cast("string").alias("total"), F.bit_xor(h).alias("mix")]
+
+
 def fingerprint(rows: DataFrame) -> DataFrame:
     """(n, total, mix): a content hash that does not depend on the order of rows or columns."""
-    names = sorted(rows.columns)
-    h = F.xxhash64(*[F.struct(F.lit(n), F.col(n).isNull(), F.col(n)) for n in names])
-    return rows.select(h.alias("h")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("h").cast("decimal(38,0)")).cast("string").alias("total"), F.bit_xor("h").alias("mix"))
-
+    return rows.agg(*fingerprint_columns(rows.columns))

@@ -6,14 +6,17 @@ currency), masked where a cell has a multiple of three line items; the other inp
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import functions as fn
 from ..model import full_frame, month_key, month_start, synthetic_cube
-from ..operators import features, gapfill, masks, models, ordered, spatial, stats, temporal
+from ..operators import calendars, features, gapfill, masks, models, ordered, polygons, spatial, stats, temporal
+from ..sources import ascii as ascii_
+from ..tables import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -348,14 +351,21 @@ def minimum_fill(spark, d):
     return gapfill.minimum(frame(spark, d), ["lat_idx"]).select("lat_idx", "m", "filled")
 
 
-@query()
+@query(
+    f"""WITH {GRID}, x AS (SELECT *, avg(CASE WHEN value IS NULL THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY lat_idx, m % 12) AS missing, min(value) OVER (PARTITION BY lat_idx) AS least FROM frame),
+    p AS (SELECT lat_idx, m, CASE WHEN value IS NULL AND missing + 1e-5 >= 0.5 THEN least ELSE value END AS value FROM x),
+    {gapfill.season_sql("p", "lat_idx", "m").replace("SELECT lat_idx, m, coalesce(y, fit) AS filled FROM", "SELECT lat_idx, m, round(coalesce(y, fit), 2) AS filled FROM")}"""
+)
 def season_trend_fill(spark, d):
-    return gapfill.persistent_season_trend(frame(spark, d).drop("time"), ["lat_idx"], "m").select("lat_idx", "m", F.round("filled", 4).alias("filled"))
+    return gapfill.persistent_season_trend(frame(spark, d).drop("time"), ["lat_idx"], "m").select("lat_idx", "m", F.round("filled", 2).alias("filled"))
 
 
-@query()
+NEAREST = """near AS (SELECT h.lat_idx, h.m, v.value, row_number() OVER (PARTITION BY h.m, h.lat_idx ORDER BY (h.lat_idx - v.lat_idx) * (h.lat_idx - v.lat_idx) + (h.m - v.m) * (h.m - v.m), v.lat_idx, v.m) AS k
+      FROM frame h JOIN frame v ON h.value IS NULL AND v.value IS NOT NULL)"""
+
+
+@query(f"WITH {GRID}, {NEAREST} SELECT f.lat_idx, f.m, coalesce(f.value, near.value) AS filled FROM frame f LEFT JOIN near ON near.lat_idx = f.lat_idx AND near.m = f.m AND k = 1")
 def spatial_nn_fill(spark, d):
-    """All months; the SQL's join of all pairs would be too slow, so tests compare with brute force."""
     return gapfill.nearest_cell(frame(spark, d).select("lat_idx", "m", "value"), ["lat_idx", "m"]).select("lat_idx", "m", "filled")
 
 
@@ -543,10 +553,16 @@ def year_day_dates(spark, d):
     return read(spark, d, "events").select("event_id", fn.date_of_year_day((2000 + F.col("event_id") % 20).cast("int"), (F.col("event_id") % 365 + 1).cast("int")).alias("day"))
 
 
-@query("SELECT CAST(t AS INTEGER) AS t, CAST(i AS INTEGER) AS lat_idx, CAST(j AS INTEGER) AS lon_idx, CAST(-90 + (i + 0.5) * 45 AS DOUBLE) AS lat, CAST(-180 + (j + 0.5) * 45 AS DOUBLE) AS lon, CAST(t * 100 + i * 10 + j AS DOUBLE) AS value FROM (SELECT unnest(range(0, 3)) AS t) CROSS JOIN (SELECT unnest(range(0, 4)) AS i) CROSS JOIN (SELECT unnest(range(0, 8)) AS j)")
+@query(
+    """WITH sizes AS (SELECT (SELECT count(*) FROM region) AS a, (SELECT count(*) FROM nation) AS o, (SELECT count(DISTINCT c_mktsegment) FROM customer) AS t)
+    SELECT CAST(t AS INTEGER) AS t, CAST(i AS INTEGER) AS lat_idx, CAST(j AS INTEGER) AS lon_idx, round(-90 + (i + 0.5) * 180.0 / a, 9) AS lat, round(-180 + (j + 0.5) * 360.0 / o, 9) AS lon, CAST(t * 10000 + i * 100 + j AS DOUBLE) AS value
+    FROM (SELECT a, o, unnest(range(0, t)) AS t FROM sizes), (SELECT unnest(range(0, a)) AS i FROM sizes), (SELECT unnest(range(0, o)) AS j FROM sizes)"""
+)
 def synthetic_grid(spark, d):
-    cube = synthetic_cube(spark, 4, 8, 3, F.col("t") * 100 + F.col("lat_idx") * 10 + F.col("lon_idx"))
-    return cube.select((month_key(F.col("time")) - 1970 * 12).alias("t"), "lat_idx", "lon_idx", "lat", "lon", "value")
+    """As many latitudes as regions, longitudes as nations and months as market segments."""
+    segments = read(spark, d, "customer").select("c_mktsegment").distinct().count()
+    cube = synthetic_cube(spark, read(spark, d, "region").count(), read(spark, d, "nation").count(), segments, F.col("t") * 10000 + F.col("lat_idx") * 100 + F.col("lon_idx"))
+    return cube.select((month_key(F.col("time")) - 1970 * 12).alias("t"), "lat_idx", "lon_idx", F.round("lat", 9).alias("lat"), F.round("lon", 9).alias("lon"), "value")
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber > 3)")
@@ -698,19 +714,18 @@ def observed_masked(spark, d):
 
 
 @query(
-    f"""WITH {GRID}, g AS (SELECT lat_idx, m, value, lat_idx % 6 = 0 AS hidden FROM frame),
-    near AS (SELECT h.lat_idx, h.m, v.value, row_number() OVER (PARTITION BY h.m, h.lat_idx ORDER BY abs(h.lat_idx - v.lat_idx), v.lat_idx) AS k FROM g h JOIN g v ON h.m = v.m AND h.value IS NULL AND v.value IS NOT NULL),
-    one AS (SELECT g.lat_idx, g.m, coalesce(g.value, CASE WHEN NOT hidden THEN near.value END) AS value FROM g LEFT JOIN near ON near.m = g.m AND near.lat_idx = g.lat_idx AND k = 1)
-    SELECT 'A' AS dataset, 'price' AS variable, lat_idx, m, value FROM one UNION ALL SELECT 'B', 'burned area', lat_idx, m, CASE WHEN lat_idx % 6 <> 0 THEN CAST(lat_idx AS DOUBLE) END FROM g"""
+    f"""WITH {GRID}, {NEAREST}
+    SELECT 'A' AS dataset, 'price' AS variable, f.lat_idx, f.m, CASE WHEN f.lat_idx % 6 <> 0 THEN coalesce(f.value, near.value) END AS value FROM frame f LEFT JOIN near ON near.lat_idx = f.lat_idx AND near.m = f.m AND k = 1
+    UNION ALL SELECT 'B', 'burned area', lat_idx, m, CASE WHEN lat_idx % 6 <> 0 THEN CAST(lat_idx AS DOUBLE) END FROM frame"""
 )
 def filled_collection(spark, d):
-    """The reference variable is valid but where lat_idx is a multiple of 6, so these cells are not filled."""
+    """The reference variable is masked where lat_idx is a multiple of 6: these cells are hidden in all variables, others are filled over cells and months."""
     from ..operators.algebra import Dataset, Datasets
 
     cube = frame(spark, d).select("lat_idx", "m", "value")
     a = Dataset("A", cube.withColumn("variable", F.lit("price")), ("price",))
     b = Dataset("B", cube.select("lat_idx", "m", F.lit("burned area").alias("variable"), F.when(F.col("lat_idx") % 6 != 0, F.col("lat_idx").cast("double")).alias("value")), ("burned area",))
-    return Datasets([a, b]).fill(["lat_idx", "m"], ["lat_idx"]).cube().select("dataset", "variable", "lat_idx", "m", "value")
+    return Datasets([a, b]).fill(["lat_idx", "m"]).cube().select("dataset", "variable", "lat_idx", "m", "value")
 
 
 LAG_SQL = f"""cells AS (SELECT 'LAI' AS variable, lat_idx, m, value FROM grid UNION ALL SELECT 'BA', lat_idx, m, value * 2 FROM grid UNION ALL SELECT 'Max', lat_idx, m, value + 10 FROM grid UNION ALL SELECT 'Min', lat_idx, m, value FROM grid),
@@ -810,9 +825,118 @@ def landcover_product(spark, d):
     return out.select("cell", "year", F.round("woody", 6).alias("woody"), F.round("herb", 6).alias("herb"))
 
 
-# The spans of these were once narrower; the names of the whole ones stay.
-for _name in ("longest_run", "longest_run_chained", "dry_day_counts", "monthly_daily_hybrid", "spatial_nn_fill"):
-    QUERIES[f"{_name}_whole"] = QUERIES[_name]
-    if _name in ORACLES:
-        ORACLES[f"{_name}_whole"] = ORACLES[_name]
-QUERIES["scattered_prediction_values"], ORACLES["scattered_prediction_values"] = QUERIES["scattered_predictions"], ORACLES["scattered_predictions"]
+# ---------------------------------------------------------------- coastlines, trees, footprints, calendars, files
+@query(" UNION ALL ".join(f"SELECT l_suppkey, CAST({x} AS DOUBLE) AS share, round(quantile_cont(l_extendedprice, {x}), 4) AS v FROM lineitem GROUP BY l_suppkey" for x in (0.05, 0.5, 0.9)))
+def percentiles_by_supplier(spark, d):
+    """Percentiles of many small groups."""
+    found = stats.exact_percentiles(read(spark, d, "lineitem"), ["l_suppkey"], "l_extendedprice", [0.05, 0.5, 0.9])
+    return found.select("l_suppkey", "share", F.round("percentile", 4).alias("v"))
+
+
+RINGS = """vertices AS (SELECT o_custkey % 6 AS polygon, r AS ring, o_orderkey AS place, row_number() OVER w AS k, count(*) OVER (PARTITION BY o_custkey % 6, r) AS n, round((8 + o_totalprice % 20) / (1 + r), 6) AS radius
+      FROM orders CROSS JOIN (SELECT unnest([0, 1]) AS r) WHERE o_custkey % 6 < 4 WINDOW w AS (PARTITION BY o_custkey % 6, r ORDER BY o_orderkey)),
+    corners AS (SELECT polygon, ring, k, n, -150 + 80 * polygon + round(radius * cos(2 * pi() * k / n), 6) AS x, round(radius * sin(2 * pi() * k / n), 6) AS y FROM vertices),
+    edges AS (SELECT a.polygon, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM corners a JOIN corners b ON a.polygon = b.polygon AND a.ring = b.ring AND b.k = a.k % a.n + 1)"""
+
+
+@query(
+    f"""WITH {RINGS}, places AS (SELECT c_custkey, -40 + (c_custkey * 7 % 97) * 0.83 AS lat, -180 + (c_custkey * 31 % 359) * 1.003 AS lon FROM customer),
+    hits AS (SELECT c_custkey, polygon, count(*) AS n FROM places JOIN edges ON (y1 > lat) <> (y2 > lat) AND lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1 WHERE polygon <> 2 GROUP BY 1, 2)
+    SELECT c_custkey, c_custkey IN (SELECT c_custkey FROM hits WHERE n % 2 = 1) AS land FROM places"""
+)
+def polygon_edges(spark, d):
+    """Four ragged coastlines, each with a hole, made of the orders; the third is ignored. Points are the customers'."""
+    rows = read(spark, d, "orders").select((F.col("o_custkey") % 6).alias("polygon"), F.col("o_orderkey").alias("place"), (8 + F.col("o_totalprice") % 20).alias("radius"), F.explode(F.array(F.lit(0), F.lit(1))).alias("ring")).where("polygon < 4")
+    by = Window.partitionBy("polygon", "ring")
+    turn = 2 * math.pi * F.row_number().over(by.orderBy("place")) / F.count(F.lit(1)).over(by)
+    rows = rows.withColumns({"turn": turn, "radius": F.round(F.col("radius") / (1 + F.col("ring")), 6)})
+    vertices = rows.select("polygon", "ring", "place", (-150 + 80 * F.col("polygon") + F.round(F.col("radius") * F.cos("turn"), 6)).alias("lon"), F.round(F.col("radius") * F.sin("turn"), 6).alias("lat"))
+    k = F.col("c_custkey")
+    places = read(spark, d, "customer").select("c_custkey", (-40 + (k * 7 % 97) * 0.83).alias("lat"), (-180 + (k * 31 % 359) * 1.003).alias("lon"))
+    return polygons.inside(places, polygons.edges(vertices), ignore=[2], name="land").select("c_custkey", "land")
+
+
+LEAVES = "leaves AS (SELECT l_returnflag AS f, CASE WHEN l_quantity <= 25 THEN CASE WHEN l_discount <= 0.05 THEN 3 ELSE 4 END ELSE CASE WHEN l_quantity <= 40 THEN 5 ELSE 6 END END AS id, count(*) AS n, avg(l_extendedprice) AS p FROM lineitem GROUP BY 1, 2)"
+
+
+@query(
+    f"""WITH {LEAVES}, t AS (SELECT f, max(CASE WHEN id = 3 THEN p END) AS p3, max(CASE WHEN id = 4 THEN p END) AS p4, max(CASE WHEN id = 5 THEN p END) AS p5, max(CASE WHEN id = 6 THEN p END) AS p6, max(CASE WHEN id = 3 THEN n END) AS n3, max(CASE WHEN id = 4 THEN n END) AS n4, max(CASE WHEN id = 5 THEN n END) AS n5, max(CASE WHEN id = 6 THEN n END) AS n6 FROM leaves GROUP BY f)
+    SELECT 'quantity' AS feature, CAST(v AS DOUBLE) AS value, round(avg(CASE WHEN v <= 25 THEN (n3 * p3 + n4 * p4) / (n3 + n4) WHEN v <= 40 THEN p5 ELSE p6 END), 5) AS mean FROM t, (SELECT unnest([1, 25, 26, 40, 50]) AS v) GROUP BY v
+    UNION ALL SELECT 'discount', CAST(v AS DOUBLE), round(avg(((n3 + n4) * CASE WHEN v <= 0.05 THEN p3 ELSE p4 END + n5 * p5 + n6 * p6) / (n3 + n4 + n5 + n6)), 5) FROM t, (SELECT unnest([CAST(0.0 AS DOUBLE), 0.05, 0.06, 0.1]) AS v) GROUP BY v"""
+)
+def path_dependence(spark, d):
+    """Partial dependence of a forest whose trees (one for each return flag) split at given places, by walking them."""
+    leaf = F.when(F.col("l_quantity") <= 25, F.when(F.col("l_discount") <= 0.05, 3).otherwise(4)).otherwise(F.when(F.col("l_quantity") <= 40, 5).otherwise(6))
+    leaves = read(spark, d, "lineitem").groupBy("l_returnflag", leaf.alias("id")).agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("l_extendedprice").alias("prediction"))
+    inner = leaves.withColumn("id", F.explode(F.array(F.lit(0), F.floor((F.col("id") - 1) / 2).cast("int")))).groupBy("l_returnflag", "id").agg(F.sum("n").alias("n"), F.lit(0.0).alias("prediction"))
+    every = inner.unionByName(leaves.select("l_returnflag", "id", "n", "prediction"))
+    splits = F.col("id") < 3
+    nodes = every.select(
+        F.ascii("l_returnflag").alias("tree"), "id", F.when(splits, F.col("id") * 2 + 1).otherwise(-1).cast("int").alias("left"), F.when(splits, F.col("id") * 2 + 2).otherwise(-1).cast("int").alias("right"),
+        F.when(splits, F.when(F.col("id") == 1, 1).otherwise(0)).cast("int").alias("feature"), F.when(splits, F.element_at(F.array(F.lit(25.0), F.lit(0.05), F.lit(40.0)), F.least(F.col("id"), F.lit(2)) + 1)).alias("threshold"), "n", "prediction",
+    )
+    parts = [models.path_dependence(nodes, i, at).select(F.lit(name).alias("feature"), "value", F.round("mean", 5).alias("mean")) for i, (name, at) in enumerate({"quantity": [1, 25, 26, 40, 50], "discount": [0.0, 0.05, 0.06, 0.1]}.items())]
+    return parts[0].unionByName(parts[1])
+
+
+@query(
+    """WITH px AS (SELECT c_nationkey % 3 AS date, c_custkey % 36 AS h, (c_custkey // 36) % 18 AS v, c_custkey % 120 AS val, (c_custkey * 7) % 2 AS i, (c_custkey * 3) % 2 AS j, c_custkey % 256 AS qc FROM customer),
+    enough AS (SELECT date FROM px GROUP BY date HAVING count(DISTINCT h * 100 + v) >= 10),
+    good AS (SELECT date, CAST(val AS DOUBLE) AS val, 90.0 - (v * 2 + i) * 5.0 - 5 AS s, -180.0 + (h * 2 + j) * 5.0 AS w FROM px WHERE val <= 100 AND (qc & 215) = 0 AND date IN (SELECT date FROM enough)),
+    strips AS (SELECT date, val, w, lat_idx, cos(radians(lat_idx * 2.5 - 90 + 1.25)) AS c FROM (SELECT *, unnest([CAST((s + 90) / 2.5 AS INTEGER), CAST((s + 90) / 2.5 AS INTEGER) + 1]) AS lat_idx FROM good)),
+    spans AS (SELECT date, val, lat_idx, c, greatest(-180.0, w / c) AS a, least(180.0, (w + 5) / c) AS b FROM strips),
+    cells AS (SELECT date, val, lat_idx, lon_idx, (least(b, (lon_idx + 1) * 2.5 - 180) - greatest(a, lon_idx * 2.5 - 180)) * c / 5 * 0.5 AS share FROM spans, (SELECT unnest(range(144)) AS lon_idx) WHERE b > a)
+    SELECT date, CAST(lat_idx AS INTEGER) AS lat_idx, CAST(lon_idx AS INTEGER) AS lon_idx, round(sum(share * val) / sum(share) * 0.01, 6) AS value FROM cells WHERE share > 1e-9 GROUP BY 1, 2, 3"""
+)
+def tile_fractions(spark, d):
+    """Tiles of 2 x 2 pixels through quality mask, tile count and footprints to cells of 2.5 degrees."""
+    k = F.col("c_custkey")
+    px = read(spark, d, "customer").select((F.col("c_nationkey") % 3).alias("date"), (k % 36).alias("h"), (F.floor(k / 36) % 18).alias("v"), ((k * 7) % 2).alias("i"), ((k * 3) % 2).alias("j"), (k % 120).alias("value"), (k % 256).alias("qc"))
+    out = spatial.tile_product(px, 2, 2.5, least_tiles=10)
+    return out.select("date", "lat_idx", "lon_idx", F.round("value", 6).alias("value"))
+
+
+@query(
+    """WITH x AS (SELECT o_orderkey AS k, o_custkey % 5000 AS days, (o_orderkey % 50000) * 6 + 3 AS hours FROM orders),
+    c360 AS (SELECT k, (2001 - 1970) * 360 + days AS n FROM x), c365 AS (SELECT k, (2000 - 1970) * 365 + 59 + (hours + 6) / 24.0 AS n FROM x), std AS (SELECT k, epoch(make_timestamp(1850, 1, 1, 0, 0, 0)) / 86400 + hours / 24.0 AS n FROM x),
+    d365 AS (SELECT k, n, CAST(floor(n) AS BIGINT) AS f FROM c365), m365 AS (SELECT *, f % 365 AS r, len(list_filter([0, 31, 59, 90, 120, 151, 181, 212, 243, 273, 304, 334], lambda b: b <= f % 365)) AS mo FROM d365)
+    SELECT '360_day' AS calendar, k, CAST(n AS DOUBLE) AS days, CAST(1970 + n // 360 AS INTEGER) AS year, CAST(n % 360 // 30 + 1 AS INTEGER) AS month, CAST(n % 30 + 1 AS INTEGER) AS day, 0 AS second, CAST(n // 30 * 30 + 15 AS DOUBLE) AS middle FROM c360
+    UNION ALL SELECT 'noleap', k, round(n, 6), CAST(1970 + f // 365 AS INTEGER), CAST(mo AS INTEGER), CAST(r - [0, 31, 59, 90, 120, 151, 181, 212, 243, 273, 304, 334][mo] + 1 AS INTEGER), CAST(round((n - f) * 86400) AS INTEGER), f - r + [0, 31, 59, 90, 120, 151, 181, 212, 243, 273, 304, 334][mo] + [31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31][mo] / 2.0 FROM m365
+    UNION ALL SELECT 'standard', k, round(n, 6), CAST(year(t) AS INTEGER), CAST(month(t) AS INTEGER), CAST(day(t) AS INTEGER), CAST(epoch(t) - epoch(date_trunc('day', t)) AS INTEGER), epoch(date_trunc('month', t)) / 86400 + date_diff('day', date_trunc('month', t), date_trunc('month', t) + INTERVAL 1 MONTH) / 2.0 FROM (SELECT k, n, make_timestamp(1850, 1, 1, 0, 0, 0) + to_hours(CAST(hours AS INTEGER)) AS t FROM std JOIN x USING (k))"""
+)
+def calendar_times(spark, d):
+    """Times in three calendars and units, brought to days since 1970, with their dates and the middles of their months."""
+    rows = read(spark, d, "orders").select(F.col("o_orderkey").alias("k"), (F.col("o_custkey") % 5000).alias("days"), ((F.col("o_orderkey") % 50000) * 6 + 3).alias("hours"))
+    out = None
+    for calendar, units, number in (("360_day", "days since 2001-1-1", "days"), ("noleap", "hours since 2000-03-01 06:00", "hours"), ("standard", "hours since 1850-01-01 00:00:00", "hours")):
+        cube = calendars.homogenise_time({calendar: (rows.select("k", F.col(number).alias("time")), units, calendar)})[calendar]
+        cube = calendars.with_dates(cube, "days since 1970-01-01", calendar).withColumnRenamed("time", "days")
+        part = calendars.mid_months(cube, calendar, name="middle").select(F.lit(calendar).alias("calendar"), "k", F.round("days", 6).alias("days"), "year", "month", "day", "second", "middle")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(
+    """WITH cells AS (SELECT l_orderkey % 12 AS lat_idx, l_partkey % 24 AS lon_idx, CASE WHEN count(*) % 5 <> 0 THEN round(avg(l_quantity), 4) END AS value FROM lineitem GROUP BY 1, 2),
+    w AS (SELECT lat_idx // 2 AS lat, lon_idx // 3 AS lon, value, sin(radians(lat_idx * 15 - 75)) - sin(radians(lat_idx * 15 - 90)) AS w FROM cells)
+    SELECT CAST(lat AS INTEGER) AS lat_idx, CAST(lon AS INTEGER) AS lon_idx, round(sum(w * value) / sum(CASE WHEN value IS NOT NULL THEN w END), 6) AS value FROM w GROUP BY 1, 2"""
+)
+def ascii_regridded(spark, d):
+    """A grid made of the line items, written as an ESRI ASCII file, read in splits and averaged by area to cells of 30 x 45 degrees."""
+    value = F.when(F.count(F.lit(1)) % 5 != 0, F.round(F.avg("l_quantity"), 4))
+    cells = read(spark, d, "lineitem").groupBy((F.col("l_orderkey") % 12).cast("int").alias("lat_idx"), (F.col("l_partkey") % 24).cast("int").alias("lon_idx")).agg(value.alias("value"))
+    path = f"{shared_dir(spark)}/grid"
+    ascii_.write(cells, path, -180.0, -90.0, 15.0)
+    out = ascii_.regridded(spark, path, [-75.0 + 30 * i for i in range(6)], [-157.5 + 45 * i for i in range(8)])
+    return out.select("lat_idx", "lon_idx", F.round("value", 6).alias("value"))
+
+
+@query()
+def lagged_search(spark, d):
+    """Best parameters of forests over unlagged features, and over these and lagged ones."""
+    by = Window.partitionBy("lat_idx").orderBy("m")
+    rows = frame(spark, d).select("lat_idx", "m", "value", (F.col("m") % 12).alias("month"), *[F.lag("value", n).over(by).alias(f"value_lag{n}") for n in (1, 3)])
+    plain = ["lat_idx", "month"]
+    scores, best = models.feature_set_search(rows.withColumn("id", F.col("lat_idx") * 100_000 + F.col("m")), {"no shift": plain, "shift": [*plain, "value_lag1", "value_lag3"]}, "value", models.parameter_sets({"numTrees": [4], "maxDepth": [2, 4]}), f"{shared_dir(spark)}/scores", k=2, order="id")
+    wanted = spark.createDataFrame([(name, float(b["score"])) for name, b in best.items()], "features string, score double")
+    return scores.groupBy("features", "params").agg(F.count(F.lit(1)).alias("splits"), F.avg("test").alias("mean")).join(F.broadcast(wanted), "features").select("features", "params", "splits", (F.abs(F.col("mean") - F.col("score")) < 1e-12).alias("best"))

@@ -352,30 +352,45 @@ def test_small_helpers(spark):
     from cairnfield import functions as fn
     from cairnfield.sources import CATALOGUE, loaders
 
-    assert fn.map_names(["a", "b"], {"a": "x"}) == ["x", "b"] and fn.float_format(0) == "0.00" and fn.float_format(1.234) == "1.23" and "e" in fn.float_format(1e-5)
+    assert fn.map_names(["a", "b"], {"a": "x"}) == ["x", "b"] and [fn.float_format(x) for x in (123.4, 10, 9.96, 1.5, 1, 0.25, 0.012, 0)] == ["123", "10", "10.0", "1.5", "1.0", "0.25", "0.012", "0"] and fn.float_format(123.4, 1) == "123.4"
     tree = fn.nested_update({"a": {"b": 1, "c": 2}}, {"a": {"b": 3}, "d": 4})
     assert tree == {"a": {"b": 3, "c": 2}, "d": 4} and list(fn.nested_items(tree)) == [(("a", "b"), 3), (("a", "c"), 2), (("d",), 4)]
     assert set(loaders()) == set(CATALOGUE) and "CRU" not in loaders(ignore=("CRU",)) and set(loaders(match="ERA5.*")) == {n for n in CATALOGUE if n.startswith("ERA5")}
     data = Dataset("D", spark.createDataFrame([(0, 0), (0, 1), (1, 1)], "lat_idx int, lon_idx int"), ("v",))
-    assert data.grid == (2, 2) and Datasets([data]).get_index("D") == 0 and masks.has_columns(data.cube, "lat_idx") and not masks.has_columns(data.cube, "time")
+    even = Dataset("E", spark.createDataFrame([(x, 1.0) for x in (10.0, 7.5, 5.0, 5.0)] + [(None, 2.5)], "lat double, lon double"), ("v",))
+    assert even.grid() == 2.5 and even.grid("lon") == 1.5 and even.grid("depth") == "N/A"
+    assert Dataset("F", even.cube.union(spark.createDataFrame([(0.0, 9.0)], "lat double, lon double")), ("v",)).grid() == "N/A"
+    assert Datasets([data]).get_index("D") == 0 and masks.has_columns(data.cube, "lat_idx") and not masks.has_columns(data.cube, "time")
     with pytest.raises(ValueError):
         temporal.yearly_files(spark.createDataFrame([("a", "x"), ("b", "y")], "file string, variable string"), ["x"])
 
 
 def test_hash_memo(spark, tmp_path):
-    from cairnfield.cache import HashMismatchError, Memory, version
+    """One evaluation a call, counted by an accumulator in the source's task."""
+    from cairnfield.cache import HashMismatchError, Memory, NotCachedError, version
 
-    runs = []
+    read, change = spark.sparkContext.accumulator(0), [0]
 
     @version(1)
     def made(n):
-        runs.append(n)
-        return spark.range(n + (1 if len(runs) > 2 else 0)).selectExpr("id", "id * 2 as twice")
+        def rows(batches):
+            for batch in batches:
+                read.add(batch.num_rows)
+                yield batch
+
+        return spark.range(n).repartition(2).mapInArrow(rows, "id long").selectExpr("id", f"id * 2 + {change[0]} as twice")
 
     memo = Memory(spark, f"file://{tmp_path}/memo").cache_hash()(made)
-    assert memo(3).count() == 3
+    with pytest.raises(NotCachedError):
+        memo.stored(30)
+    assert memo(30).count() == 30 and read.value == 30
+    with memo.checked(30) as out:
+        out.write.parquet(f"file://{tmp_path}/used")
+    assert read.value == 60 and spark.read.parquet(f"file://{tmp_path}/used").count() == 30 and memo.stored(n=30) == memo.path(30)
+    change[0] = 1
     with pytest.raises(HashMismatchError):
-        memo(3)
+        memo(30)
+    assert read.value == 90
 
 
 def test_data_processing_switches(spark):
@@ -386,3 +401,227 @@ def test_data_processing_switches(spark):
     out = features.processed(cubes, keys, "t", ["f"], lat_limits=(-20, 40), fire_mask=True, land=land)
     assert {(r["lat_idx"], r["lon_idx"]) for r in out["rows"].collect()} == {(1, 1), (1, 2), (2, 1), (2, 2), (3, 1)}
     assert out["master_mask"].where("mask").count() == 7 and out["filled"].count() == len(rows)
+
+
+@pytest.mark.parametrize("share", [0.0, 0.05, 0.5, 0.9, 1.0])
+def test_percentiles_of_groups_of_every_size(spark, share):
+    rng = np.random.default_rng(int(share * 100))
+    sizes = [*range(1, 60), *range(60, 2001, 97), 777, 1530, 2000]
+    groups = {n: rng.integers(0, 50, n) / 7 if n % 2 else rng.normal(size=n) for n in sizes}
+    rows = spark.createDataFrame([(n, float(x)) for n, v in groups.items() for x in v], "k int, v double")
+    for accuracy in (10_000, 100):
+        got = {r["k"]: r["percentile"] for r in stats.exact_percentiles(rows, ["k"], "v", [share], accuracy).collect()}
+        assert got.keys() == groups.keys()
+        assert all(abs(got[n] - np.quantile(v, share)) < 1e-9 for n, v in groups.items())
+    ten = spark.createDataFrame([(float(i),) for i in range(10)], "v double")
+    assert models.pdp_grid(ten, "v", 3, 0.0, 1.0) == [0.0, 4.5, 9.0]
+    assert stats.exact_percentiles(ten.limit(0), [], "v", [share]).collect() == []
+
+
+def test_weights_of_long_axes():
+    import time
+
+    began = time.monotonic()
+    source = [-180 + (i + 0.5) * 360 / 100_000 for i in range(100_000)]
+    target = [-180 + (i + 0.5) * 0.25 for i in range(1440)]
+    found = spatial.conservative_weights(source, target, False)
+    near, line = spatial.nearest_weights(source, target), spatial.linear_weights(source, target, 360.0)
+    assert time.monotonic() - began < 1 and len(near) == 1440 and len(line) <= 2880
+    assert abs(sum(w for _, _, w in found) - 360) < 1e-6 and len(found) >= 100_000
+
+
+def test_weights_against_plain_loops():
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        n, m = rng.integers(2, 12, 2)
+        s, t = np.sort(rng.uniform(-50, 50, 2)), np.sort(rng.uniform(-60, 60, 2))
+        source, target = np.linspace(*s, n), np.linspace(*t, m)
+        if rng.random() < 0.5:
+            source, target = np.round(source), np.round(target)
+            if len(set(source)) < n or len(set(target)) < m:
+                continue
+        down = rng.random() < 0.4
+        src, tgt = (source[::-1] if down else source).tolist(), target.tolist()
+        want = [(int(min(range(n), key=lambda i, x=x: (abs(src[i] - x), i))), j, 1.0) for j, x in enumerate(tgt)]
+        assert spatial.nearest_weights(src, tgt) == want
+        sb, tb = [tuple(sorted(b)) for b in spatial.bounds(src)], spatial.bounds(tgt)
+        hits = [[i for i, b in enumerate(sb) if b[0] < c[1] - 1e-9 and b[1] > c[0] + 1e-9] for c in tb]
+        if any(hits):
+            assert spatial.overlaps(sb, tb) == hits
+
+
+def test_polygon_edges(spark):
+    from cairnfield.operators import polygons
+
+    square = [(0, 0), (10, 0), (10, 10), (0, 10)]
+    hole = [(3, 3), (3, 6), (6, 6), (6, 3)]
+    far = [(50, 0), (60, 0), (60, 10), (50, 10)]
+    rows = [(0, 0, i, float(x), float(y)) for i, (x, y) in enumerate(square)] + [(0, 1, i, float(x), float(y)) for i, (x, y) in enumerate(hole)] + [(1, 0, i, float(x), float(y)) for i, (x, y) in enumerate(far)] + [(2, 0, 0, None, 1.0)]
+    table = polygons.edges(spark.createDataFrame(rows, "polygon int, ring int, place int, lon double, lat double"))
+    points = spark.createDataFrame([(1.0, 1.0), (4.5, 4.5), (55.0, 5.0), (-1.0, 5.0), (None, 5.0), (5.0, None), (1.0, 1.0)], "lon double, lat double")
+    got = sorted(map(tuple, polygons.inside(points, table).collect()), key=repr)
+    assert got == sorted([(1.0, 1.0, True), (4.5, 4.5, False), (55.0, 5.0, True), (-1.0, 5.0, False), (None, 5.0, False), (5.0, None, False), (1.0, 1.0, True)], key=repr)
+    assert polygons.inside(points, table, ignore=[1]).where("inside").count() == 2
+    assert polygons.inside(points.limit(0), table).count() == 0 and polygons.inside(points, table.limit(0)).where("inside").count() == 0
+    land = polygons.grid_mask(spark, table, 72)
+    assert land.count() == 72 * 36 and {(r["lon"], r["lat"]) for r in land.where("land").collect()} == {(x + 2.5, y + 2.5) for x in (0, 5, 50, 55) for y in (0, 5)}
+    with pytest.raises(ValueError):
+        polygons.grid_mask(spark, table, 7)
+
+
+def test_polygons_of_many_edges(spark):
+    """10^5 edges around a disc: the mask is the disc's, to the width of an edge."""
+    from pyspark.sql import functions as F
+
+    from cairnfield.operators import polygons
+
+    n = 100_000
+    ring = spark.range(n).select(F.lit(0).alias("polygon"), F.lit(0).alias("ring"), F.col("id").alias("place"), (60 * F.cos(F.col("id") * 2 * np.pi / n)).alias("lon"), (60 * F.sin(F.col("id") * 2 * np.pi / n)).alias("lat"))
+    land = polygons.grid_mask(spark, polygons.edges(ring), 180)
+    assert land.where(F.col("land") != (F.col("lat") * F.col("lat") + F.col("lon") * F.col("lon") < 3600)).count() == 0
+
+
+def test_season_fill_with_few_samples(spark):
+    """Cells whose samples leave terms open get the least norm, others the least squares; null cells are cells."""
+    rng = np.random.default_rng(1)
+    months = np.arange(23990, 24050)
+    rows, want = [], {}
+    for cell, share in ((0, 0.9), (1, 0.5), (2, 0.1), (None, 0.8), (3, 0.03)):
+        ok = rng.random(len(months)) < share
+        ok[0] = True
+        y = rng.normal(size=len(months)) * 100
+        rows += [(cell, int(t), float(v) if o else None) for t, v, o in zip(months, y, ok, strict=True)]
+        x = gapfill.season_design(months, 4)
+        beta = np.linalg.lstsq(x[ok], y[ok], rcond=None)[0]
+        want |= {(cell, int(t)): (v if o else p) for t, v, o, p in zip(months, y, ok, x @ beta, strict=True)}
+    got = {(r["cell"], r["t"]): r["filled"] for r in gapfill.season_trend(spark.createDataFrame(rows, "cell int, t int, value double"), ["cell"], "t", 4).collect()}
+    assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 1e-6
+
+
+def test_partial_dependence_by_paths(spark):
+    rng = np.random.default_rng(4)
+    rows = spark.createDataFrame([(float(a), float(b), float(np.sin(3 * a) + b)) for a, b in rng.random((300, 2))], "a double, b double, y double")
+    model = models.forest(["a", "b"], "y", numTrees=4, maxDepth=5).fit(rows)
+    nodes = models.forest_nodes(model, spark)
+    grid = [0.0, 0.1, 0.33, 0.5, 0.9, 1.0]
+
+    def walk(tree, i, v, feature):
+        r = tree[i]
+        if r["left"] < 0:
+            return r["prediction"]
+        if r["feature"] == feature:
+            return walk(tree, r["left"] if v <= r["threshold"] else r["right"], v, feature)
+        a, b = tree[r["left"]]["n"], tree[r["right"]]["n"]
+        return (a * walk(tree, r["left"], v, feature) + b * walk(tree, r["right"], v, feature)) / (a + b)
+
+    trees = {}
+    for r in nodes.collect():
+        trees.setdefault(r["tree"], {})[r["id"]] = r
+    assert len(trees) == 4
+    for feature in (0, 1):
+        got = {r["value"]: r["mean"] for r in models.path_dependence(nodes, feature, grid).collect()}
+        assert all(abs(got[v] - np.mean([walk(t, 0, v, feature) for t in trees.values()])) < 1e-9 for v in grid)
+    found = {r["value"]: r for r in models.partial_dependence(rows, model, "a", grid).collect()}
+    lines = models.sampled_lines(rows, model, "a", grid, 1.0)
+    for v in grid:
+        each = [r["prediction"] for r in lines.where(lines["value"] == v).collect()]
+        assert len(each) == 300 and abs(np.mean(each) - found[v]["mean"]) < 1e-9 and min(each) == found[v]["low"] and max(each) == found[v]["high"]
+    part = models.partial_dependence(rows, model, "a", grid, coverage=0.2).collect()
+    assert len(part) == len(grid) and models.sampled_lines(rows, model, "a", [0.5], 0.2).count() < 150
+    with pytest.raises(ValueError):
+        models.partial_dependence(rows, model, "a", grid, coverage=0)
+
+
+def test_search_over_two_sets_of_features(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    x = rng.random((200, 3))
+    rows = spark.createDataFrame([(i, float(a), float(b), float(c) if i % 20 else None, float(a + 4 * c)) for i, (a, b, c) in enumerate(x)], "id int, a double, b double, c double, y double")
+    sets, store = models.parameter_sets({"numTrees": [3], "maxDepth": [1, 4]}), f"file://{tmp_path}/scores"
+    which = {"plain": ["a", "b"], "lagged": ["a", "b", "c"]}
+    scores, best = models.feature_set_search(rows, which, "y", sets, store, 2, "id", seconds=-1)
+    assert scores.count() == 0 and best == {}
+    scores, best = models.feature_set_search(rows, which, "y", sets, store, 2, "id")
+    assert scores.count() == 8 and best["lagged"]["score"] > best["plain"]["score"] and best["lagged"]["importances"][0][0] == "c" and best["lagged"]["r2_test"] > 0.5
+    again, best_ = models.feature_set_search(rows, which, "y", sets, store, 2, "id")
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, scores.collect())) and best_["plain"]["params"] == best["plain"]["params"]
+    assert spark.read.parquet(store).count() == 8
+
+
+def test_calendars(spark):
+    from cairnfield.operators import calendars
+
+    hours = [spark.createDataFrame([(float(24 * d),) for d in days], "time double") for days in ([0, 31, 366], [0, 30, 365])]
+    cubes = {"a": (hours[0], "hours since 2000-01-01", "standard"), "b": (hours[1], "hours since 2001-01-01", "gregorian")}
+    out = {n: sorted(r["time"] for r in c.collect()) for n, c in calendars.homogenise_time(cubes).items()}
+    assert out == {"a": [10957.0, 10988.0, 11323.0], "b": [11323.0, 11353.0, 11688.0]}
+    with pytest.raises(calendars.CalendarError):
+        calendars.homogenise_time(cubes | {"c": (hours[0], "days since 2000-01-01", "360_day")})
+    with pytest.raises(calendars.CalendarError):
+        calendars.homogenise_time({"a": (hours[0], None, "standard")})
+    for text in ("months since 2014-1-1", "days after 2000-01-01"):
+        with pytest.raises(calendars.CalendarError):
+            calendars.parse_units(text)
+    year = spark.createDataFrame([(2014, m) for m in range(1, 13)], "year int, month int")
+    middle = {c: [r["time"] for r in calendars.mid_months(year, c, to="days since 2014-01-01").orderBy("month").collect()] for c in ("gregorian", "noleap", "360_day")}
+    assert middle["gregorian"] == middle["noleap"] == [15.5, 45.0, 74.5, 105.0, 135.5, 166.0, 196.5, 227.5, 258.0, 288.5, 319.0, 349.5] and middle["360_day"] == [15.0 + 30 * i for i in range(12)]
+    dates = calendars.with_dates(spark.createDataFrame([(59.0,), (59.25,), (None,), (-1.0,)], "time double"), "days since 2000-01-01", "360_day").collect()
+    assert [tuple(r)[1:] for r in dates] == [(2000, 2, 30, 0), (2000, 2, 30, 21600), (None, None, None, None), (1999, 12, 30, 0)]
+
+
+def test_ascii_grids(spark, tmp_path):
+    from cairnfield.sources import ascii as ascii_
+
+    (tmp_path / "a.asc").write_text("NCOLS 3\nNROWS 2\nXLLCENTER 0.5\nYLLCORNER 10\nCELLSIZE 1\nNODATA_value -1\n 1 2 3 \n-1\t5 6\n")
+    got = sorted(tuple(r)[1:] for r in ascii_.grids(spark, f"file://{tmp_path}/a.asc").collect())
+    assert got == [(0, 0, 10.5, 0.5, None), (0, 1, 10.5, 1.5, 5.0), (0, 2, 10.5, 2.5, 6.0), (1, 0, 11.5, 0.5, 1.0), (1, 1, 11.5, 1.5, 2.0), (1, 2, 11.5, 2.5, 3.0)]
+    part = ascii_.grids(spark, f"file://{tmp_path}/a.asc", lats=(11, 12), lons=(1, 2)).collect()
+    assert [tuple(r)[1:] for r in part] == [(1, 1, 11.5, 1.5, 2.0)]
+    (tmp_path / "b.asc").write_text("NCOLS 3\nNROWS 1\n1 2 3\n")
+    with pytest.raises(Exception, match="header"):
+        ascii_.grids(spark, f"file://{tmp_path}/b.asc").collect()
+
+
+def test_ascii_grids_in_splits(spark, tmp_path):
+    """A file of many blocks: each line finds its place."""
+    from cairnfield.sources import ascii as ascii_
+
+    rows = 3000
+    (tmp_path / "big.asc").write_text("ncols 20\nnrows 3000\nxllcorner -180\nyllcorner -90\ncellsize 0.05\nNODATA_value -9999\n" + "".join(" ".join(str(i * 20 + j) for j in range(20)) + "\n" for i in range(rows)))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        cells = ascii_.grids(spark, f"file://{tmp_path}/big.asc")
+        assert cells.rdd.getNumPartitions() > 10
+        assert cells.where("value != (2999 - lat_idx) * 20 + lon_idx").count() == 0 and cells.count() == rows * 20
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_footprints(spark):
+    rows = [(h, v, i, j, 7.0) for h, v in ((18, 9), (18, 0), (3, 4), (0, 9), (35, 17), (20, 2)) for i in range(3) for j in range(3)]
+    px = spark.createDataFrame(rows, "h int, v int, i int, j int, value double")
+    shares = spatial.footprint_shares(px, 3, 0.7)
+    total = {(r["h"], r["v"], r["i"], r["j"]): r["s"] for r in shares.groupBy("h", "v", "i", "j").agg({"share": "sum"}).withColumnRenamed("sum(share)", "s").collect()}
+    inner = [k for k in total if k[:2] in ((18, 9), (20, 2))]
+    assert len(inner) == 18 and all(abs(total[k] - 1) < 1e-6 for k in inner) and all(s < 1 + 1e-9 for s in total.values())
+    mean = spatial.footprint_average(px.withColumn("date", px["h"] * 0), 3, 0.7, scale=0.01).collect()
+    assert mean and all(abs(r["value"] - 0.07) < 1e-12 for r in mean)
+
+
+def test_collection_fill(spark):
+    from cairnfield.operators.algebra import Dataset, Datasets
+
+    rows = [("t", m, i, None if (m, i) in ((0, 0), (1, 1)) else float(10 * m + i)) for m in range(3) for i in range(3)]
+    ba = [("burned area", m, i, None if (m, i) in ((0, 0), (2, 2)) else 1.0) for m in range(3) for i in range(3)]
+    make = lambda name, r: Dataset(name, spark.createDataFrame(r, "variable string, m int, lat_idx int, value double"), (r[0][0],))
+    both, keys = Datasets([make("A", rows), make("B", ba)]), ["m", "lat_idx"]
+    got = {(r["variable"], r["m"], r["lat_idx"]): r["value"] for r in both.fill(keys).cube().collect()}
+    want = {("t", m, i): float(10 * m + i) for m in range(3) for i in range(3)} | {("t", 0, 0): None, ("t", 2, 2): None, ("t", 1, 1): 1.0} | {r[:3]: r[3] for r in ba}
+    assert got == want
+    hidden = spark.createDataFrame([(0, True)], "lat_idx int, mask boolean")
+    none = {(r["m"], r["lat_idx"]): r["value"] for r in both.fill(keys, hidden, reference=None)["A"].cube.collect()}
+    assert {k for k, v in none.items() if v is None} == {(m, 0) for m in range(3)} and none[1, 1] == 1.0
+    with pytest.raises(ValueError):
+        both.fill(keys, reference="x")
