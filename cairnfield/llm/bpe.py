@@ -202,10 +202,17 @@ class Encoder:
     def _learn(self, chunk: str, plain: bool) -> tuple[int, ...]:
         """The ids of a chunk without white space; plain chunks are split here, others by the library."""
         if not plain:
-            words = [word for word, _ in self.splitter.pre_tokenize_str(chunk)]
-        else:
-            words = [w if w.isascii() and w.isalnum() else w.encode().decode("latin-1").translate(BYTES) for w in self.word.findall(chunk)]
-        return self.automaton.encode(words[0]) if len(words) == 1 else tuple(t for w in words for t in self.automaton.encode(w))
+            return tuple(t for word, _ in self.splitter.pre_tokenize_str(chunk) for t in self.automaton.encode(word))
+        out, words = (), self.word.findall(chunk)
+        for w in words:
+            ids = self.known.get(w) if len(words) > 1 else None
+            if ids is None:
+                ids = self.automaton.encode(w if w.isascii() and w.isalnum() else w.encode().decode("latin-1").translate(BYTES))
+                if len(words) > 1:
+                    self.known[w] = ids
+                    self.weight += len(w)
+            out += ids
+        return out
 
     def _plain(self, text: str) -> list[int]:
         """The ids of a text without special tokens."""
