@@ -190,3 +190,15 @@ def nested_update(tree: dict, other: dict) -> dict:
     for k, v in other.items():
         out[k] = nested_update(out[k], v) if isinstance(v, dict) and isinstance(out.get(k), dict) else v
     return out
+
+
+def pack_input(var, elements: int = 2, fill=0, single=str) -> tuple:
+    """A tuple of ``elements`` items: those given (one, or an iterable), and as many more as are needed, each the item at a place named by ``fill`` or None."""
+    items = [var] if isinstance(var, single) or not hasattr(var, "__iter__") else list(var)
+    need = elements - len(items)
+    if need < 0:
+        raise ValueError(f"{len(items)} items are more than {elements}")
+    sources = list(fill) if hasattr(fill, "__iter__") else [fill] * need
+    if len(sources) < need:
+        raise ValueError(f"{need} items are needed, {len(sources)} sources given")
+    return (*items, *(None if i is None else items[i] for i in sources[:need]))

@@ -85,7 +85,7 @@ def local_extrema(rows: DataFrame, keys: list[str], order: str, value: str = "va
 
 
 def significant_peaks(rows: DataFrame, keys: list[str], order: str, value: str = "value", difference: float = 0.5, spread: float = 0.0, strict: bool = False) -> DataFrame:
-    """(keys, order, value, height) of the peaks: positive maxima and negative minima.
+    """(keys, order, value, height, rank) of the peaks: positive maxima and negative minima; rank 1 is the largest in size, of equal ones the first.
 
     A peak's height is the largest over both sides of min(|peak|, |peak - nearest extremum of the other
     kind|), or |peak| without one, relative to the tallest; it must reach ``difference``. Keys whose range
@@ -105,7 +105,7 @@ def significant_peaks(rows: DataFrame, keys: list[str], order: str, value: str =
     peaks = peaks.withColumn("height", F.col("_height") / F.max("_height").over(whole)).where(F.col("height") >= difference)
     if strict:
         peaks = peaks.withColumn("_n", F.count(F.lit(1)).over(whole)).where("_n = 1")
-    return peaks.select(*keys, order, value, "height")
+    return peaks.select(*keys, order, value, "height", F.row_number().over(whole.orderBy(F.desc(F.abs(v)), order)).alias("rank"))
 
 
 def merge_intervals(rows: DataFrame, keys: list[str], start: str = "start", end: str = "end") -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import functions as fn
 from ..model import full_frame, month_key, month_start, synthetic_cube
-from ..operators import calendars, features, gapfill, masks, models, ordered, polygons, spatial, stats, temporal
+from ..operators import calendars, features, gapfill, masks, models, ordered, polygons, products, spatial, stats, temporal
 from ..sources import ascii as ascii_
 from ..tables import shared_dir
 
@@ -289,11 +289,11 @@ def local_extrema(spark, d):
       WINDOW p AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), q AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
     s AS (SELECT *, CASE WHEN v > 0 THEN lo1 ELSE hi1 END AS t1, CASE WHEN v > 0 THEN lo2 ELSE hi2 END AS t2 FROM z),
     h AS (SELECT *, coalesce(greatest(CASE WHEN t1 IS NOT NULL THEN least(abs(v), abs(v - t1)) END, CASE WHEN t2 IS NOT NULL THEN least(abs(v), abs(v - t2)) END), abs(v)) AS hh FROM s WHERE (hi IS NOT NULL AND v > 0) OR (lo IS NOT NULL AND v < 0))
-    SELECT user_id, event_id, round(hh / m, 6) AS height FROM (SELECT *, max(hh) OVER (PARTITION BY user_id) AS m FROM h) WHERE hh / m >= 0.5"""
+    SELECT user_id, event_id, round(hh / m, 6) AS height, CAST(row_number() OVER (PARTITION BY user_id ORDER BY abs(v) DESC, event_id) AS INTEGER) AS rank FROM (SELECT *, max(hh) OVER (PARTITION BY user_id) AS m FROM h) WHERE hh / m >= 0.5"""
 )
 def significant_peaks(spark, d):
     rows = read(spark, d, "events").select("user_id", "event_id", (F.col("value") - 30).alias("value"))
-    return ordered.significant_peaks(rows, ["user_id"], "event_id").select("user_id", "event_id", F.round("height", 6).alias("height"))
+    return ordered.significant_peaks(rows, ["user_id"], "event_id").select("user_id", "event_id", F.round("height", 6).alias("height"), "rank")
 
 
 INTERVALS = """iv AS (SELECT o_custkey AS k, o_orderdate AS a, o_orderdate + INTERVAL 30 DAY AS b FROM orders),
@@ -940,3 +940,87 @@ def lagged_search(spark, d):
     scores, best = models.feature_set_search(rows.withColumn("id", F.col("lat_idx") * 100_000 + F.col("m")), {"no shift": plain, "shift": [*plain, "value_lag1", "value_lag3"]}, "value", models.parameter_sets({"numTrees": [4], "maxDepth": [2, 4]}), f"{shared_dir(spark)}/scores", k=2, order="id")
     wanted = spark.createDataFrame([(name, float(b["score"])) for name, b in best.items()], "features string, score double")
     return scores.groupBy("features", "params").agg(F.count(F.lit(1)).alias("splits"), F.avg("test").alias("mean")).join(F.broadcast(wanted), "features").select("features", "params", "splits", (F.abs(F.col("mean") - F.col("score")) < 1e-12).alias("best"))
+
+
+# ---------------------------------------------------------------- whole products
+@query(
+    f"""WITH {CONVERSION_SQL}, px AS (SELECT CAST(1992 + l_suppkey % 2 AS INTEGER) AS year, l_orderkey % 12 AS lat_idx, l_partkey % 24 AS lon_idx, CAST(max(l_quantity) AS INTEGER) AS category FROM lineitem GROUP BY 1, 2, 3),
+    w AS (SELECT year, lat_idx // 2 AS lat, lon_idx // 3 AS lon, category, sin(radians(lat_idx * 15 - 75)) - sin(radians(lat_idx * 15 - 90)) AS w FROM px),
+    p AS (SELECT year, lat, lon, w, n.pft, coalesce(c.pct, 0) AS pct FROM w CROSS JOIN (SELECT DISTINCT pft FROM conv) n LEFT JOIN conv c ON c.category = w.category AND c.pft = n.pft),
+    f AS (SELECT year, lat, lon, sum(CASE WHEN pft = 'crop' THEN w * pct END) / sum(CASE WHEN pft = 'crop' THEN w END) / 100 AS crop, sum(CASE WHEN pft = 'shrub' THEN w * pct END) / sum(CASE WHEN pft = 'crop' THEN w END) / 100 AS shrub, sum(CASE WHEN pft = 'tree' THEN w * pct END) / sum(CASE WHEN pft = 'crop' THEN w END) / 100 AS tree FROM p GROUP BY 1, 2, 3)
+    SELECT year, CAST(lat AS INTEGER) AS lat_idx, CAST(lon AS INTEGER) AS lon_idx, round(crop, 6) AS crop, round(shrub, 6) AS shrub, round(tree, 6) AS tree, round(tree + shrub, 6) AS woody FROM f"""
+)
+def landcover_regridded(spark, d):
+    """Category pixels of two years to fractions on cells of 30 x 45 degrees, averaged by area, with a sum of types."""
+    px = read(spark, d, "lineitem").groupBy((1992 + F.col("l_suppkey") % 2).cast("int").alias("year"), (F.col("l_orderkey") % 12).cast("int").alias("lat_idx"), (F.col("l_partkey") % 24).cast("int").alias("lon_idx")).agg(F.max("l_quantity").cast("int").alias("category"))
+    lat, lon = [-82.5 + 15 * i for i in range(12)], [-172.5 + 15 * i for i in range(24)]
+    out = products.landcover(px, spark.createDataFrame(CONVERSION, "category int, pft string, pct int"), lat, lon, [-75.0 + 30 * i for i in range(6)], [-157.5 + 45 * i for i in range(8)], sums={"woody": ("pfttree", "pftshrub")})
+    return out.select("year", "lat_idx", "lon_idx", F.round("pftcrop", 6).alias("crop"), F.round("pftshrub", 6).alias("shrub"), F.round("pfttree", 6).alias("tree"), F.round("woody", 6).alias("woody"))
+
+
+@query(
+    """WITH a AS (SELECT o_orderpriority AS file, 'title' AS key, 'p ' || o_orderstatus AS value FROM orders UNION ALL SELECT o_orderpriority, 'id', o_orderstatus FROM orders UNION ALL SELECT o_orderpriority, 'units', '1' FROM orders UNION ALL SELECT o_orderpriority, 'flag_values', o_orderstatus FROM orders)
+    SELECT key, string_agg(DISTINCT value, ';' ORDER BY value) AS value FROM a WHERE key <> 'flag_values' GROUP BY key
+    UNION ALL SELECT 'time_coverages', string_agg(s, ';' ORDER BY file) FROM (SELECT o_orderpriority AS file, strftime(min(o_orderdate), '%Y%m%d') || '-' || strftime(max(o_orderdate), '%Y%m%d') AS s FROM orders GROUP BY 1)"""
+)
+def folded_attributes(spark, d):
+    o = read(spark, d, "orders")
+    spans = o.groupBy(F.col("o_orderpriority").alias("file")).agg(F.date_format(F.min("o_orderdate"), "yyyyMMdd").alias("a"), F.date_format(F.max("o_orderdate"), "yyyyMMdd").alias("b"))
+    pair = lambda k, v: F.struct(F.lit(k).alias("key"), v.alias("value"))
+    status = F.col("o_orderstatus")
+    rows = o.select(F.col("o_orderpriority").alias("file"), F.inline(F.array(pair("title", F.concat(F.lit("p "), status)), pair("id", status), pair("units", F.lit("1")), pair("flag_values", status))))
+    rows = rows.unionByName(spans.select("file", F.inline(F.array(pair("time_coverage_start", F.col("a")), pair("time_coverage_end", F.col("b"))))))
+    return products.fold_attributes(rows).select("key", F.array_join("values", ";").alias("value"))
+
+
+def _by_product(spark, d):
+    base = frame(spark, d).groupBy("lat_idx", (F.col("m") % 12).cast("int").alias("month")).agg(F.count("value").alias("a"), F.sum(F.when(F.col("value") > 6000, 1).otherwise(0)).alias("b"))
+    return base.select("lat_idx", "month", F.inline(F.array(F.struct(F.lit("count").alias("product"), F.col("a").alias("value")), F.struct(F.lit("high").alias("product"), F.col("b").alias("value")))))
+
+
+@query(
+    f"""WITH {GRID}, base AS (SELECT lat_idx, CAST(m % 12 AS INTEGER) AS t, count(value) AS a, sum(CASE WHEN value > 6000 THEN 1 ELSE 0 END) AS b FROM frame GROUP BY 1, 2),
+    clim AS (SELECT 'count' AS product, lat_idx, t, a AS v FROM base UNION ALL SELECT 'high', lat_idx, t, b FROM base),
+    sig AS (SELECT *, t - row_number() OVER (PARTITION BY product, lat_idx ORDER BY t) AS island FROM (SELECT *, v / nullif(max(v) OVER (PARTITION BY product, lat_idx), 0) AS r FROM clim) WHERE r > 0.7),
+    isl AS (SELECT product, lat_idx, min(t) AS a, max(t) AS b, count(*) AS n FROM sig GROUP BY product, lat_idx, island),
+    r AS (SELECT *, row_number() OVER (PARTITION BY product, lat_idx ORDER BY n DESC, a) AS k, count(*) OVER w AS cnt, sum(n) OVER w AS total,
+      max(CASE WHEN a = 0 THEN n END) OVER w AS n0, max(CASE WHEN b = 11 THEN n END) OVER w AS n1, max(CASE WHEN b = 11 THEN a END) OVER w AS a1, max(CASE WHEN a = 0 THEN b END) OVER w AS b0 FROM isl WINDOW w AS (PARTITION BY product, lat_idx)),
+    j AS (SELECT *, CASE WHEN cnt > 1 THEN n0 + n1 END AS both_ends FROM r WHERE k = 1),
+    s AS (SELECT product, lat_idx, CASE WHEN both_ends > n THEN a1 ELSE a END AS a, CASE WHEN both_ends > n THEN b0 ELSE b END AS b, CASE WHEN both_ends > n THEN both_ends ELSE n END AS size, total FROM j WHERE both_ends IS NULL OR both_ends <> n)
+    SELECT s.product, s.lat_idx, a AS start, b AS "end", size, round(size / total, 9) AS fraction, CAST(t AS INTEGER) AS month FROM s, (SELECT unnest(range(12)) AS t) WHERE (t - a + 12) % 12 <= (b - a + 12) % 12"""
+)
+def fire_seasons_by_product(spark, d):
+    """Seasons of two products in one call, with the months of each."""
+    season, months = products.fire_seasons(_by_product(spark, d), ["lat_idx"], 0.7)
+    return season.join(months, ["product", "lat_idx"]).select("product", "lat_idx", "start", "end", "size", F.round("fraction", 9).alias("fraction"), "month")
+
+
+@query(
+    """WITH px AS (SELECT event_id, make_date(1998 + CAST(event_id % 4 AS INTEGER), 1, 1) + CAST((event_id // 4) % 46 * 8 AS INTEGER) AS start, (event_id % 97) / 97.0 AS v FROM events)
+    SELECT CAST(year(start + INTERVAL 4 DAY - INTERVAL 1 SECOND) * 12 + month(start + INTERVAL 4 DAY - INTERVAL 1 SECOND) - 1 AS INTEGER) AS m, count(*) AS n, round(avg(v), 9) AS value FROM px WHERE start <> DATE '1999-07-04' GROUP BY 1"""
+)
+def composite_months(spark, d):
+    """Eight-day composites named by year and day of year, one of them ignored, to months by their middles."""
+    k = F.col("event_id")
+    day = (F.floor(k / 4) % 46 * 8 + 1).cast("int")
+    rows = read(spark, d, "events").select(F.format_string("Fpar_500m_%04d%03d_0d25.nc", (1998 + k % 4).cast("int"), day).alias("file"), ((k % 97) / 97.0).alias("value"))
+    from datetime import date
+
+    out = products.composites(rows, ignore=("1999185",), expected_missing=(date(1999, 7, 4),))
+    return out.groupBy(month_key(F.col("time")).alias("m")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 9).alias("value"))
+
+
+@query(
+    """WITH x AS (SELECT CASE WHEN event_id % 3 = 0 THEN 'Vegetation Optical Depth' ELSE 'flags' END AS name, CASE WHEN event_id % 2 = 0 THEN 'Ku-band' ELSE 'X-band' END AS band, user_id % 5 AS cell, ts, value FROM events)
+    SELECT name || ' ' || band AS variable, cell, CAST(year(ts) * 12 + month(ts) - 1 AS INTEGER) AS m, round(avg(value), 6) AS value FROM x WHERE name <> 'flags' GROUP BY 1, 2, 3"""
+)
+def banded_daily_months(spark, d):
+    k = F.col("event_id")
+    rows = read(spark, d, "events").select(F.concat(F.lit("/daily/x/"), F.year("ts").cast("string"), F.lit("/a.nc")).alias("path"), F.when(k % 3 == 0, "Vegetation Optical Depth").otherwise("flags").alias("name"), F.when(k % 2 == 0, "Ku-band").otherwise("X-band").alias("band"), (F.col("user_id") % 5).alias("cell"), F.col("ts").alias("time"), "value")
+    return products.banded_months(rows, ["cell"]).select("variable", "cell", "m", F.round("value", 6).alias("value"))
+
+
+@query("SELECT DISTINCT p_type AS name, (lower(p_type) LIKE '%steel%' OR replace(lower(p_type), '_', ' ') LIKE '%small plated%') AND lower(p_type) NOT LIKE '%log%' AS log FROM part")
+def log_names(spark, d):
+    """Which names are shown on a log scale, for other names than the fixed ones."""
+    return read(spark, d, "part").select(F.col("p_type").alias("name")).distinct().withColumn("log", products.log_scale(F.col("name"), ("steel", "small plated")))

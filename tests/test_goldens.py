@@ -625,3 +625,38 @@ def test_collection_fill(spark):
     assert {k for k, v in none.items() if v is None} == {(m, 0) for m in range(3)} and none[1, 1] == 1.0
     with pytest.raises(ValueError):
         both.fill(keys, reference="x")
+
+
+def F_(name):
+    from pyspark.sql import functions as F
+
+    return F.col(name)
+
+
+def test_products(spark):
+    from datetime import date
+
+    from cairnfield import functions as fn
+    from cairnfield.operators import products
+
+    names = ["Burned_Area", "log burned area", "POPD", "Dry Day Period -3 Month", "rain"]
+    shown = spark.createDataFrame([(n,) for n in names], "n string").select("n", products.log_scale(F_("n")).alias("x")).collect()
+    assert {r["n"]: r["x"] for r in shown} == dict(zip(names, (True, False, True, True, False), strict=True))
+    assert fn.pack_input("a", 3) == ("a", "a", "a") and fn.pack_input(["a", "b"], 3, None) == ("a", "b", None) and fn.pack_input(["a", "b"], 4, (1, 0)) == ("a", "b", "b", "a")
+    with pytest.raises(ValueError):
+        fn.pack_input(["a", "b", "c"], 2)
+    rows = [(f"Fpar_500m_2000{d:03d}_0d25.nc", 0.5) for d in (1, 9, 25)]
+    table = spark.createDataFrame(rows, "file string, value double")
+    with pytest.raises(ValueError):
+        products.composites(table)
+    out = products.composites(table, expected_missing=(date(2000, 1, 17),)).orderBy("start").first()
+    assert str(out["time"]) == "2000-01-04 23:59:59"
+    with pytest.raises(Exception, match="outside"):
+        products.composites(table.withColumn("value", table["value"] * 4), expected_missing=(date(2000, 1, 17),)).collect()
+    attributes = spark.createDataFrame([("a", "units", "1"), ("b", "units", "2")], "file string, key string, value string")
+    with pytest.raises(Exception, match="differ"):
+        products.fold_attributes(attributes).collect()
+    with pytest.raises(Exception, match="not a year"):
+        products.banded_months(spark.createDataFrame([("/daily/x/99/a.nc", "Vegetation Optical Depth", "X", 1, 1.0)], "path string, name string, band string, cell int, value double").withColumn("time", F_("path")), ["cell"]).collect()
+    cube = spark.createDataFrame([(0,), (2,)], "lat_idx int")
+    assert sorted(r[0] for r in products.flip_latitude(cube, 3).collect()) == [0, 2]
