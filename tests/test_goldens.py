@@ -657,6 +657,6 @@ def test_products(spark):
     with pytest.raises(Exception, match="differ"):
         products.fold_attributes(attributes).collect()
     with pytest.raises(Exception, match="not a year"):
-        products.banded_months(spark.createDataFrame([("/daily/x/99/a.nc", "Vegetation Optical Depth", "X", 1, 1.0)], "path string, name string, band string, cell int, value double").withColumn("time", F_("path")), ["cell"]).collect()
+        products.banded_months(spark.createDataFrame([("/daily/x/99/a.nc", "Vegetation Optical Depth", "X", 1, 1.0)], "path string, name string, band string, cell int, value double").selectExpr("path", "name", "band", "cell", "value", "timestamp '1999-01-01' as time"), ["cell"]).collect()
     cube = spark.createDataFrame([(0,), (2,)], "lat_idx int")
     assert sorted(r[0] for r in products.flip_latitude(cube, 3).collect()) == [0, 2]
