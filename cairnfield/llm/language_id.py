@@ -7,8 +7,8 @@ languages' own n-gram distributions would get: the gap between the lowest of tho
 Decoding adds, over the bits, a logistic loss of the margin against the codeword's sign, weighted by the bit's gap, and
 takes the language with the least loss; a small lead over the second is flagged as ambiguous.
 
-Training reads at most about ``train_docs`` texts of each of the ``max_languages`` most frequent languages, whole, picked by a hash
-of key and text; the rest of the work covers every row. Defined cases: text null or without a letter gives
+Training reads at most about ``train_docs`` texts of each language, whole, picked by a hash
+of key and text; all languages are learned, and more than ``max_languages``, which bounds the model's memory, are an error; the rest of the work covers every row. Defined cases: text null or without a letter gives
 ``und`` with score 0; very long texts are read whole, in pieces of 1 MB; repeated rows get equal answers and train together or
 not at all; of equal losses the language whose name sorts first wins; rows whose language is null do not train, those whose key is null
 do; without any language to learn all rows are ``und``; ``predict`` replaces columns called like its own, and
@@ -102,10 +102,12 @@ def _groups(column, size: int = 1 << 20):
         yield texts
 
 
-def train(docs: DataFrame, train_docs: int = 3000, text: str = "text", lang: str = "lang", key: str = "doc_id", max_languages: int = 256) -> Model | None:
+def train(docs: DataFrame, train_docs: int = 3000, text: str = "text", lang: str = "lang", key: str = "doc_id", max_languages: int = 1024) -> Model | None:
     """Fit on (text, lang): n-gram counts of about train_docs texts of each language."""
     docs = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("string").alias("k"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
-    sizes = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()}
+    sizes = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().limit(max_languages + 1).collect()}
+    if len(sizes) > max_languages:
+        raise ValueError(f"there are more than {max_languages} languages")
     if not sizes:
         return None
     languages = tuple(sorted(sizes))

@@ -101,3 +101,12 @@ def test_against_plain_classifier(spark, docs):
         odds = math.exp(-min(loss)) / sum(math.exp(-x) for x in loss)
         if any(c.isalpha() for c in r["text"]):
             assert got[r["doc_id"]]["lang_pred"] == names[best] and math.isclose(got[r["doc_id"]]["score"], odds, rel_tol=1e-3)
+
+
+def test_more_languages_than_the_bound_are_an_error(spark):
+    import pytest
+
+    docs = spark.createDataFrame([(i, "some text", f"l{i}") for i in range(5)], "doc_id long, text string, lang string")
+    assert len(language_id.train(docs, max_languages=5).languages) == 5
+    with pytest.raises(ValueError):
+        language_id.train(docs, max_languages=4)
