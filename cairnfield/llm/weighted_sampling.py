@@ -108,11 +108,11 @@ def compare_with_next(docs: DataFrame, key: str = "doc_id", text: str = "text",
     repeated = links.where("times > 1").limit(1).count() > 0
     value = F.coalesce(F.col(text), F.lit(""))
     texts = docs.select(*row_keys(F.col(key), value), value.alias("text")).repartition(n, *KEYS)
-    linked = texts.join(links.repartition(n, *KEYS).hint("shuffle_hash"), KEYS)
+    linked = texts.join(links.repartition(n, *KEYS).hint("merge"), KEYS)
     heads = linked.select(F.col("prev_ka").alias("ka"), F.col("prev_kb").alias("kb"), F.expr("left(text, cast(floor(prev_chars / 3) as int))").alias("head"))
     if repeated:
         heads = heads.groupBy(*KEYS).agg(F.first("head").alias("head"))
-    pairs = linked.join(heads.repartition(n, *KEYS).hint("shuffle_hash"), KEYS).withColumn("edited", F.expr("concat(left(text, cast(n_chars - floor(n_chars / 3) as int)), head)"))
+    pairs = linked.join(heads.repartition(n, *KEYS).hint("merge"), KEYS).withColumn("edited", F.expr("concat(left(text, cast(n_chars - floor(n_chars / 3) as int)), head)"))
     both = pairs.select(*KEYS, "times", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("text")))).alias("x")).select(*KEYS, "times", "x.kind", "x.text")
     prints = fingerprints(both, [*KEYS, "kind"], "times", k)
     prints = prints.groupBy(*KEYS).agg(F.max(F.when(F.col("kind") == 0, F.col("sig"))).alias("sig"), F.max(F.when(F.col("kind") == 1, F.col("sig"))).alias("edited_sig"))
