@@ -50,8 +50,8 @@ _MIT_REST = 'The above copyright notice and this permission notice shall be incl
 
 
 def full_texts() -> dict[str, str]:
-    """Whole licences, named ``...-text``."""
-    found = {f"{f.name[:-4]}-text": f.read_text("utf-8") for f in files(__package__).joinpath("license_texts").iterdir() if f.name.endswith(".txt")}
+    """Whole licences, named ``...-text`` (and longer notices, ``...-header``)."""
+    found = {f.name[:-4] if f.name.endswith("-header.txt") else f"{f.name[:-4]}-text": f.read_text("utf-8") for f in files(__package__).joinpath("license_texts").iterdir() if f.name.endswith(".txt")}
     return dict(sorted(found.items())) | {"MIT-text": f"{TEMPLATES['MIT-grant']} {_MIT_REST}"}
 
 
@@ -151,15 +151,25 @@ def word_windows(words: np.ndarray, bounds: np.ndarray, known: np.ndarray, caps:
     return out
 
 
+def most_specific(hits: list[tuple[str, float, int, int]], alike: float = 0.8) -> list[tuple[str, float, int, int]]:
+    """The hits by falling dice, then name, without those of a like wording: whose words nearly all lie in the window of a better hit, or whose window is nearly that of an equal one."""
+    out: list[tuple[str, float, int, int]] = []
+    for hit in sorted(hits, key=lambda h: (-h[1], h[0])):
+        _, value, a, b = hit
+        if not any(min(b, d) - max(a, c) >= alike * ((b - a) if other > value else (max(b, d) - min(a, c))) for _, other, c, d in out):
+            out.append(hit)
+    return out
+
+
 def _with_lines(text: str, hits: list[tuple[str, float, int, int]]) -> list[tuple[str, float, int, int]]:
     ends = np.cumsum([len(alnum_words_py(x)) for x in text.split("\n")])
     return [(name, d, int(np.searchsorted(ends, a, "right")), int(np.searchsorted(ends, b, "right"))) for name, d, a, b in hits]
 
 
-def scan(docs: DataFrame, text: str = "text", templates: dict[str, str] = TEMPLATES, threshold: float = 0.9, windows: str = "lines") -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", templates: dict[str, str] = TEMPLATES, threshold: float = 0.9, windows: str = "lines", specific: bool = False) -> DataFrame:
     """Add licenses: array<struct<license, dice, first_line, last_line>>, by falling dice, then name.
 
-    windows: "words", or "lines" for windows of whole lines.
+    windows: "words", or "lines" for windows of whole lines. specific: of templates that match nearly the same words only the best counts.
     """
     if windows not in ("words", "lines"):
         raise ValueError(f"windows: {windows}")
@@ -182,7 +192,8 @@ def scan(docs: DataFrame, text: str = "text", templates: dict[str, str] = TEMPLA
                 if windows == "words":
                     by_text = word_windows(words, bounds, known, caps, threshold)
                     for k in range(j - i):
-                        hits = _with_lines(texts[i + k].as_py(), by_text[k]) if k in by_text else []
+                        own = by_text.get(k, [])
+                        hits = _with_lines(texts[i + k].as_py(), most_specific(own) if specific else own) if own else []
                         out.append(listed(hits))
                     continue
                 pairs = shingle(words, 2)
@@ -201,5 +212,5 @@ def scan(docs: DataFrame, text: str = "text", templates: dict[str, str] = TEMPLA
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scan(table(spark, sf_dir, "documents").select("doc_id", "text"), templates=TEMPLATES | full_texts(), windows="words")
+    found = scan(table(spark, sf_dir, "documents").select("doc_id", "text"), templates=TEMPLATES | full_texts(), windows="words", specific=True)
     return found.select("doc_id", F.size("licenses").cast("long").alias("n_licenses"), F.array_join(F.transform("licenses", lambda x: x["license"]), ",").alias("licenses"), F.round(F.get("licenses", 0)["dice"], 6).alias("best_dice"))

@@ -90,3 +90,13 @@ def test_other_columns_stay(spark, odd_rows):
     named = odd_rows.selectExpr("*", "1 as license", "2 as dice", "'own' as licenses")
     out = licenses.scan(named, windows="words")
     assert set(out.columns) == set(named.columns) and out.count() == odd_rows.count() and all(r["licenses"] == [] for r in out.collect())
+
+
+def test_most_specific_licence_wins(spark, folder):
+    full = licenses.full_texts()
+    docs = spark.createDataFrame([(0, "see " + full["AGPL-3.0-header"]), (1, licenses.TEMPLATES["GPL-3.0-header"]), (2, full["BSD-3-Clause-text"]), (3, full["BSD-2-Clause-text"]), (4, full["ISC-text"].replace("THE AUTHOR", "ACME")), (5, full["Zlib-text"]), (6, full["Unlicense-text"])], "doc_id long, text string")
+    got = {r["doc_id"]: r["licenses"].split(",") for r in licenses.query(spark, folder(documents=docs)).collect()}
+    assert got[0] == ["AGPL-3.0-header"] and "GPL-3.0-header" in got[1] and "AGPL-3.0-header" not in got[1]
+    assert got[2][0].startswith("BSD-3-Clause") and "BSD-2-Clause-text" not in got[2] and "BSD-3-Clause-text" not in got[3] and "BSD-2-Clause-text" in got[3]
+    assert got[4] == ["ISC-text"] and got[5] == ["Zlib-text"] and got[6] == ["Unlicense-text"]
+    assert licenses.most_specific([("a", 0.95, 0, 100), ("b", 1.0, 2, 100), ("c", 1.0, 40, 60)]) == [("b", 1.0, 2, 100), ("c", 1.0, 40, 60)]
