@@ -44,9 +44,12 @@ def folds(rows: DataFrame, order: str, k: int) -> DataFrame:
     return dealt.join(F.broadcast(starts), "_part").withColumn("_at", at).withColumn("fold", fold.cast("int")).drop("_part", "_before", "_at")
 
 
+def _regressor(label: str, params: dict) -> RandomForestRegressor:
+    return RandomForestRegressor(featuresCol="features", labelCol=label, **({"numTrees": 100, "maxDepth": 15, "seed": 1, "cacheNodeIds": True} | params))
+
+
 def forest(features: list[str], label: str, **params) -> Pipeline:
-    params = {"numTrees": 100, "maxDepth": 15, "seed": 1, "cacheNodeIds": True} | params
-    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), RandomForestRegressor(featuresCol="features", labelCol=label, **params)])
+    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), _regressor(label, params)])
 
 
 def binomial(features: list[str], label: str) -> Pipeline:
@@ -85,7 +88,8 @@ def cross_validate(rows: DataFrame, features: list[str], label: str, sets: list[
     missing in the table, so a later call with it as ``known`` goes on there.
     """
     spark: SparkSession = rows.sparkSession
-    dealt = folds(rows, order or features[0], k).persist()
+    # the vectors are assembled once for all fits
+    dealt = VectorAssembler(inputCols=features, outputCol="features").transform(folds(rows, order or features[0], k)).select("features", label, "fold").persist()
     done = {(r["params"], r["split"]): r for r in known.collect()} if known is not None else {}
     until = None if seconds is None else time.monotonic() + seconds
 
@@ -96,7 +100,7 @@ def cross_validate(rows: DataFrame, features: list[str], label: str, sets: list[
         if until is not None and time.monotonic() > until:
             return None
         train, test = dealt.where(F.col("fold") != split), dealt.where(F.col("fold") == split)
-        model = forest(features, label, **params).fit(train)
+        model = _regressor(label, params).fit(train)
         return number, name, split, r2(model.transform(train), label), r2(model.transform(test), label)
 
     work = [(i, params, split) for i, params in enumerate(sets) for split in range(k)]
@@ -259,9 +263,8 @@ def feature_set_search(rows: DataFrame, sets_of_features: dict[str, list[str]],
     until = None if seconds is None else time.monotonic() + seconds
 
     def pipeline(features: list[str], params: dict) -> Pipeline:
-        params = {"numTrees": 100, "maxDepth": 15, "seed": 1, "cacheNodeIds": True} | params
         cut = VectorSlicer(inputCol="_all", outputCol="features", indices=[every.index(f) for f in features])
-        return Pipeline(stages=[cut, RandomForestRegressor(featuresCol="features", labelCol="_label", **params)])
+        return Pipeline(stages=[cut, _regressor("_label", params)])
 
     def one(work):
         name, number, params, split = work
