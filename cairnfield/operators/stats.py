@@ -11,12 +11,13 @@ from ..functions import EARTH_KM, haversine_km
 from ..tables import broadcast_up_to, materialize
 
 
-def variogram(points: DataFrame, pid: str, lat: str, lon: str, x: str, bins: int, max_lag: float, slices: int = 4) -> DataFrame:
+def variogram(points: DataFrame, pid: str, lat: str, lon: str, x: str, bins: int, max_lag: float, per_slice: int = 2048) -> DataFrame:
     """(bin, low, high, n, semivariance): half the population variance of the signed differences x_i - x_j, i > j.
 
     Points are dealt into latitude bands of ``max_lag`` km, and these into cells of longitude that are as wide as two points
-    of neighbouring bands within that distance can be apart; only equal and neighbouring cells meet. The points of a cell
-    meet in ``slices``, so a crowded cell is dealt over several tasks.
+    of neighbouring bands within that distance can be apart; only equal and neighbouring cells meet. Cells are counted, and a cell
+    is dealt over slices of about ``per_slice`` points, so a task's pairs are bounded by them however crowded a cell is; points go to the slices
+    of cells that have points alone.
     """
     named = [F.col(c).alias(n) for c, n in ((pid, "id"), (lat, "lat"), (lon, "lon"), (x, "x"))]
     band_of = F.floor(F.radians(F.col("lat")) * EARTH_KM / max_lag).cast("int")
@@ -32,10 +33,13 @@ def variogram(points: DataFrame, pid: str, lat: str, lon: str, x: str, bins: int
         return F.least(F.floor(F.pmod(lon, F.lit(360.0)) / 360 * n).cast("int"), n - 1)
 
     a = points.select(*named).withColumn("band", band_of)
-    a = a.select("band", cell(F.col("lon"), cells(F.col("band"))).alias("cell"), F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int").alias("slice"), *[F.col(n).alias(f"a_{n}") for n in ("id", "lat", "lon", "x")])
+    a = a.select("band", cell(F.col("lon"), cells(F.col("band"))).alias("cell"), *[F.col(n).alias(f"a_{n}") for n in ("id", "lat", "lon", "x")])
+    counted = materialize(a.groupBy("band", "cell").agg(F.ceil(F.count(F.lit(1)) / per_slice).cast("int").alias("slices")), "cells")
+    sizes = broadcast_up_to(counted, 100_000)
+    a = a.join(sizes, ["band", "cell"]).withColumn("slice", F.pmod(F.xxhash64("a_id"), F.col("slices")).cast("int")).drop("slices")
     b = points.select(*named).withColumn("band", F.explode(F.array(band_of - 1, band_of, band_of + 1))).withColumn("n", cells(F.col("band")))
     near = F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda i: F.pmod(cell(F.col("lon"), F.col("n")) + i, F.col("n"))))
-    b = b.withColumn("cell", F.explode(near)).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    b = b.withColumn("cell", F.explode(near)).join(sizes, ["band", "cell"]).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
     b = b.select("band", "cell", "slice", *[F.col(n).alias(f"b_{n}") for n in ("id", "lat", "lon", "x")])
     pairs = a.join(b, ["band", "cell", "slice"]).where("a_id > b_id").withColumn("d", haversine_km(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon"))).where(F.col("d") < max_lag)
     width = max_lag / bins

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import broadcast_up_to
 from ..model import month_key, month_start
 
 
@@ -178,10 +179,8 @@ def slabs(table: DataFrame, years: list[int], raster: str = "raster") -> DataFra
 
 
 def yearly_files(table: DataFrame, variables: list[str], order: str = "file", first_year: int = 1992) -> DataFrame:
-    """(year, ..) of one file a year in the order of names, each with the same variables; a file that lacks one is an error."""
-    files = table.groupBy(order).agg(F.array_sort(F.collect_set("variable")).alias("found")).orderBy(order).collect()
-    wrong = [r[order] for r in files if r["found"] != sorted(variables)]
-    if wrong:
-        raise ValueError(f"other variables than asked for in {wrong}")
-    years = table.sparkSession.createDataFrame([(r[order], first_year + i) for i, r in enumerate(files)], f"{order} string, year int")
-    return table.join(F.broadcast(years), order).drop(order)
+    """(year, ..) of one file a year in the order of names, each with the same variables; reading one with others is an error."""
+    files = table.groupBy(order).agg(F.array_sort(F.collect_set("variable")).alias("_found"))
+    same = F.col("_found") == F.array(*map(F.lit, sorted(variables)))
+    year = F.when(same, (first_year - 1 + F.row_number().over(Window.orderBy(order))).cast("int")).otherwise(F.raise_error(F.concat(F.lit("other variables than asked for in "), F.col(order).cast("string"))).cast("int"))
+    return table.join(broadcast_up_to(files.select(order, year.alias("year")), 100_000), order).drop(order)

@@ -361,8 +361,8 @@ def test_small_helpers(spark):
     assert even.grid() == 2.5 and even.grid("lon") == 1.5 and even.grid("depth") == "N/A"
     assert Dataset("F", even.cube.union(spark.createDataFrame([(0.0, 9.0)], "lat double, lon double")), ("v",)).grid() == "N/A"
     assert Datasets([data]).get_index("D") == 0 and masks.has_columns(data.cube, "lat_idx") and not masks.has_columns(data.cube, "time")
-    with pytest.raises(ValueError):
-        temporal.yearly_files(spark.createDataFrame([("a", "x"), ("b", "y")], "file string, variable string"), ["x"])
+    with pytest.raises(Exception, match="other variables"):
+        temporal.yearly_files(spark.createDataFrame([("a", "x"), ("b", "y")], "file string, variable string"), ["x"]).collect()
 
 
 def test_hash_memo(spark, tmp_path):
@@ -660,3 +660,24 @@ def test_products(spark):
         products.banded_months(spark.createDataFrame([("/daily/x/99/a.nc", "Vegetation Optical Depth", "X", 1, 1.0)], "path string, name string, band string, cell int, value double").selectExpr("path", "name", "band", "cell", "value", "timestamp '1999-01-01' as time"), ["cell"]).collect()
     cube = spark.createDataFrame([(0,), (2,)], "lat_idx int")
     assert sorted(r[0] for r in products.flip_latitude(cube, 3).collect()) == [0, 2]
+
+
+def test_variogram_of_crowded_cells(spark):
+    """All points in one place: slices, however small, leave every pair in."""
+    rng = np.random.default_rng(3)
+    rows = [(i, float(a), float(b), float(x)) for i, (a, b, x) in enumerate(rng.random((120, 3)))]
+    points = spark.createDataFrame(rows, "id int, lat double, lon double, x double")
+    found = {n: [tuple(r) for r in stats.variogram(points, "id", "lat", "lon", "x", 3, 90.0, per_slice=n).orderBy("bin").collect()] for n in (7, 2048)}
+    assert [(r[0], r[3]) for r in found[7]] == [(r[0], r[3]) for r in found[2048]] and all(abs(a[4] - b[4]) < 1e-12 for a, b in zip(found[7], found[2048], strict=True))
+    assert sum(r[3] for r in found[7]) > 5000 and stats.variogram(points.limit(0), "id", "lat", "lon", "x", 3, 90.0).count() == 3
+
+
+def test_first_files(spark, tmp_path):
+    from cairnfield.sources import load_files
+
+    for name, n in (("b", 2), ("a", 1), ("c", 3)):
+        spark.range(n).write.parquet(f"file://{tmp_path}/{name}")
+    two = load_files(spark, [f"file://{tmp_path}/{n}" for n in "cab"], 2)
+    assert two.count() == 3 and two.columns == ["id", "file"]
+    with pytest.raises(FileNotFoundError):
+        load_files(spark, [])
