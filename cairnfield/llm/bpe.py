@@ -24,6 +24,7 @@ one is an error; a null list of ids decodes to null, an id outside the vocabular
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import json
 import os
@@ -180,7 +181,7 @@ class Encoder:
     have Python's white space; the library normalises all others.
     """
 
-    def __init__(self, path: str, automaton: Automaton, memory: int = 200_000, piece: int = 1 << 20):
+    def __init__(self, path: str, automaton: Automaton, memory: int = 150_000, piece: int = 1 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
         from tokenizers import Tokenizer
@@ -250,17 +251,20 @@ class Encoder:
 def compile_automaton(path: str) -> Automaton:
     """The automaton of a tokenizer's file."""
     with open(path, encoding="utf-8") as f:
-        data = json.load(f)
+        text = f.read()
+    data = json.loads(text)
     model = data["model"]
     if model.get("ignore_merges") or model.get("byte_fallback") or model.get("continuing_subword_prefix"):
         raise ValueError("merges are not all that decides in this tokenizer")
     merges = [tuple(m) if not isinstance(m, str) else tuple(m.split(" ")) for m in model["merges"]]
     added = {t["content"]: t["id"] for t in data.get("added_tokens", [])}
     vocab = {t: i for t, i in model["vocab"].items() if t not in added}
-    return Automaton(vocab, merges, model.get("end_of_word_suffix") or "", added)
+    automaton = Automaton(vocab, merges, model.get("end_of_word_suffix") or "", added)
+    automaton.stamp = hashlib.sha256(text.encode()).hexdigest()
+    return automaton
 
 
-#: A worker's encoder, kept from task to task.
+#: A worker's encoder, kept from task to task, by the digest of the tokenizer's file.
 _encoders: dict[str, Encoder] = {}
 
 
@@ -275,11 +279,13 @@ def encode(docs: DataFrame, path: str, automaton, text: str = "text", ids: str =
     _free(docs.select(*(f"`{c}`" for c in names)), ids)
     schema = docs.select(*(f"`{c}`" for c in names)).schema.add(ids, ArrayType(IntegerType()))
 
+    stamp = automaton.value.stamp
+
     def run(batches):
-        if path not in _encoders or _encoders[path].automaton is not automaton.value:
+        if stamp not in _encoders:
             _encoders.clear()
-            _encoders[path] = Encoder(path, automaton.value)
-        encoder = _encoders[path]
+            _encoders[stamp] = Encoder(path, automaton.value)
+        encoder = _encoders[stamp]
         for batch in batches:
             at = 0
             while at < len(batch):  # a few MB at a time
@@ -296,18 +302,18 @@ def encode(docs: DataFrame, path: str, automaton, text: str = "text", ids: str =
     return docs.select(f"`{text}`", *(f"`{c}`" for c in names)).mapInArrow(run, schema)
 
 
-def decode(rows: DataFrame, automaton, ids: str = "ids", text: str = "decoded") -> DataFrame:
-    """Add the decoded text: the labels of the arcs that the ids name, joined by a space."""
+def decode(rows: DataFrame, arc_labels, ids: str = "ids", text: str = "decoded") -> DataFrame:
+    """Add the decoded text: the labels of the arcs that the ids name (``arc_labels``: the automaton's, broadcast), joined by a space."""
     _free(rows, text)
     names = rows.columns
     schema = rows.select(*(f"`{c}`" for c in names)).schema.add(text, "string")
     place = names.index(ids)
 
     def run(batches):
-        labels = pa.array(automaton.value.labels, pa.string())
+        labels = pa.array(arc_labels.value, pa.string())
         for batch in batches:
             sizes = pc.fill_null(batch.column(place).value_lengths(), 0).to_numpy(zero_copy_only=False)
-            part = np.cumsum(sizes, dtype=np.int64) >> 22  # some 4 million ids at a time
+            part = np.cumsum(sizes, dtype=np.int64) >> 19  # some half a million ids at a time
             for at, to in itertools.pairwise([0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(batch)]):
                 own = batch.slice(at, to - at)
                 ids_ = own.column(place)
@@ -322,9 +328,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("word_bpe_49k.json")
-    automaton = spark.sparkContext.broadcast(compile_automaton(path))
+    automaton = compile_automaton(path)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    rows = decode(encode(docs, path, automaton), automaton)
+    rows = decode(encode(docs, path, spark.sparkContext.broadcast(automaton)), spark.sparkContext.broadcast(automaton.labels))
     return rows.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

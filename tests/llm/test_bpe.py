@@ -92,12 +92,12 @@ def test_query_against_library(spark, sf, library, odd_rows, no_rows, folder):
 def test_round_trip_carries_columns(spark, automaton, odd_rows):
     from pyspark.sql import functions as F
 
-    shared = spark.sparkContext.broadcast(automaton)
+    shared, labels = spark.sparkContext.broadcast(automaton), spark.sparkContext.broadcast(automaton.labels)
     docs = odd_rows.withColumn("a b", F.lit(1)).withColumn("labels", F.lit("x"))
-    rows = bpe.decode(bpe.encode(docs, PATH, shared), shared)
+    rows = bpe.decode(bpe.encode(docs, PATH, shared), labels)
     assert rows.columns == ["doc_id", "lang", "source", "n_chars", "a b", "labels", "ids", "decoded"]
     assert rows.count() == odd_rows.count()
     with pytest.raises(ValueError):
         bpe.encode(docs.withColumn("IDS", F.lit(1)), PATH, shared)
     nulls = spark.createDataFrame([(None,), ([],)], "ids array<int>")
-    assert [r["decoded"] for r in bpe.decode(nulls, shared).collect()] == [None, ""]
+    assert [r["decoded"] for r in bpe.decode(nulls, labels).collect()] == [None, ""]
