@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .tables import broadcast_up_to
+
 CUBE = T.StructType(
     [
         T.StructField("variable", T.StringType()),
@@ -75,6 +77,25 @@ def repair_axes(cube: DataFrame) -> DataFrame:
     return moved.select(*CUBE.fieldNames())
 
 
+def replace_axis(cube: DataFrame, points: DataFrame, axis: str) -> DataFrame:
+    """The cube with new points (axis_idx, point) on an axis; a cell whose number has no new point is an error."""
+    new = points.select(f"{axis}_idx", F.col("point").alias("_point"), F.lit(True).alias("_known"))
+    joined = cube.drop(axis).join(broadcast_up_to(new, 1_000_000), f"{axis}_idx", "left")
+    found = F.when(F.col("_known"), F.col("_point")).otherwise(F.raise_error(F.concat(F.lit(f"no point for {axis} "), F.col(f"{axis}_idx").cast("string"))).cast("double"))
+    return joined.withColumn(axis, found).drop("_point", "_known")
+
+
+def reorder_axis(cube: DataFrame, order: list[int], axis: str, points: list[float] | None = None) -> DataFrame:
+    """The cube with an axis in another order: new place i holds what was at order[i], under new points if given. The order must be a permutation."""
+    if sorted(order) != list(range(len(order))):
+        raise ValueError("the order is no permutation")
+    if points is not None and len(points) != len(order):
+        raise ValueError("there are as many points as places")
+    table = cube.sparkSession.createDataFrame([(old, new, None if points is None else float(points[new])) for new, old in enumerate(order)], f"{axis}_idx int, _new int, _point double")
+    moved = cube.join(F.broadcast(table), f"{axis}_idx").withColumn(f"{axis}_idx", F.col("_new"))
+    return (moved if points is None else moved.withColumn(axis, F.col("_point"))).drop("_new", "_point")
+
+
 def synthetic_cube(spark, n_lat: int, n_lon: int, n_months: int = 0, value: Column | None = None, variable: str = "dummy", lat_lims=(-90.0, 90.0), lon_lims=(-180.0, 180.0), start: int = 1970 * 12) -> DataFrame:
     """Evenly spaced cell centres; with months, one slab a month from ``start``. value: of t, lat_idx, lon_idx."""
     months = max(1, n_months)

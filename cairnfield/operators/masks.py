@@ -102,6 +102,30 @@ def match_constraints(constraints: list[dict[str, tuple]], columns: list[str]) -
     return any_of([all_of([one(n, x) for n, x in c.items()]) for c in constraints])
 
 
+def constrained_map(rows: DataFrame, grid: DataFrame, keys: list[str], constraints: list[dict[str, tuple]] | dict[str, tuple], variable: str | None = None, land: DataFrame | None = None, lats: tuple[float, float] = (-60.0, 90.0), lat: str = "lat") -> DataFrame:
+    """(keys, lat, value): the rows that meet the constraints, placed back on the grid; everything else is NULL.
+
+    rows: unmasked samples (keys, features); grid: all cells (keys, lat). The value is the variable's, or 1. land: cells (some of the keys, land
+    boolean), cells it lacks are no land; cells outside lats are masked.
+    """
+    constraints = [constraints] if isinstance(constraints, dict) else list(constraints)
+    for c in constraints:
+        for name, limits in c.items():
+            if not isinstance(limits, tuple) or len(limits) != 2:
+                raise TypeError(f"{name}: expected a pair of limits, got {limits!r}")
+    if variable is not None and variable not in rows.columns:
+        raise VariableNotFoundError(variable)
+    value = F.lit(1.0) if variable is None else F.col(variable).cast("double")
+    hits = rows.where(match_constraints(constraints, rows.columns)).select(*keys, value.alias("value"))
+    out = grid.select(*keys, lat).join(hits, keys, "left")
+    shown = F.col(lat).between(*lats)
+    if land is not None:
+        on = [k for k in keys if k in land.columns]
+        out = out.join(land.select(*on, F.col("land").alias("_land")), on, "left")
+        shown = shown & F.coalesce("_land", F.lit(False))
+    return out.select(*keys, lat, F.when(shown, F.col("value")).alias("value"))
+
+
 def constraints_title(constraints: list[dict[str, tuple]]) -> str:
     def one(name, limits):
         low, high = limits

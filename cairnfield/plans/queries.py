@@ -8,12 +8,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import functions as fn
-from ..model import full_frame, month_key, month_start, synthetic_cube
+from ..model import full_frame, month_key, month_start, reorder_axis, synthetic_cube
 from ..operators import calendars, features, gapfill, masks, models, ordered, polygons, products, spatial, stats, temporal
 from ..sources import ascii as ascii_
 from ..tables import shared_dir
@@ -1004,8 +1005,6 @@ def composite_months(spark, d):
     k = F.col("event_id")
     day = (F.floor(k / 4) % 46 * 8 + 1).cast("int")
     rows = read(spark, d, "events").select(F.format_string("Fpar_500m_%04d%03d_0d25.nc", (1998 + k % 4).cast("int"), day).alias("file"), ((k % 97) / 97.0).alias("value"))
-    from datetime import date
-
     out = products.composites(rows, ignore=("1999185",), expected_missing=(date(1999, 7, 4),))
     return out.groupBy(month_key(F.col("time")).alias("m")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 9).alias("value"))
 
@@ -1024,3 +1023,28 @@ def banded_daily_months(spark, d):
 def log_names(spark, d):
     """Which names are shown on a log scale, for other names than the fixed ones."""
     return read(spark, d, "part").select(F.col("p_type").alias("name")).distinct().withColumn("log", products.log_scale(F.col("name"), ("steel", "small plated")))
+
+
+CELLS = "cells AS (SELECT CAST(l_orderkey % 12 AS INTEGER) AS lat_idx, CAST(l_partkey % 24 AS INTEGER) AS lon_idx, avg(l_quantity) AS q, avg(l_discount) AS dis FROM lineitem GROUP BY 1, 2)"
+
+
+def cells(spark, d):
+    return read(spark, d, "lineitem").groupBy((F.col("l_orderkey") % 12).cast("int").alias("lat_idx"), (F.col("l_partkey") % 24).cast("int").alias("lon_idx")).agg(F.avg("l_quantity").alias("q"), F.avg("l_discount").alias("dis"))
+
+
+@query(
+    f"""WITH {CELLS} SELECT lat_idx, lon_idx, CAST(lat_idx * 15 - 82.5 AS DOUBLE) AS lat, round(CASE WHEN ((q >= 20 AND q < 26 AND dis >= 0.04) OR dis < 0.05) AND lat_idx * 15 - 82.5 >= -60 AND lat_idx * 15 - 82.5 > -50 AND lat_idx * 15 - 82.5 <= 60 AND lon_idx * 15 - 172.5 >= -100 AND lon_idx * 15 - 172.5 < 120 THEN q END, 9) AS value FROM cells"""
+)
+def constrained_map(spark, d):
+    """Cells that meet either constraint, on land and north of -60 degrees."""
+    rows = cells(spark, d).withColumns({"lat": F.col("lat_idx") * 15 - 82.5, "lon": F.col("lon_idx") * 15 - 172.5})
+    land = rows.select("lat_idx", "lon_idx", masks.land(F.col("lat"), F.col("lon"), [[(-100, -50), (120, -50), (120, 60), (-100, 60)]]).alias("land"))
+    out = masks.constrained_map(rows, rows, ["lat_idx", "lon_idx"], [{"q": (20, 26), "dis": (0.04, None)}, {"dis": (None, 0.05)}], "q", land)
+    return out.select("lat_idx", "lon_idx", "lat", F.round("value", 9).alias("value"))
+
+
+@query(f"WITH {CELLS} SELECT lat_idx, CAST((lon_idx + 12) % 24 AS INTEGER) AS lon_idx, CAST(((lon_idx + 12) % 24) * 15 + 7.5 AS DOUBLE) AS lon, round(q, 9) AS q FROM cells")
+def reordered_axis(spark, d):
+    """Longitudes from -180..180 to 0..360, both halves exchanged."""
+    out = reorder_axis(cells(spark, d), [(i + 12) % 24 for i in range(24)], "lon", [15 * i + 7.5 for i in range(24)])
+    return out.select("lat_idx", "lon_idx", "lon", F.round("q", 9).alias("q"))

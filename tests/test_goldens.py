@@ -681,3 +681,21 @@ def test_first_files(spark, tmp_path):
     assert two.count() == 3 and two.columns == ["id", "file"]
     with pytest.raises(FileNotFoundError):
         load_files(spark, [])
+
+
+def test_axes_and_maps(spark):
+    from cairnfield.model import reorder_axis, replace_axis
+
+    cube = spark.createDataFrame([(0, 0.0, 1.0), (1, 1.0, 2.0)], "lat_idx int, lat double, value double")
+    points = spark.createDataFrame([(0, -5.0), (1, 5.0)], "lat_idx int, point double")
+    assert sorted((r["lat"], r["value"]) for r in replace_axis(cube, points, "lat").collect()) == [(-5.0, 1.0), (5.0, 2.0)]
+    with pytest.raises(Exception, match="no point"):
+        replace_axis(cube, points.limit(1), "lat").collect()
+    for order, new in (([0, 0], None), ([1, 0], [1.0])):
+        with pytest.raises(ValueError):
+            reorder_axis(cube, order, "lat", new)
+    with pytest.raises(TypeError):
+        masks.constrained_map(cube, cube, ["lat_idx"], {"value": 3})
+    with pytest.raises(masks.VariableNotFoundError):
+        masks.constrained_map(cube, cube, ["lat_idx"], {"value": (0, 1)}, "other")
+    assert [r["value"] for r in masks.constrained_map(cube, cube, ["lat_idx"], {"value": (0, 2)}).orderBy("lat_idx").collect()] == [1.0, None]
