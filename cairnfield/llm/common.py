@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import tables
-from ..tables import materialize, shared_dir, shuffles_dropped  # noqa: F401
+from ..tables import broadcast_up_to, materialize, shared_dir, shuffles_dropped  # noqa: F401
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -30,11 +30,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def broadcast_up_to(df: DataFrame, rows: int) -> DataFrame:
-    """The side of a join, broadcast if it has at most so many rows, else left to a shuffle (Spark splits skewed keys)."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df.hint("merge")
-
-
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
