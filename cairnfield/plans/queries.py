@@ -1048,3 +1048,127 @@ def reordered_axis(spark, d):
     """Longitudes from -180..180 to 0..360, both halves exchanged."""
     out = reorder_axis(cells(spark, d), [(i + 12) % 24 for i in range(24)], "lon", [15 * i + 7.5 for i in range(24)])
     return out.select("lat_idx", "lon_idx", "lon", F.round("q", 9).alias("q"))
+
+
+# ---------------------------------------------------------------- stores, collections, axes
+@query("SELECT 'region-' || n_regionkey AS part, count(*) AS n, sum(n_nationkey) AS total FROM nation WHERE n_regionkey < 3 GROUP BY n_regionkey")
+def first_files(spark, d):
+    """The first three of the files that hold the nations of a region each."""
+    from ..sources import load_files
+
+    path, nations = f"{shared_dir(spark)}/files", read(spark, d, "nation")
+    keys = sorted(r[0] for r in nations.select("n_regionkey").distinct().collect())
+    for k in keys:
+        nations.where(F.col("n_regionkey") == k).coalesce(1).write.parquet(f"{path}/region-{k}")
+    rows = load_files(spark, [f"{path}/region-{k}" for k in reversed(keys)], 3)
+    return rows.groupBy(F.element_at(F.split("file", "/"), -2).alias("part")).agg(F.count(F.lit(1)).alias("n"), F.sum("n_nationkey").alias("total"))
+
+
+@query(f"WITH {GRID} SELECT lat_idx, m, round(value, 6) AS value, 'first' AS built FROM grid")
+def stored_table(spark, d):
+    """A table built and stored at the first read, and read from the store at the second, whose builder would give other rows."""
+    from ..sources import read_through
+
+    path = f"{shared_dir(spark)}/stored"
+    make = lambda name: lambda: grid(spark, d).select("lat_idx", "m", F.round("value", 6).alias("value"), F.lit(name).alias("built"))
+    read_through(spark, path, make("first"), "v1")
+    return read_through(spark, path, make("second"), "v1")
+
+
+@query(f"WITH {GRID} SELECT lat_idx, round(avg(value), 3) AS value, 1 AS runs FROM frame GROUP BY lat_idx")
+def memoised_table(spark, d):
+    """A memoised mean, asked for twice with its arguments passed in two ways: the function runs once."""
+    from ..cache import Memory, version
+
+    runs = []
+
+    @version(1)
+    def mean(cube, digits):
+        runs.append(1)
+        return temporal.mean_over_time(cube, ["lat_idx"]).select("lat_idx", F.round("value", digits).alias("value"))
+
+    memo, cube = Memory(spark, f"{shared_dir(spark)}/memo").cache()(mean), grid(spark, d)
+    memo(cube, 3)
+    return memo(digits=3, cube=cube).withColumn("runs", F.lit(len(runs)))
+
+
+@query(
+    """SELECT 'A' AS dataset, 'F' AS variable, o_orderkey % 10 AS cell, round(avg(o_totalprice), 4) AS value FROM orders WHERE o_orderstatus = 'F' GROUP BY 3
+    UNION ALL SELECT 'C', 'O', o_orderkey % 10, round(max(o_totalprice), 4) FROM orders WHERE o_orderstatus = 'O' GROUP BY 3"""
+)
+def collection_algebra(spark, d):
+    """Union of collections, a dataset removed, one variable removed and others selected, by raw and pretty names."""
+    from ..operators.algebra import Dataset, Datasets
+
+    def dataset(name, how):
+        cube = read(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("variable"), (F.col("o_orderkey") % 10).alias("cell")).agg(F.round(how("o_totalprice"), 4).alias("value"))
+        return Dataset(name, cube.where("variable in ('F', 'O', 'P')"), ("F", "O", "P"), f"Pretty {name}", {v: f"{v} of {name}" for v in ("F", "O", "P")})
+
+    every = Datasets([dataset("B", F.min), dataset("A", F.avg)]) + dataset("C", F.max)
+    left = every.remove_datasets(["Pretty B"]).remove_variables(["P", "O of A"]).select_variables(["F of A", "O"])
+    return left.cube().select("dataset", "variable", "cell", "value")
+
+
+@query(
+    """WITH n AS (SELECT CAST(count(*) AS DOUBLE) AS src, (SELECT CAST(count(*) AS DOUBLE) FROM region) AS tgt FROM nation),
+    b AS (SELECT i, j, greatest(-90 + i * 180 / src, -90 + j * 180 / tgt) AS a, least(-90 + (i + 1) * 180 / src, -90 + (j + 1) * 180 / tgt) AS b FROM n, (SELECT unnest(range(25)) AS i), (SELECT unnest(range(5)) AS j))
+    SELECT 'conservative' AS scheme, CAST(i AS INTEGER) AS lat_idx, CAST(j AS INTEGER) AS lat_tgt, round(sin(radians(b)) - sin(radians(a)), 9) AS lat_w FROM b WHERE b > a + 1e-9
+    UNION ALL SELECT 'nearest', CAST(5 * j + 2 AS INTEGER), CAST(j AS INTEGER), 1.0 FROM (SELECT unnest(range(5)) AS j)"""
+)
+def axis_weights(spark, d):
+    """Regrid weights from as many latitudes as nations to as many as regions (25 and 5)."""
+    axis = lambda n: [-90 + (i + 0.5) * 180 / n for i in range(n)]
+    src, tgt = axis(read(spark, d, "nation").count()), axis(read(spark, d, "region").count())
+    parts = [spatial.weight_table(spark, w, "lat").select(F.lit(n).alias("scheme"), "lat_idx", "lat_tgt", F.round("lat_w", 9).alias("lat_w")) for n, w in (("conservative", spatial.conservative_weights(src, tgt, True)), ("nearest", spatial.nearest_weights(src, tgt)))]
+    return parts[0].unionByName(parts[1])
+
+
+@query(
+    """WITH f AS (SELECT DISTINCT o_orderdate::DATE AS day, o_custkey % 3 AS h FROM orders)
+    SELECT CAST(day AS VARCHAR) AS day, count(*) AS n, string_agg(printf('x/T.A%04d%03d.h%02dv00.hdf', year(day), dayofyear(day), h), ';' ORDER BY h) AS files FROM f WHERE day >= DATE '1996-01-01' AND day < DATE '1997-01-01' GROUP BY day"""
+)
+def tile_days(spark, d):
+    """Tiles by the day in their names, over a half-open span; names of another form go."""
+    from ..sources import tile_files
+
+    o = read(spark, d, "orders").select(F.col("o_orderdate").cast("date").alias("day"), (F.col("o_custkey") % 3).cast("int").alias("h")).distinct()
+    names = o.select(F.format_string("x/T.A%04d%03d.h%02dv00.hdf", F.year("day"), F.dayofyear("day"), F.col("h")).alias("path"))
+    out = tile_files(names.unionByName(names.limit(1).select(F.lit("x/T.other.h00v00.hdf").alias("path"))), "1996-01-01", "1997-01-01")
+    return out.select(F.col("day").cast("string").alias("day"), F.size("files").cast("long").alias("n"), F.array_join("files", ";").alias("files"))
+
+
+@query("WITH m AS (SELECT o_custkey % 20 AS cell, CAST(year(o_orderdate) * 12 + month(o_orderdate) - 1 AS INTEGER) AS m, avg((o_totalprice % 100) / 100) AS f FROM orders GROUP BY 1, 2) SELECT cell, m, f < 0.45 AS mask FROM m WHERE abs(f - 0.45) > 1e-9")
+def observed_mask_monthly(spark, d):
+    """The observed fraction averaged over months before it is compared."""
+    rows = read(spark, d, "orders").select((F.col("o_custkey") % 20).alias("cell"), F.col("o_orderdate").alias("time"), ((F.col("o_totalprice") % 100) / 100).alias("value"))
+    return masks.observed_mask(rows, ["cell", "time"], 0.45, "monthly").select("cell", "m", "mask")
+
+
+@query("WITH x AS (SELECT DISTINCT l_partkey % 36 AS j FROM lineitem), e AS (SELECT j, (j * 10 + 5 + 180) % 360 - 180 AS lon FROM x) SELECT j, CAST(lon AS DOUBLE) AS lon, CAST(row_number() OVER (ORDER BY lon) - 1 AS INTEGER) AS lon_idx FROM e")
+def repaired_axes(spark, d):
+    """Longitudes of 0..360 brought to -180..180 and numbered anew."""
+    from ..model import repair_axes
+
+    j = F.col("l_partkey") % 36
+    cube = read(spark, d, "lineitem").select(j.alias("j")).distinct().select("j", F.lit("x").alias("variable"), F.lit(None).cast("timestamp_ntz").alias("time"), F.lit(0).alias("lat_idx"), F.col("j").cast("int").alias("lon_idx"), F.lit(0.0).alias("lat"), (F.col("j") * 10 + 5).cast("double").alias("lon"), F.col("j").cast("double").alias("value"))
+    return repair_axes(cube.drop("j")).select(F.col("value").cast("long").alias("j"), "lon", "lon_idx")
+
+
+@query(f"WITH {GRID} SELECT lat_idx, m, round(value, 6) AS value FROM frame WHERE value IS NOT NULL")
+def unmasked_values(spark, d):
+    return masks.unmasked(frame(spark, d)).select("lat_idx", "m", F.round("value", 6).alias("value"))
+
+
+@query(
+    f"""WITH {GRID} SELECT 'monthly' AS kind, lat_idx, m, round(value, 6) AS value FROM grid WHERE m BETWEEN 23955 AND 23970
+    UNION ALL SELECT 'static', lat_idx, CAST(t.m AS INTEGER), round(value, 6) FROM grid, (SELECT unnest(range(23955, 23971)) AS m) t WHERE grid.m = 23955
+    UNION ALL SELECT 'daily', lat_idx, m, round(value, 6) FROM grid WHERE m BETWEEN 23955 AND 23970"""
+)
+def dispatched_months(spark, d):
+    """Monthly data of three kinds of dataset by what their time axis is."""
+    cube, out = grid(spark, d), None
+    for kind, rows in (("monthly", cube), ("static", cube.where("m = 23955").select("lat_idx", "value")), ("daily", cube.select("lat_idx", "time", "value"))):
+        part = temporal.dispatch_monthly(rows, kind, 23955, 23970, ["lat_idx"])
+        part = part.select(F.lit(kind).alias("kind"), "lat_idx", (F.col("m") if "m" in part.columns else month_key(F.col("time"))).cast("int").alias("m"), F.round("value", 6).alias("value"))
+        out = part if out is None else out.unionByName(part)
+    return out
