@@ -67,7 +67,7 @@ class Automaton:
         for a, b in merges:
             u, v, w = vocab[a], vocab[b], vocab[a + b]
             state, after = int(self.leads[u]), int(self.leads[v])
-            if not bits[self.row[v], state >> 3] >> (state & 7) & 1:
+            if min(self.row[u], self.row[v]) < 0 or not bits[self.row[v], state >> 3] >> (state & 7) & 1:
                 self.row[w], self.leads[w] = -1, after  # no sequence has u before v: no arc w
                 continue
             if into[state] > 1 or u == v:
