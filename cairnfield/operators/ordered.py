@@ -109,10 +109,10 @@ def significant_peaks(rows: DataFrame, keys: list[str], order: str, value: str =
 
 
 def merge_intervals(rows: DataFrame, keys: list[str], start: str = "start", end: str = "end") -> DataFrame:
-    """Touching or overlapping intervals of a key joined."""
-    by = Window.partitionBy(*keys).orderBy(start, end)
+    """Touching or overlapping intervals of a key joined; intervals without a start join those before them."""
+    by = Window.partitionBy(*keys).orderBy(F.asc_nulls_last(start), F.asc_nulls_last(end))
     seen = F.max(end).over(by.rowsBetween(Window.unboundedPreceding, -1))
-    cut = rows.withColumn("_new", F.coalesce((F.col(start) > seen).cast("int"), F.lit(1)))
+    cut = rows.withColumn("_new", F.when((F.col(start) > seen) | (F.row_number().over(by) == 1), 1).otherwise(0))
     return cut.withColumn("_group", F.sum("_new").over(by)).groupBy(*keys, "_group").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_group")
 
 

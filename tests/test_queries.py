@@ -6,6 +6,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from cairnfield.plans.queries import ORACLES, QUERIES
 
@@ -61,3 +62,30 @@ def test_spans_cover_all_order_dates(spark, sf):
     months = {r[0] for r in spark.read.parquet(f"{sf}/orders.parquet").selectExpr("cast(year(o_orderdate) * 12 + month(o_orderdate) - 1 as int)").distinct().collect()}
     for name in ("longest_run", "longest_run_chained", "dry_day_counts", "monthly_daily_hybrid"):
         assert {r["m"] for r in QUERIES[name](spark, sf).select("m").collect()} == months
+
+
+@pytest.mark.parametrize("name", ["merge_intervals"])
+def test_intervals_of_nulls(spark, sf, tmp_path, name):
+    """One order of each customer and day: the SQL's two windows may put equal intervals in different orders."""
+    con = duckdb.connect()
+    key = "CASE WHEN o_orderkey % 7 <> 3 THEN o_custkey END AS o_custkey"
+    day = "CASE WHEN o_orderkey % 5 <> 2 AND o_custkey % 11 <> 4 THEN o_orderdate END AS o_orderdate"
+    con.execute(f"create table orders as select distinct on (o_custkey, o_orderdate) * from (select * replace ({key}, {day}) from '{sf}/orders.parquet') order by o_custkey, o_orderdate, o_orderkey")
+    con.execute(f"create table lineitem as select * replace (CASE WHEN l_orderkey % 13 <> 1 THEN l_shipdate END AS l_shipdate) from '{sf}/lineitem.parquet'")
+    for table in ("orders", "lineitem"):
+        con.execute(f"copy {table} to '{tmp_path}/{table}.parquet'")
+    found = con.execute(ORACLES[name])
+    columns = [c[0] for c in found.description]
+    want = sorted((tuple(norm(v) for v in r) for r in found.fetchall()), key=repr)
+    got = QUERIES[name](spark, str(tmp_path)).select(*columns).collect()
+    assert len(want) > 100 and sorted((tuple(norm(v) for v in r) for r in got), key=repr) == want
+
+
+def test_intervals_of_repeated_orders(spark, sf, tmp_path):
+    """Repeated orders change no interval, and merged intervals of a customer never touch."""
+    orders = spark.read.parquet(f"{sf}/orders.parquet")
+    for i in (1, 3):
+        again = orders.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(i)))).withColumn("o_orderkey", F.col("o_orderkey") + F.col("i") * 1_000_000)
+        again.drop("i").write.parquet(f"{tmp_path}/{i}/orders.parquet")
+    once, thrice = (sorted(tuple(r) for r in QUERIES["merge_intervals"](spark, f"{tmp_path}/{i}").collect()) for i in (1, 3))
+    assert once == thrice and all(a[0] != b[0] or a[2] < b[1] for a, b in zip(once, once[1:]))
