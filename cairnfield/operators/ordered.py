@@ -120,9 +120,9 @@ def outside_intervals(points: DataFrame, intervals: DataFrame, keys: list[str],
     """Points that lie in no interval [start, end) of their key.
 
     Intervals are merged first; then the last start at or before a point decides, found by one window over
-    points and intervals of a key rather than by a range join.
+    points and intervals of a key rather than by a range join. Null keys meet no interval, nor do points without a place.
     """
-    merged = merge_intervals(intervals, keys, start, end)
+    merged = merge_intervals(intervals.dropna(subset=keys), keys, start, end).dropna(subset=[start, end])
     both = points.select(*keys, F.col(at).alias("_at"), F.lit(1).alias("_kind"), F.struct(*points.columns).alias("_row"), F.lit(None).cast(merged.schema[end].dataType).alias("_end")).unionByName(
         merged.select(*keys, F.col(start).alias("_at"), F.lit(0).alias("_kind"), F.col(end).alias("_end")), allowMissingColumns=True
     )

@@ -64,7 +64,7 @@ def test_spans_cover_all_order_dates(spark, sf):
         assert {r["m"] for r in QUERIES[name](spark, sf).select("m").collect()} == months
 
 
-@pytest.mark.parametrize("name", ["merge_intervals"])
+@pytest.mark.parametrize("name", ["merge_intervals", "interval_anti_join"])
 def test_intervals_of_nulls(spark, sf, tmp_path, name):
     """One order of each customer and day: the SQL's two windows may put equal intervals in different orders."""
     con = duckdb.connect()
