@@ -89,3 +89,10 @@ def test_intervals_of_repeated_orders(spark, sf, tmp_path):
         again.drop("i").write.parquet(f"{tmp_path}/{i}/orders.parquet")
     once, thrice = (sorted(tuple(r) for r in QUERIES["merge_intervals"](spark, f"{tmp_path}/{i}").collect()) for i in (1, 3))
     assert once == thrice and all(a[0] != b[0] or a[2] < b[1] for a, b in zip(once, once[1:]))
+
+
+def test_fingerprint_tasks_are_of_a_bounded_size(spark, tmp_path):
+    rows = spark.range(2_000_000).select(F.col("id").alias("l_orderkey"), F.lit(1.0).alias("l_quantity"), F.lit(0.0).alias("l_tax"))
+    rows.write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = QUERIES["content_fingerprint"](spark, str(tmp_path))
+    assert "RoundRobinPartitioning(10)" in found._jdf.queryExecution().toString()
