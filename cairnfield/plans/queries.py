@@ -17,7 +17,7 @@ from .. import functions as fn
 from ..model import full_frame, month_key, month_start, reorder_axis, synthetic_cube
 from ..operators import calendars, features, gapfill, masks, models, ordered, polygons, products, spatial, stats, temporal
 from ..sources import ascii as ascii_
-from ..tables import shared_dir
+from ..tables import materialize, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -738,7 +738,7 @@ wide AS (SELECT lat_idx, month, max(CASE WHEN variable = 'BA' THEN v END) AS ba,
 
 @query(f"WITH {GRID}, {LAG_SQL} SELECT lat_idx, month, round(ba, 5) AS ba, round(l0, 5) AS lai, round(l1, 5) AS lai1, round(l3, 5) AS lai3, round(hi - lo, 5) AS temp_range FROM wide WHERE ba IS NOT NULL AND l0 IS NOT NULL AND l1 IS NOT NULL AND l3 IS NOT NULL AND hi IS NOT NULL AND lo IS NOT NULL")
 def lag_pipeline(spark, d):
-    g = grid(spark, d).select("lat_idx", "time", "value")
+    g = materialize(grid(spark, d).select("lat_idx", "time", "value"), "grid")  # the cubes and their shifts share one scan
     parts = {"LAI": F.col("value"), "BA": F.col("value") * 2, "Max": F.col("value") + 10, "Min": F.col("value")}
     cubes = None
     for name, value in parts.items():

@@ -96,3 +96,8 @@ def test_fingerprint_tasks_are_of_a_bounded_size(spark, tmp_path):
     rows.write.parquet(f"{tmp_path}/lineitem.parquet")
     found = QUERIES["content_fingerprint"](spark, str(tmp_path))
     assert "RoundRobinPartitioning(10)" in found._jdf.queryExecution().toString()
+
+
+def test_lag_pipeline_reads_its_grid_once(spark, sf):
+    """The returned plan has no scan of lineitem left: the cubes and their shifts read the written grid."""
+    assert not any("lineitem" in f for f in QUERIES["lag_pipeline"](spark, sf).inputFiles())
