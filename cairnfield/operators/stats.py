@@ -93,11 +93,36 @@ def histogram(rows: DataFrame, value: str, bins: int = 70) -> DataFrame:
 def exact_percentiles(rows: DataFrame, keys: list[str], value: str, shares: list[float], accuracy: int = 10_000) -> DataFrame:
     """(keys, share, percentile): linear between the two values at share * (n - 1), as numpy gives it.
 
-    An approximate sketch, whose ranks are off by n / accuracy at most, brackets the two wanted ranks; values below the bracket
-    are counted and only those in it are put in order, equal ones as one row. Keys of up to 2 * accuracy rows are bracketed by
-    their extremes. So no task orders more than some 2 * accuracy values of a key, and a rank outside its bracket is an error.
+    Keys of up to 2 * accuracy rows are put in order by a window. Of larger ones an approximate sketch, whose ranks are off by
+    n / accuracy at most, brackets the two wanted ranks; values below the bracket are counted and only those in it are put in order,
+    equal ones as one row. So no task orders more than some 2 * accuracy values of a key, and a rank outside its bracket is an error.
     """
     rows = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    large = materialize(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 2 * accuracy).drop("_n").withColumn("_large", F.lit(True)), "large")
+    if large.limit(1).count() == 0:
+        return _ordered_percentiles(rows, keys, shares)
+    if not keys:
+        return _bracketed_percentiles(rows, keys, shares, accuracy)
+    side = broadcast_up_to(large.drop("_large"), 100_000)
+    return _ordered_percentiles(rows.join(side, keys, "left_anti"), keys, shares).unionByName(_bracketed_percentiles(rows.join(side, keys, "left_semi"), keys, shares, accuracy))
+
+
+def _ordered_percentiles(rows: DataFrame, keys: list[str], shares: list[float]) -> DataFrame:
+    """exact_percentiles of (keys, _v) by each value's place in its key."""
+    placed = rows.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy("_v")) - 1).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    at, parts = [], []
+    for i, s in enumerate(shares):
+        rank = F.lit(s) * (F.col("_n") - 1)
+        first, last = F.floor(rank + 1e-9), F.ceil(rank - 1e-9)
+        at += [F.min(F.when(F.col("_k") == first, F.col("_v"))).alias(f"_low{i}"), F.min(F.when(F.col("_k") == last, F.col("_v"))).alias(f"_high{i}")]
+        at.append(F.first(F.greatest(rank - first, F.lit(0.0))).alias(f"_part{i}"))
+        value = F.col(f"_low{i}") + F.col(f"_part{i}") * (F.col(f"_high{i}") - F.col(f"_low{i}"))
+        parts.append(F.struct(F.lit(s).alias("share"), value.alias("percentile")))
+    return placed.groupBy(*keys).agg(*at).select(*keys, F.inline(F.array(*parts))).where("percentile is not null")
+
+
+def _bracketed_percentiles(rows: DataFrame, keys: list[str], shares: list[float], accuracy: int) -> DataFrame:
+    """exact_percentiles of (keys, _v) of large keys."""
     slack = 3 / accuracy
     edges = F.percentile_approx("_v", F.array(*[F.lit(min(1.0, max(0.0, s + e))) for s in shares for e in (-slack, slack)]), F.lit(accuracy))
     brackets = rows.groupBy(*keys).agg(edges.alias("_e"), F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_least"), F.max("_v").alias("_most"))

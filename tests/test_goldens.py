@@ -699,3 +699,20 @@ def test_axes_and_maps(spark):
     with pytest.raises(masks.VariableNotFoundError):
         masks.constrained_map(cube, cube, ["lat_idx"], {"value": (0, 1)}, "other")
     assert [r["value"] for r in masks.constrained_map(cube, cube, ["lat_idx"], {"value": (0, 2)}).orderBy("lat_idx").collect()] == [1.0, None]
+
+
+def test_percentiles_of_small_keys_need_no_brackets(spark, monkeypatch):
+    """Keys of few rows are put in order without sketches, null keys among them; a large key beside them is bracketed."""
+    made = []
+
+    def named(df, name="table", real=stats.materialize):
+        made.append(name)
+        return real(df, name)
+
+    monkeypatch.setattr(stats, "materialize", named)
+    rows = spark.createDataFrame([(k, float(i)) for k in (None, 1, 2) for i in range(10)], "k int, v double")
+    want = {(k, s): 9 * s for k in (None, 1, 2) for s in (0.05, 0.5)}
+    got = lambda df: {(r["k"], r["share"]): round(r["percentile"], 9) for r in stats.exact_percentiles(df, ["k"], "v", [0.05, 0.5], 10).collect()}
+    assert got(rows) == want and "brackets" not in made
+    large = spark.createDataFrame([(3, float(i)) for i in range(101)], "k int, v double")
+    assert got(rows.unionByName(large)) == want | {(3, 0.05): 5.0, (3, 0.5): 50.0} and "brackets" in made
