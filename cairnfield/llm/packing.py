@@ -22,6 +22,7 @@ import zlib
 from collections import deque
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -134,7 +135,9 @@ class Encoder:
         total = np.zeros(n + 1, np.uint64)
         np.cumsum((points.astype(np.uint64) + np.uint64(1)) * weights[:n], out=total[1:])
         hashes = mix((total[ends] - total[starts]) * inverse[starts])
-        unique, where, back = np.unique(hashes, return_index=True, return_inverse=True)
+        back, unique = pd.factorize(hashes)
+        where = np.empty(len(unique), np.int64)
+        where[back[::-1]] = np.arange(len(back) - 1, -1, -1)
         if len(self.known) > self.memory:
             self._forget()
         keys = unique.tolist()
@@ -163,8 +166,15 @@ def best_cuts(position: np.ndarray, penalty: np.ndarray, window: int, each: floa
     place, cost_of = position.tolist(), penalty.tolist()
     n = len(place)
     cost, back = [0.0] * n, [0] * n
-    index = {p: i for i, p in enumerate(place)}
-    powers = [1 << k for k in range(window.bit_length()) if 1 << k <= window]
+    # for each cut the ones a power of two before it, rising powers, as (size < window, index)
+    exact: list[tuple[int, bool, int]] = []
+    for size in (1 << k for k in range(window.bit_length()) if 1 << k <= window):
+        at = np.minimum(np.searchsorted(position, position - size), n - 1)
+        met = np.flatnonzero(position[at] == position - size)
+        exact += zip(met.tolist(), [size < window] * len(met), at[met].tolist(), strict=True)
+    exact.sort(key=lambda x: x[0])  # stable: powers stay in their order
+    exact.append((n, False, 0))
+    upto = 0
     queue: deque[tuple[float, int]] = deque([(0.0, 0)])
     for j in range(1, n):
         p = place[j]
@@ -172,10 +182,11 @@ def best_cuts(position: np.ndarray, penalty: np.ndarray, window: int, each: floa
             queue.popleft()
         value, i = queue[0]
         best = value + window - p
-        for size in powers:
-            k = index.get(p - size)
-            if k is not None and cost[k] + (each if size < window else 0) < best:
-                best, i = cost[k] + (each if size < window else 0), k
+        while exact[upto][0] == j:
+            _, short, k = exact[upto]
+            upto += 1
+            if cost[k] + (each if short else 0) < best:
+                best, i = cost[k] + (each if short else 0), k
         best += cost_of[j]
         cost[j], back[j] = best, i
         value = best + p

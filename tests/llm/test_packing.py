@@ -96,3 +96,22 @@ def test_clashing_and_key_names(spark, odd_rows):
     assert sorted(map(repr, plain)) == sorted(repr(tuple(r)) for r in packing.pack(named.coalesce(1), path).collect())
     with pytest.raises(ValueError):
         packing.pack(named, path, key="length")
+
+
+def test_cuts_cost_as_little_as_a_plain_table():
+    """Each cut is tried from every earlier one within a window: padding, or at a power of two the cost of a short sequence."""
+    import numpy as np
+
+    from cairnfield.llm.packing import best_cuts
+
+    rng = np.random.default_rng(5)
+    step = lambda size: min(16 - size, 4.0 if size < 16 and size & (size - 1) == 0 else 16)
+    for _ in range(60):
+        position = np.concatenate(([0], np.cumsum(rng.integers(1, 7, 40))))
+        penalty = rng.integers(0, 3, 41).astype(float)
+        cost = [0.0] + [np.inf] * 40
+        for j in range(1, 41):
+            cost[j] = penalty[j] + min(cost[i] + step(position[j] - position[i]) for i in range(j) if position[j] - position[i] <= 16)
+        cuts = best_cuts(position, penalty, 16, 4.0)
+        assert cuts[0] == 0 and cuts[-1] == 40
+        assert sum(step(position[b] - position[a]) + penalty[b] for a, b in zip(cuts, cuts[1:])) == cost[-1]
