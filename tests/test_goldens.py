@@ -481,6 +481,36 @@ def test_polygons_of_many_edges(spark):
     assert land.where(F.col("land") != (F.col("lat") * F.col("lat") + F.col("lon") * F.col("lon") < 3600)).count() == 0
 
 
+def test_polygons_of_many_crossings_on_a_latitude(spark):
+    """Combs of many teeth and overlapping boxes, against the count of crossings east of each point; no row holds a latitude's crossings."""
+    from pyspark.sql import functions as F
+
+    from cairnfield.operators import polygons
+
+    rng = np.random.default_rng(3)
+    rings = {(p, 0): [(x, y) for i, x in enumerate(np.sort(rng.uniform(-170, 170, 400)).round(1).tolist()) for y in (10.0 * (-1) ** i,)] for p in range(3)}
+    rings |= {(3 + p, r): [(float(a), -5.0), (float(a + w), -5.0), (float(a + w), 5.0), (float(a), 5.0)] for p, a, w in ((0, -700, 600), (1, -20, 130), (2, 30, 900)) for r in (0, 1) if r == 0 or not p}
+    vertices = [(p, r, i, x, y) for (p, r), ring in rings.items() for i, (x, y) in enumerate(ring)]
+    table = polygons.edges(spark.createDataFrame(vertices, "polygon int, ring int, place int, lon double, lat double")).cache()
+    edges = [tuple(r) for r in table.collect()]
+    places = [(float(x), float(y)) for y in (0.0, 3.0, -9.5) for x in [*rng.uniform(-180, 180, 100).round(1), -20.0, 110.0, -900.0, 900.0, float("inf"), float("nan")]]
+    places += [(edges[5][1], edges[5][2]), (0.0, float("nan"))]
+
+    def counted(lon, lat):
+        odd = {}
+        for p, x1, y1, x2, y2 in edges:
+            if (y1 > lat) != (y2 > lat) and (x2 - x1) * (lat - y1) / (y2 - y1) + x1 > lon:
+                odd[p] = not odd.get(p, False)
+        return any(odd.values())
+
+    got = polygons.inside(spark.createDataFrame(places, "lon double, lat double"), table)
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(repr((x, y, counted(x, y))) for x, y in places)
+    assert "collect_list" not in got._jdf.queryExecution().optimizedPlan().toString()
+    cut = table.where("polygon <> 4 or x1 <> x2 or x1 > 0")  # an edge is missing: the box is open to the west
+    far = polygons.inside(spark.createDataFrame([(-999.0, 0.0), (105.0, 0.0), (115.0, 0.0)], "lon double, lat double"), cut.where("polygon = 4"))
+    assert sorted((r["lon"], r["inside"]) for r in far.select("lon", F.col("inside")).collect()) == [(-999.0, True), (105.0, True), (115.0, False)]
+
+
 def test_season_fill_with_few_samples(spark):
     """Cells whose samples leave terms open get the least norm, others the least squares; null cells are cells."""
     rng = np.random.default_rng(1)
