@@ -7,7 +7,8 @@ words in c places, is at least ``min_divergence`` nats. A state's distribution i
 with its longest retained suffix's, ``(c(s, w) + T(s) p(w | suffix)) / (c(s) + T(s))``; the root is
 add-one over words. A word is scored by the longest retained suffix of the words before it.
 
-Texts are tokenised once into blocks (a table bucketed by block). Every count or statistic is a
+Texts are tokenised once into blocks (a table bucketed by block). The counts of words, of pairs, and then the statistics of contexts of d words
+with the counts of the next longer n-grams are asked for in depth + 2 rounds. Every count or statistic is a
 sum by key over all blocks: blocks send their different keys with their own sums, dealt by key
 range; each range is summed and returned to the blocks that asked. So frequent keys are one
 entry for each block, nothing passes the driver but two totals, and no task holds more than a key range or a block. A block
@@ -124,9 +125,12 @@ def _different(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Block:
-    """A block's arrays: index and lengths, place by place, and what the levels have returned so far."""
+    """A block's arrays: index and lengths, place by place, and what the answered levels have returned for it.
 
-    def __init__(self, row: dict, levels: list[list], ranges: int):
+    Level 0 has counts of words, level 2 d - 1 counts of n-grams of d + 1 words, level 2 d the retained ones among their contexts.
+    """
+
+    def __init__(self, row: dict, levels: dict[int, list], answered: int):
         words = _unpack(row["words"], np.uint64)
         index = _unpack(row["index"], np.int32)
         order = np.argsort(words)
@@ -142,31 +146,35 @@ class Block:
         self.depth = np.arange(len(index)) - np.repeat(ends - self.lengths, self.lengths)
         self.starts = ends - self.lengths
         self.token = self.words[self.codes]
-        self.ranges, self.levels = ranges, levels
+        self.levels, self.answered = levels, answered
 
-    def _returned(self, level: int, keys: np.ndarray, columns: int, dtype) -> np.ndarray:
+    def _returned(self, level: int, keys: np.ndarray) -> np.ndarray:
         """What level returned for the sorted keys."""
-        parts = sorted(self.levels[level], key=lambda p: p["part"])
-        got = [_unpack(p["sums"], dtype, columns) for p in parts]
-        out = np.concatenate(got) if got else np.zeros((0, columns) if columns > 1 else 0, dtype)
+        parts = sorted(self.levels.get(level, []), key=lambda p: p["part"])
+        got = [_unpack(p["sums"], np.int64) for p in parts]
+        out = np.concatenate(got) if got else np.zeros(0, np.int64)
         assert len(out) == len(keys), "a level does not fit its block"
         return out
 
-    def walk(self, depth: int, min_count: int, min_divergence: float, total: int) -> Iterator[tuple]:
-        """Per level, the request (keys, sums) or, if it was answered, the next; at the end the scores.
+    def asked(self, depth: int, min_count: int, total: tuple[int, int]) -> list[tuple]:
+        """The requests (level, keys, own) that the answered levels allow: a context's statistics and the counts of the next longer n-grams at once."""
+        return list(self._walk(depth, min_count, total))
+
+    def scores(self, depth: int, min_count: int, total: tuple[int, int]) -> tuple:
+        """(lengths, known, base, score) of each text, when all levels are answered."""
+        return next(self._walk(depth, min_count, total))
 
-        Levels alternate: counts of n-grams of 1, 2, .. words, and after each from 2 words on the statistics of its contexts.
-        """
+    def _walk(self, depth: int, min_count: int, total: tuple[int, int]) -> Iterator[tuple]:
         keys, codes = self.words, self.codes  # of the n-grams that end at each place
-        if not self.levels:
-            yield keys, np.bincount(codes, self.learn, len(keys)).astype(np.int64)
+        if not self.answered:
+            yield 0, keys, np.bincount(codes, self.learn, len(keys)).astype(np.int64)
             return
-        count = self._returned(0, keys, 1, np.int64)[codes]  # of the n-gram that ends here, its last n words
-        one = count
+        last = self.answered > 2 * depth
+        count = self._returned(0, keys)[codes]  # of the n-gram that ends here, its last n words
         known = count > 0
-        base = (one + 1.0) / (total[0] + total[1] + 1.0)
-        prob, level = base.copy(), 1
-        shorter = one / max(1, total[0])  # share of this word after the context without its first word
+        base = (count + 1.0) / (total[0] + total[1] + 1.0)
+        prob = base.copy()
+        shorter = count / max(1, total[0])  # share of this word after the context without its first word
         gram, alive = self.token, np.ones(len(count), bool)  # alive: count holds for this place
         for d in range(1, depth + 1):
             # contexts: the d-gram that ends one place before
@@ -174,27 +182,27 @@ class Block:
             in_context = count[at - 1]
             long_ = mix(gram[at - 1] * _STEP + self.token[at])
             longer, back = _different(long_)
-            if level == len(self.levels):
-                yield longer, np.bincount(back, self.learn[at], len(longer)).astype(np.int64)
+            if self.answered <= 2 * d - 1:
+                yield 2 * d - 1, longer, np.bincount(back, self.learn[at], len(longer)).astype(np.int64)
                 return
-            joint = self._returned(level, longer, 1, np.int64)[back]
-            level += 1
-            used = np.zeros(len(keys), bool)
-            used[codes[at - 1]] = True
-            context, keys = (np.cumsum(used) - 1)[codes[at - 1]], keys[used]
-            if level == len(self.levels):
+            joint = self._returned(2 * d - 1, longer)[back]
+            if last or self.answered <= 2 * d:
+                used = np.zeros(len(keys), bool)
+                used[codes[at - 1]] = True
+                context, contexts = (np.cumsum(used) - 1)[codes[at - 1]], keys[used]
+            if last:
+                types = self._returned(2 * d, contexts)[context]
+                kept = types > 0
+                prob[at[kept]] = (joint[kept] + types[kept] * prob[at[kept]]) / (in_context[kept] + types[kept])
+            elif self.answered <= 2 * d:
                 learn = self.learn[at]
                 ratio = np.zeros(len(at))
                 ratio[learn] = np.log(joint[learn] / in_context[learn]) - np.log(shorter[at[learn]])
                 types = np.zeros(len(at))
                 types[learn] = 1.0 / joint[learn]
-                yield keys, np.stack([np.bincount(context, ratio, len(keys)), np.bincount(context, types, len(keys))], 1)
-                return
-            stats = self._returned(level, keys, 2, np.float64)[context]
-            level += 1
-            types = np.maximum(stats[:, 1], 1.0)
-            kept = (stats[:, 0] - (types - 1) / 2) / in_context >= min_divergence
-            prob[at[kept]] = (joint[kept] + types[kept] * prob[at[kept]]) / (in_context[kept] + types[kept])
+                counted = np.zeros(len(contexts))
+                counted[context] = in_context
+                yield 2 * d, contexts, np.stack([np.bincount(context, ratio, len(contexts)), np.bincount(context, types, len(contexts)), counted], 1)
             shorter = np.zeros(len(count))
             shorter[at] = joint / in_context
             alive = np.zeros(len(count), bool)
@@ -205,44 +213,53 @@ class Block:
             gram[at] = long_
             keys, codes = longer, np.zeros(len(gram), np.int64)
             codes[at] = back
-        yield self.lengths, np.add.reduceat(known.astype(np.int64), self.starts), np.add.reduceat(np.log10(base), self.starts), np.add.reduceat(np.log10(prob), self.starts)
+        if last:
+            yield self.lengths, np.add.reduceat(known.astype(np.int64), self.starts), np.add.reduceat(np.log10(base), self.starts), np.add.reduceat(np.log10(prob), self.starts)
+
 
+def _request(blocks: DataFrame, returned: list[DataFrame], ranges: int, args: tuple, min_divergence: float, parts: int) -> DataFrame:
+    """One round: requests by level and key range, sums, and a table (block, answers, positive).
 
-def _request(blocks: DataFrame, returned: list[DataFrame], ranges: int, args: tuple, parts: int) -> DataFrame:
-    """One level: requests by key range, sums, and a table (block, sums, positive) of the answers."""
+    A count is returned as it is, a context as the number of its different next words if it is retained, else 0.
+    """
+    answered = max(0, 2 * len(returned) - 2) or len(returned)
 
     def ask(batches):
         for row, levels in _rows(batches):
-            keys, own = next(Block(row, levels, ranges).walk(*args))
-            if not len(keys):
-                continue
-            part = (keys >> np.uint64(64 - ranges.bit_length() + 1)).astype(np.int64) if ranges > 1 else np.zeros(len(keys), np.int64)
-            cuts = np.flatnonzero(np.diff(part, prepend=-1))
-            for a, b in zip(cuts, [*cuts[1:], len(keys)], strict=True):
-                deltas = np.diff(keys[a:b], prepend=np.uint64(0))
-                yield pa.RecordBatch.from_arrays([pa.array([part[a]], pa.int64()), pa.array([row["block"]], pa.int64()), pa.array([_pack(deltas)], pa.binary()), pa.array([_pack(own[a:b])], pa.binary())], ["part", "block", "keys", "own"])
-
-    columns = 1 if len(returned) % 2 or not returned else 2
-    dtype = np.int64 if columns == 1 else np.float64
+            for level, keys, own in Block(row, levels, answered).asked(*args):
+                if not len(keys):
+                    continue
+                part = (keys >> np.uint64(64 - ranges.bit_length() + 1)).astype(np.int64) if ranges > 1 else np.zeros(len(keys), np.int64)
+                cuts = np.flatnonzero(np.diff(part, prepend=-1))
+                for a, b in zip(cuts, [*cuts[1:], len(keys)], strict=True):
+                    deltas = np.diff(keys[a:b], prepend=np.uint64(0))
+                    columns = [pa.array([level], pa.int32()), pa.array([part[a]], pa.int64()), pa.array([row["block"]], pa.int64()), pa.array([_pack(deltas)], pa.binary()), pa.array([_pack(own[a:b])], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, ["level", "part", "block", "keys", "own"])
 
     def add_up(group: pa.Table) -> pa.Table:
+        level = group["level"][0].as_py()
         keys = [np.cumsum(_unpack(x, np.uint64), dtype=np.uint64) for x in group["keys"].to_pylist()]
-        own = [_unpack(x, dtype, columns) for x in group["own"].to_pylist()]
         bounds = np.cumsum([0, *map(len, keys)])
         different, back = _different(np.concatenate(keys))
-        flat = np.concatenate(own)
-        if columns == 1:
+        del keys
+        if level % 2 or not level:
+            flat = np.concatenate([_unpack(x, np.int64) for x in group["own"].to_pylist()])
             sums = np.bincount(back, flat, len(different)).astype(np.int64)  # whole numbers below 2^53 are exact
         else:
-            sums = np.stack([np.bincount(back, flat[:, c], len(different)) for c in range(columns)], 1)
+            flat = np.concatenate([_unpack(x, np.float64, 3) for x in group["own"].to_pylist()])
+            types = np.maximum(np.rint(np.bincount(back, flat[:, 1], len(different))), 1)
+            in_context = np.ones(len(different))
+            in_context[back] = flat[:, 2]
+            kept = (np.bincount(back, flat[:, 0], len(different)) - (types - 1) / 2) / in_context >= min_divergence
+            sums = np.where(kept, types, 0).astype(np.int64)
         answers = [_pack(sums[back[a:b]]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        positive = np.zeros(len(keys), np.int64)
-        positive[0] = int((sums > 0).sum()) if columns == 1 else 0
-        return pa.table({"block": group["block"], "part": group["part"], "sums": pa.array(answers, pa.binary()), "positive": positive})
+        positive = np.zeros(len(answers), np.int64)
+        positive[0] = 0 if level else int((sums > 0).sum())
+        return pa.table({"block": group["block"], "level": group["level"], "part": group["part"], "sums": pa.array(answers, pa.binary()), "positive": positive})
 
-    asked = _joined(blocks, returned).mapInArrow(ask, "part long, block long, keys binary, own binary")
-    summed = asked.groupBy("part").applyInArrow(add_up, "block long, part long, sums binary, positive long")
-    answers = summed.groupBy("block").agg(F.collect_list(F.struct("part", "sums")).alias("answers"), F.sum("positive").alias("positive"))
+    asked = _joined(blocks, returned).mapInArrow(ask, "level int, part long, block long, keys binary, own binary")
+    summed = asked.groupBy("level", "part").applyInArrow(add_up, "block long, level int, part long, sums binary, positive long")
+    answers = summed.groupBy("block").agg(F.collect_list(F.struct("level", "part", "sums")).alias("answers"), F.sum("positive").alias("positive"))
     return _bucketed(answers, parts)
 
 
@@ -253,15 +270,18 @@ def _joined(blocks: DataFrame, returned: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _rows(batches) -> Iterator[tuple[dict, list]]:
+def _rows(batches) -> Iterator[tuple[dict, dict[int, list]]]:
     for batch in batches:
         names = batch.schema.names
         for i in range(batch.num_rows):
             row = {n: batch.column(k)[i].as_py() if not n.startswith("level") and n != "keys" else batch.column(k)[i] for k, n in enumerate(names)}
-            yield row, [row[n].as_py() or [] for n in names if n.startswith("level")]
+            levels: dict[int, list] = {}
+            for answer in (x for n in names if n.startswith("level") for x in row[n].as_py() or []):
+                levels.setdefault(answer["level"], []).append(answer)
+            yield row, levels
 
 
-def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text", depth: int = 4, min_count: int = 16, min_divergence: float = 0.05, range_tokens: int = 500_000) -> DataFrame:
+def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text", depth: int = 4, min_count: int = 16, min_divergence: float = 0.05, range_tokens: int = 3_000_000) -> DataFrame:
     """(key, trained, n_tokens, n_known, train_tokens, base_score, score) of every row."""
     spark = docs.sparkSession
     parts = shuffle_parts(spark)
@@ -284,19 +304,19 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
 
 
 def _levels(docs: DataFrame, blocks: DataFrame, n: int, n_tokens: int, limits: tuple, range_tokens: int, key: str, parts: int) -> DataFrame:
-    depth = limits[0]
+    depth, min_count, min_divergence = limits
     ranges = 1 << (max(parts, n_tokens // range_tokens) - 1).bit_length()
-    returned = [_request(blocks, [], ranges, (*limits, (n, 0)), parts)]
+    returned = [_request(blocks, [], ranges, (depth, min_count, (n, 0)), min_divergence, parts)]
     distinct = returned[0].agg(F.coalesce(F.sum("positive"), F.lit(0))).first()[0]
-    args = (*limits, (n, distinct))
-    for _ in range(2 * depth):
-        returned.append(_request(blocks, returned, ranges, args, parts))
+    args = (depth, min_count, (n, distinct))
+    for _ in range(depth + 1):
+        returned.append(_request(blocks, returned, ranges, args, min_divergence, parts))
     kind = docs.select(key).schema[0].dataType
     schema = T.StructType().add(key, kind).add("trained", "boolean").add("n_tokens", "long").add("n_known", "long").add("train_tokens", "long").add("base_score", "double").add("score", "double")
 
     def finish(batches):
         for row, levels in _rows(batches):
-            lengths, known, base, value = next(Block(row, levels, ranges).walk(*args))
+            lengths, known, base, value = Block(row, levels, 2 * depth + 1).scores(*args)
             flags = np.frombuffer(row["train"], np.uint8).astype(bool)
             columns = [row["keys"].values, pa.array(flags), pa.array(lengths), pa.array(known), pa.array(np.full(len(lengths), n, np.int64)), pa.array(base), pa.array(value)]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)

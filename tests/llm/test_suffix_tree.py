@@ -93,3 +93,15 @@ def test_clashing_names_and_long_texts(spark, odd_rows):
     named = odd_rows.selectExpr("*", "1 as block", "2 as keys", "3 as score", "4 as trained")
     a = sorted(map(repr, map(tuple, suffix_tree.score(odd_rows, F.lit(True)).collect())))
     assert a == sorted(map(repr, map(tuple, suffix_tree.score(named, F.lit(True)).collect()))) and len(a) == odd_rows.count()
+
+
+def test_rounds_and_rows(spark, docs, monkeypatch):
+    """Contexts of up to d words take d + 2 rounds, and a context's answer is one whole number."""
+    tables, real = [], suffix_tree._bucketed
+    monkeypatch.setattr(suffix_tree, "_bucketed", lambda df, parts: tables.append(real(df, parts)) or tables[-1])
+    suffix_tree.score(docs.where("doc_id < 60"), F.lit(True), depth=3, min_count=8)
+    assert len(tables) == 1 + 3 + 2
+    answers = [r for t in tables[1:] for r in t.select(F.explode("answers").alias("a")).select("a.*").collect()]
+    assert {r["level"] for r in answers} == set(range(7))
+    sums = [suffix_tree._unpack(bytes(r["sums"]), "i8") for r in answers if r["level"] == 2]
+    assert sum(map(len, sums)) > 10 and any((s > 0).any() for s in sums)
